@@ -137,16 +137,16 @@ def _bits(fp: Column, low: int, n: int) -> Column:
 
 
 def keyed(prints: DataFrame, radius: int, blocks: int, hot: int) -> DataFrame:
-    """(key, fp): a row for each key of each fingerprint."""
+    """`prints` with `key`: a row for each key of each row's fingerprint `fp`."""
     cut = block_bits(blocks)
     tables = list(combinations(range(blocks), blocks - radius))
     keys = [F.xxhash64(F.lit(t), *[_bits(F.col("fp"), *cut[k]) for k in table]) for t, table in enumerate(tables)]
-    rows = prints.select("fp", F.posexplode(F.array(*keys)).alias("t", "key"))
+    rows = prints.select("*", F.posexplode(F.array(*keys)).alias("t", "key"))
     full = rows.groupBy("key").count().filter(F.col("count") > hot)
     full = settle(full.select(F.col("key").alias("_hot")), "hot-buckets")
     n = full.count()
     if not n:
-        return rows.select("key", "fp")
+        return rows.drop("t")
     rows = rows.join(broadcast_if_small(full, n), F.col("key") == F.col("_hot"), "left")
     finer = []
     for table in tables:
@@ -156,7 +156,8 @@ def keyed(prints: DataFrame, radius: int, blocks: int, hot: int) -> DataFrame:
         signed = [m - (1 << 64) if m >> 63 else m for m in masks]
         finer.append(F.array(*[F.xxhash64("key", F.lit(p), F.col("fp").bitwiseAND(F.lit(m))) for p, m in enumerate(signed)]))
     again = F.element_at(F.array(*finer), F.col("t") + 1)
-    return rows.select("fp", F.explode(F.when(F.col("_hot").isNull(), F.array("key")).otherwise(again)).alias("key")).select("key", "fp")
+    keys_of = F.when(F.col("_hot").isNull(), F.array("key")).otherwise(again)
+    return rows.select(*prints.columns, F.explode(keys_of).alias("key"))
 
 
 def _star_edges(radius: int):
@@ -173,6 +174,6 @@ def _star_edges(radius: int):
 def links(prints: DataFrame, radius: int, blocks: int, hot: int = 20_000) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints `fp` as all pairs at
     `radius` bits or fewer do: within a bucket, each to its group's first."""
-    rows = keyed(prints, radius, blocks, hot)
+    rows = keyed(prints, radius, blocks, hot).select("key", "fp")
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", "fp")
     return sorted_rows.mapInArrow(_star_edges(radius), "a long, b long")

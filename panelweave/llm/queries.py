@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import decontaminate, language, mixing, quality, sharding, simhash, tokens, toxicity
+from panelweave.llm import decontaminate, language, linededup, mixing, quality, sharding, simhash, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat, or nearly, one that is kept elsewhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("_th"))
+    found = linededup.verdicts(docs).withColumnsRenamed({"doc_id": "_id", "th": "_t"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t"))
+    rows = docs.drop("text").join(found, same, "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return rows.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed_lines"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place in a document that overlaps a benchmark item."""
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -64,6 +74,7 @@ QUERIES = {
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
+    "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
