@@ -25,8 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: shingles of five words."""
-    return simhash.keep_one(docs.select(*COLUMNS), width=5)
+    """One document of each group of texts whose sets of five-word shingles have a
+    similarity of 0.8 or more."""
+    return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,8 +43,10 @@ def exceeds(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.nda
 
 def close_pairs(bucket: np.ndarray, prints: np.ndarray, radius: int, most: int = 1 << 16):
     """Yield (i, j), i < j: rows of one bucket at `radius` bits or fewer. Rows are
-    sorted by bucket; `most` blocks of 64 are compared at a time."""
-    n = len(prints)
+    sorted by bucket; `most` blocks of 64 are compared at a time. Fingerprints
+    are words of 64 bits, or rows of several words."""
+    prints = prints.reshape(len(bucket), -1)
+    n, width = prints.shape
     first = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1 if n else 0) != 0) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(first, n))
     at = np.arange(n) - np.repeat(first, size)  # place within the bucket
@@ -55,7 +57,8 @@ def close_pairs(bucket: np.ndarray, prints: np.ndarray, radius: int, most: int =
     head = np.flatnonzero(at % 64 == 0)  # first row of each word
     if not n:
         return
-    planes = [np.bitwise_or.reduceat((prints >> np.uint64(b) & ONE) << lane, head) for b in range(64)]
+    bit = lambda of, b: of[:, b // 64] >> np.uint64(b % 64) & ONE
+    planes = [np.bitwise_or.reduceat(bit(prints, b) << lane, head) for b in range(64 * width)]
     valid = np.bitwise_or.reduceat(ONE << lane, head)
     # a row meets its own word (later lanes only) and the later words of its bucket
     reach = np.repeat(base[1:], size) - word
@@ -75,8 +78,8 @@ def close_pairs(bucket: np.ndarray, prints: np.ndarray, radius: int, most: int =
         counters = [np.zeros(len(row), np.uint64) for _ in range(max(1, radius.bit_length()))]
         over = np.zeros(len(row), np.uint64)
         mine = prints[row]
-        for b in range(64):
-            carry = planes[b][w] ^ (np.uint64(0) - (mine >> np.uint64(b) & ONE))
+        for b in range(64 * width):
+            carry = planes[b][w] ^ (np.uint64(0) - bit(mine, b))
             for k, counter in enumerate(counters):
                 counters[k], carry = counter ^ carry, counter & carry
             over |= carry

@@ -1,5 +1,9 @@
 """SimHash near-duplicates of documents by bit-sliced comparison.
 
+`near_duplicates` links fingerprints at few differing bits. `keep_one` takes one
+document of each group of texts whose sets of shingles are similar: candidates
+come from a longer SimHash by the same comparison and are verified by the sets.
+
 Words of the text (A-Z in lower case) form shingles of `width` words, repeats
 included; a bit of the 64-bit fingerprint is set if it is in over half of the
 shingles' XXH64 values. Documents are grouped by fingerprint first, so exact
@@ -14,32 +18,44 @@ empty result. Further columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import math
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.bitslice import links
-from panelweave.llm.common import components, settle
+from panelweave.llm.bitslice import close_pairs, links, stars, whole_buckets
+from panelweave.llm.common import broadcast_if_small, components, settle
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42, part: int = 200_000) -> int:
-    """SimHash of one text as an unsigned number; shingles are voted in parts."""
-    from xxhash import xxh64_digest
-
+def shingles(text: bytes, width: int) -> list[bytes]:
+    """Shingles of the text's words, repeats included; of all words if they are fewer."""
     words = text.lower().split()  # of bytes: A-Z only, ASCII white space only
     if not words:
-        return 0
+        return []
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - width + 1)
-    begin, end = starts[:n].tolist(), ends[-n:].tolist()
-    votes = np.zeros(64, np.int64)
-    for i in range(0, n, part):
-        digests = b"".join([xxh64_digest(line[a:b], seed) for a, b in zip(begin[i : i + part], end[i : i + part], strict=True)])
-        votes += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+    return [line[a:b] for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)]
+
+
+def votes(found: list[bytes], digest, bits: int, part: int = 200_000) -> np.ndarray:
+    """Bits set in over half of the shingles' digests, packed; voted in parts."""
+    total = np.zeros(bits, np.int64)
+    for i in range(0, len(found), part):
+        digests = b"".join([digest(x) for x in found[i : i + part]])
+        total += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, bits // 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(found))
+
+
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    """SimHash of one text as an unsigned number."""
+    from xxhash import xxh64_digest
+
+    return int.from_bytes(votes(shingles(text, width), lambda x: xxh64_digest(x, seed), 64).tobytes(), "big")
 
 
 def with_fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
@@ -72,15 +88,149 @@ def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 2) -> Da
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+
+
+# Groups by the similarity of the texts: SimHash finds candidates, which are verified.
+
+
+def long_prints(documents: DataFrame, width: int) -> DataFrame:
+    """doc_id, th and a 128-bit SimHash in two longs of every row."""
+    from xxhash import xxh3_128_digest
+
+    def run(batches):
+        for batch in batches:
+            prints = [votes(shingles((t or "").encode(), width), xxh3_128_digest, 128) for t in batch.column(1).to_pylist()]
+            f = np.concatenate([*prints, np.zeros(0, np.uint8)]).view(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(f[:, 0]), pa.array(f[:, 1])], ["doc_id", "th", "f0", "f1"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, f0 long, f1 long")
+
+
+def search_plan(n: int, similarity: float, recall: float) -> tuple[int, int, int]:
+    """(bits of a key, number of keys, radius) for n texts.
+
+    Texts of shingle similarity s have a cosine of 2 s / (1 + s) and agree on
+    each of the 128 bits with chance 1 - angle / pi. Keys are as long as leaves
+    some dozens of texts to a bucket, and as many as find a pair of just the
+    similarity with chance `recall` (closer pairs more surely); the radius is
+    2.5 deviations above the mean distance.
+    """
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = min(30, max(8, round(math.log2(max(n, 2))) - 4))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
+    return bits, tables, math.floor(128 * (1 - agree) + 2.5 * math.sqrt(128 * agree * (1 - agree)))
+
+
+def _candidates(radius: int):
+    def run(batches):
+        for key, f0, f1, th in whole_buckets(batches, 4):
+            prints = np.stack([f0, f1], 1).astype(np.int64).view(np.uint64)
+            root = stars(len(th), close_pairs(key, prints, radius))
+            linked = np.flatnonzero(root != np.arange(len(th)))
+            yield pa.RecordBatch.from_arrays([pa.array(th[linked]), pa.array(th[root[linked]])], ["a", "b"])
+
+    return run
+
+
+def candidate_links(nodes: DataFrame, n: int, similarity: float, recall: float) -> DataFrame:
+    """Edges between texts (th, f0, f1) that share a key and lie within the radius."""
+    bits, tables, radius = search_plan(n, similarity, recall)
+    rng = random.Random(128)
+    keys = []
+    for t in range(tables):
+        masks = [0, 0]
+        for b in rng.sample(range(128), bits):
+            masks[b // 64] |= 1 << b % 64
+        low, high = (F.col(f).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for f, m in zip(("f0", "f1"), masks, strict=True))
+        keys.append(F.xxhash64(F.lit(t), low, high))
+    rows = nodes.select(F.explode(F.array(*keys)).alias("key"), "f0", "f1", "th")
+    return rows.repartition("key").sortWithinPartitions("key", "th").mapInArrow(_candidates(radius), "a long, b long")
+
+
+def _alike(width: int, similarity: float):
+    """Edges between texts of a group whose sets of shingles are as similar."""
+
+    def sets(text: str) -> np.ndarray:
+        from xxhash import xxh64_intdigest
+
+        return np.unique(np.array([xxh64_intdigest(x) for x in shingles(text.encode(), width)], np.uint64))
+
+    def run(batches):
+        held: list[tuple[int, int, np.ndarray]] = []
+        group = None
+        for batch in batches:
+            for at, side, th, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if at != group:
+                    yield from edges(held)
+                    group, held = at, []
+                held.append((side, th, sets(text or "")))
+        yield from edges(held)
+
+    def edges(held):
+        root, found = list(range(len(held))), []
+        crossing = bool(held) and held[0][0] != held[-1][0]  # two tiles meet; each has a group of its own
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for j, (side, th, mine) in enumerate(held):
+            for i in range(j):
+                if top(i) == top(j) or (crossing and held[i][0] == side):
+                    continue
+                other = held[i][2]
+                few, many = sorted((len(mine), len(other)))
+                if few < similarity * many:
+                    continue
+                both = len(np.intersect1d(mine, other, assume_unique=True)) if few else 0
+                if (both >= similarity * (few + many - both)) if many else True:
+                    found.append((th, held[i][1]))
+                    root[top(j)] = top(i)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    return run
+
+
+def similar_groups(documents: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99, tile: int = 1000) -> DataFrame:
+    """(th, root, keeper): every distinct text, its group and the row that stays.
+
+    Equal texts are one node. Bit-sliced comparison in buckets links candidates;
+    a candidate component is verified by the texts' own sets of shingles, in
+    tiles: members are dealt into tiles of about `tile`, and every two tiles of
+    a component meet in one group, so no task holds more than two tiles.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    prints = long_prints(documents, width)
+    nodes = settle(prints.groupBy("th").agg(F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.min(order).alias("first")), "texts")
+    near = components(candidate_links(nodes.select("th", "f0", "f1"), nodes.count(), similarity, recall), "near-texts")
+    near = settle(near, "candidates")
+    size = near.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = near.join(size, "root").join(nodes.select(F.col("th").alias("node"), F.col("first.id").alias("_id")), "node")
+    side = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    dealt = settle(dealt.select("root", "tiles", side.alias("side"), F.col("node").alias("_th"), "_id"), "tiles")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    texts = documents.select("doc_id", "text").join(broadcast_if_small(dealt, dealt.count(), 200_000), same)
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.xxhash64("root", F.least("side", o), F.greatest("side", o)))
+    rows = texts.select(F.explode(pairs).alias("group"), "side", "_th", "text").repartition("group").sortWithinPartitions("group", "side", "_th")
+    links_of = components(rows.mapInArrow(_alike(width, similarity), "a long, b long"), "similar-texts")
+    named = nodes.join(links_of, F.col("th") == F.col("node"), "left").select("th", "first", F.coalesce("root", "th").alias("root"))
+    stays = named.groupBy("root").agg(F.min(F.struct("first", "th")).alias("keeper"))
+    return named.select("th", "root").join(stays, "root")
+
+
+def keep_one(documents: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Documents without all but one of each group: the smallest id stays (null
     last), of equal ids the smallest text hash, of equal rows any one."""
-    found = settle(groups(documents, width, radius), "groups")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    kept = found.groupBy("root").agg(F.min(order).alias("k")).select("k._id", "k._th")
+    found = similar_groups(documents, width, similarity).select("keeper").distinct()
+    kept = settle(found.select(F.col("keeper.first.id").alias("_id"), F.col("keeper.th").alias("_th")), "keepers")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
     rows = documents.join(kept, same, "left_semi")
-    if found.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
+    keys = documents.select("doc_id", F.xxhash64("text").alias("th"))
+    if keys.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
         return rows
-    hashed = rows.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"])
-    return hashed.drop("_th")
+    return rows.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
