@@ -1,4 +1,4 @@
 """Registered queries over the test tables and their DuckDB equivalents."""
 
-from panelweave.plans import panel_queries  # noqa: F401
+from panelweave.plans import backtest_queries, panel_queries  # noqa: F401
 from panelweave.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
