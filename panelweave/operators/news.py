@@ -31,24 +31,25 @@ NEGATORS = ["not", "no", "never", "without", "didn't", "doesn't", "isn't", "wasn
 LABELS = {"positive": 1.0, "bullish": 1.0, "neutral": 0.0, "negative": -1.0, "bearish": -1.0}
 
 
-def _words(words: Iterable[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def lexicon_score(text: Column, positive: Iterable[str] = POSITIVE, negative: Iterable[str] = NEGATIVE) -> Column:
     """(positive - negative) / (positive + negative) of the words found; a negator
-    among the three words before turns a hit; 0 without hits."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z']+)"))
-    good, bad, no = _words(positive), _words(negative), _words(NEGATORS)
+    among the three words before turns a hit; 0 without hits.
 
-    def hit(word: Column, i: Column) -> Column:
-        sign = F.when(F.array_contains(good, word), 1).when(F.array_contains(bad, word), -1).otherwise(0)
-        before = F.slice(tokens, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
-        return F.when((sign != 0) & (i > 0) & F.arrays_overlap(before, no), -sign).otherwise(sign)
+    One fold over the words keeps the sum, the hits and the distance to the last
+    negator, so the text is split once.
+    """
+    good, bad = list(positive), list(negative)
 
-    hits = F.filter(F.transform(tokens, hit), lambda h: h != 0)
-    total = F.aggregate(hits, F.lit(0), lambda a, h: a + h)
-    return F.when(F.size(hits) > 0, total / F.size(hits)).otherwise(0.0)
+    def step(acc: Column, word: Column) -> Column:
+        sign = F.when(word.isin(good), 1).when(word.isin(bad), -1).otherwise(0)
+        turned = F.when(acc["ago"] <= 3, -sign).otherwise(sign)
+        ago = F.when(word.isin(NEGATORS), 1).otherwise(F.least(acc["ago"] + 1, F.lit(9)))
+        return F.struct((acc["total"] + turned).alias("total"), (acc["hits"] + F.abs(sign)).alias("hits"), ago.alias("ago"))
+
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("hits"), F.lit(9).alias("ago"))
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z']+)"))
+    score = F.aggregate(tokens, start, step, lambda acc: F.when(acc["hits"] > 0, acc["total"] / acc["hits"]).otherwise(0.0))
+    return F.coalesce(score, F.lit(0.0))
 
 
 def load_dictionary(df: DataFrame) -> tuple[list[str], list[str]]:
