@@ -46,6 +46,13 @@ def close_pairs(bucket: np.ndarray, prints: np.ndarray, radius: int, most: int =
     sorted by bucket; `most` blocks of 64 are compared at a time. Fingerprints
     are words of 64 bits, or rows of several words."""
     prints = prints.reshape(len(bucket), -1)
+    edge = np.append(np.diff(bucket, prepend=bucket[:1]) != 0, True)[: len(bucket) + 1]
+    edge[:1] = True
+    shared = np.flatnonzero(~(edge[:-1] & edge[1:]))  # rows that are not alone in their bucket
+    if len(shared) < len(bucket):
+        for i, j in close_pairs(bucket[shared], prints[shared], radius, most) if len(shared) else ():
+            yield shared[i], shared[j]
+        return
     n, width = prints.shape
     first = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1 if n else 0) != 0) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(first, n))

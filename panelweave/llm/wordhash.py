@@ -2,22 +2,43 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
-#: Words are runs of ASCII letters and digits and of all non-ASCII characters.
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_STEP = 0xC2B2AE3D27D4EB4F  # odd, so its powers can be undone modulo 2**64
+
+
+@lru_cache(1)
+def _values() -> np.ndarray:
+    """A random word for each byte: words are runs of ASCII letters and digits
+    and of non-ASCII characters, upper-case letters count as lower case, and
+    bytes that belong to no word are 0."""
+    values = np.random.default_rng(64).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    values[65:91] = values[97:123]
+    outside = np.ones(256, bool)
+    outside[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+    values[outside] = 0
+    return values
+
+
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the step, and of its inverse."""
+    powers, inverse = np.full(n, _STEP, np.uint64), np.full(n, pow(_STEP, -1, 1 << 64), np.uint64)
+    powers[0] = inverse[0] = 1
+    return np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, row) of every word; no word crosses a row's end.
 
-    The hash is a sum over the word of byte values scattered by their place, in
-    64 bits, mixed; upper-case ASCII letters count as lower case.
+    A word's hash is the sum of its bytes' values times powers of a step, in 64
+    bits, mixed. All words are summed at once with powers that run through the
+    data; the inverse power of a word's first byte takes its place out again.
     """
-    inside = _WORD[data]
+    values = _values()[data]
+    inside = values != 0
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edge = offsets[1:-1]
@@ -26,15 +47,9 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start = np.flatnonzero(begins)
     if not len(start):
         return np.zeros(0, np.uint64), start, start
-    at = np.flatnonzero(inside)
-    first = np.searchsorted(at, start)
-    place = at - np.repeat(start, np.diff(np.append(first, len(at))))
-    h = (_LOWER[data[at]].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h += place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    total = np.add.reduceat(h, first)
+    powers, inverse = _powers(1 << max(22, (len(data) - 1).bit_length()))
+    values *= powers[: len(data)]
+    total = np.add.reduceat(values, start) * inverse[start]
     total ^= total >> np.uint64(29)
     total *= np.uint64(0x9FB21C651E98DF25)
     total ^= total >> np.uint64(32)
