@@ -164,6 +164,6 @@ def matches(documents: DataFrame, benchmark: DataFrame, overlap: int = 12, ident
 def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents without those that overlap a benchmark item."""
     hits = settle(matches(documents, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "leaks")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    same = documents["doc_id"].eqNullSafe(hits["_id"]) & (F.xxhash64(documents["text"]) == hits["_th"])
     n = hits.count()
     return documents.join(F.broadcast(hits) if n <= 50_000 else hits, same, "left_anti")

@@ -17,8 +17,8 @@ works out from it which of its blocks are in.
 Rows: null texts have no words and take none; ties in the order are between
 equal hashes, ids and sizes, which are interchangeable; repeated rows share one
 place in a shard and are laid out one after another; a null source is a source;
-an empty table gives an empty result. Columns of the input that clash with those
-added are replaced.
+an empty table gives an empty result. Further columns pass through untouched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -105,13 +105,15 @@ def mix(documents: DataFrame, seed: int = 17, share: float = 1.5, most: float =
     """Documents with size, source_size, target, taken and `pieces`: an array of
     (first word, words, times) of the blocks that the document has a part of.
 
-    With `carry` false only doc_id and source are kept of the input.
+    With `carry` false only doc_id and source are kept of the input; else `row`
+    holds its columns, whatever their names, and `text` stands beside it.
     """
     size = word_count(F.col("text"))
     sized = settle(documents.select("doc_id", "source", size.alias("size")), "sizes")
     sources, shards = plan(sized, seed, share, most, shard_words, block_words)
-    rows = documents.withColumn("size", size) if carry else sized
-    rows = deal(rows.drop("source_size", "target", "shard", "taken", "pieces"), sources, seed)
+    others = F.struct("doc_id", *[c for c in documents.columns if c not in ("doc_id", "text")])
+    rows = documents.select("doc_id", "source", size.alias("size"), "text", others.alias("row")) if carry else sized
+    rows = deal(rows, sources, seed)
     order = Window.partitionBy("source", "shard").orderBy(block_hash(seed + 1, F.col("doc_id")), "doc_id", "size")
     rows = rows.withColumn("_start", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard"))
@@ -146,9 +148,10 @@ def mixed_texts(documents: DataFrame, **options) -> DataFrame:
     cut = F.transform("pieces", lambda p: F.array_join(F.slice(F.col("_parts.p"), (p["first"] + F.col("_parts.lead") + 1).cast("int"), p["words"].cast("int")), ""))
     text = F.when(F.col("_parts").isNull(), F.col("text")).otherwise(F.array_join(cut, ""))
     rows = rows.withColumn("text", text)
+    changed = {"text": F.col("text")}
     if "n_chars" in documents.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return rows.select(*documents.columns)
+        changed["n_chars"] = F.length("text").cast(documents.schema["n_chars"].dataType)
+    return rows.select(*[(changed[c] if c in changed else F.col("row")[c]).alias(c) for c in documents.columns])
 
 
 def takings(documents: DataFrame, **options) -> DataFrame:

@@ -85,9 +85,9 @@ def _table(spark: SparkSession, matrix: list[list[int]]) -> DataFrame:
 
 def shuffle_into_shards(documents: DataFrame, shards: int = 16, seed: int = 29, part_rows: int = 20_000, bucket_rows: int = 20_000) -> DataFrame:
     """`documents` with `shard` and `slot`, the place in the shard from 0."""
-    documents = documents.drop("shard", "slot", "_part", "_order")
     digest = next(c for c in ("text", "text_crc32") if c in documents.columns)
-    rows = documents.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", digest))
+    packed = F.struct(*[c for c in documents.columns if c not in ("shard", "slot")]).alias("row")
+    rows = documents.select(F.xxhash64(F.lit(seed), "doc_id", digest).alias("_order"), packed)
     total = rows.count()
     parts = max(1, min(4096, -(-total // part_rows)))
     part = F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.lit(parts)).cast("int")
@@ -113,7 +113,7 @@ def shuffle_into_shards(documents: DataFrame, shards: int = 16, seed: int = 29,
     else:
         rows = rows.withColumn("_before", F.lit(0))
     slot = (F.col("_before") + F.col("_at")).cast("long")
-    return rows.withColumn("slot", slot).drop("_before", "_at", "_again", "_bucket", "_order")
+    return rows.select("row.*", "shard", slot.alias("slot"))
 
 
 def shards(documents: DataFrame, n: int = 16, seed: int = 29) -> DataFrame:

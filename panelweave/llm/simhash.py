@@ -228,9 +228,10 @@ def keep_one(documents: DataFrame, width: int = 5, similarity: float = 0.8) -> D
     last), of equal ids the smallest text hash, of equal rows any one."""
     found = similar_groups(documents, width, similarity).select("keeper").distinct()
     kept = settle(found.select(F.col("keeper.first.id").alias("_id"), F.col("keeper.th").alias("_th")), "keepers")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    same = documents["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(documents["text"]) == kept["_th"])
     rows = documents.join(kept, same, "left_semi")
     keys = documents.select("doc_id", F.xxhash64("text").alias("th"))
     if keys.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
         return rows
-    return rows.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    packed = rows.select("doc_id", F.xxhash64("text").alias("th"), F.struct("*").alias("row"))
+    return packed.dropDuplicates(["doc_id", "th"]).select("row.*")

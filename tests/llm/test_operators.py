@@ -500,3 +500,15 @@ class TestDecontamination:
         a, b = longest_stretch(np.array(flags, bool), 0.8)
         best = max([j - i for i in range(len(flags) + 1) for j in range(i, len(flags) + 1) if sum(flags[i:j]) * 10 >= 8 * (j - i)])
         assert b - a == best and sum(flags[a:b]) * 10 >= 8 * (b - a)
+
+
+def test_columns_of_any_name_pass_through(docs, spark):
+    from panelweave.llm import decontaminate, linededup, mixing, sharding, simhash
+
+    names = ["_id", "_th", "removed", "row", "part", "upto", "_order", "_place", "target", "taken", "pieces", "words", "blocks", "root", "node", "th", "_row"]
+    df = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    bench = spark.createDataFrame([(1, "no such passage is in any of these documents at all")], "item_id long, text string")
+    for out in (simhash.keep_one(df), decontaminate.clean(df, bench), linededup.dedup(df), mixing.mixed_texts(df), sharding.shuffle_into_shards(df)):
+        assert [c for c in out.columns if c not in ("shard", "slot")] == [c for c in df.columns if c not in ("shard", "slot")]
+        for r in out.filter("doc_id IS NOT NULL").collect():
+            assert all(r[n] == f"{n}{r.doc_id}" for n in names) and r["size"] == "clash"
