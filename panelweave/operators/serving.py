@@ -221,4 +221,4 @@ def score_snapshot(features: DataFrame, score: str, stale_days: int = 7, recent:
         newest = newest.filter("in_index")
     fresh = newest.withColumn("_one", F.lit(1)).withColumn("_end", end).filter(F.col("date") >= F.date_sub("_end", stale_days)).drop("_one", "_end")
     fresh = fresh.join(data_warning(features, recent).select("ticker"), "ticker", "left_anti").filter(F.col(score).isNotNull())
-    return fresh.withColumn("model_probability", F.col(score)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "ticker")))
+    return fresh.withColumn("model_probability", F.col(score)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "ticker")).cast("long"))

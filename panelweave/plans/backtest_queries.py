@@ -48,7 +48,7 @@ BOOKS = PREDICTIONS + """, d AS (SELECT date, count(*) AS names, row_number() OV
 @query(BOOKS + " SELECT period, date, strategy, names, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(cost, 6) AS cost, round(gross - cost, 6) AS net FROM bt")
 def b2_b11_backtest(spark, sf_dir):
     found = bt.backtest(predictions(spark, sf_dir), CONFIG)
-    return found.select("period", "date", "strategy", "names", *[F.round(c, 6).alias(c) for c in ("gross", "turnover", "cost", "net")])
+    return found.select(F.col("period").cast("long").alias("period"), "date", "strategy", "names", *[F.round(c, 6).alias(c) for c in ("gross", "turnover", "cost", "net")])
 
 
 @query(
@@ -99,7 +99,7 @@ def b4_b17_staggered_buffered(spark, sf_dir):
 def b5_sector_neutral(spark, sf_dir):
     config = bt.Config(holding_days=4, neutralize="sector")
     found = bt.backtest(sectors(spark, sf_dir, predictions(spark, sf_dir)), config).filter("strategy <> 'benchmark'")
-    return found.groupBy("period").pivot("strategy", ["long_only", "long_short"]).agg(F.round(F.first("gross"), 6))
+    return found.groupBy(F.col("period").cast("long").alias("period")).pivot("strategy", ["long_only", "long_short"]).agg(F.round(F.first("gross"), 6))
 
 
 @query(

@@ -37,7 +37,7 @@ def c3_membership_intervals(spark, sf_dir):
 @query(
     with_sql("panel") + """, g AS (SELECT *, date - lag(date) OVER (PARTITION BY ticker ORDER BY date) AS gap, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS mv FROM panel),
     sp AS (SELECT ticker, min(date) AS a, max(date) AS b FROM panel GROUP BY 1)
-    SELECT count(*) AS rows, count(DISTINCT ticker) AS tickers, min(date) AS start, max(date) AS "end", count(*) FILTER (abs(mv) > 0.4) AS extreme_daily_moves, max(gap) AS longest_gap_days, count(*) - count(DISTINCT (ticker, date)) AS duplicate_rows,
+    SELECT count(*) AS rows, count(DISTINCT ticker) AS tickers, min(date) AS start, max(date) AS "end", count(*) FILTER (abs(mv) > 0.4) AS extreme_daily_moves, CAST(max(gap) AS INTEGER) AS longest_gap_days, count(*) - count(DISTINCT (ticker, date)) AS duplicate_rows,
       (SELECT count(*) FROM sp WHERE b < (SELECT max(date) FROM panel) - 10) AS tickers_ending_early, (SELECT round(median((b - a) / 365.25), 1) FROM sp) AS median_history_years FROM g"""
 )
 def c11_price_checks(spark, sf_dir):

@@ -99,7 +99,7 @@ def rank_sql(col: str, keys: str) -> str:
 
 @query(dense_sql() + " SELECT date, session_no FROM sessions")
 def t1_session_calendar(spark, sf_dir):
-    return session_calendar(view(spark, sf_dir, "panel"))
+    return session_calendar(view(spark, sf_dir, "panel")).select("date", F.col("session_no").cast("long").alias("session_no"))
 
 
 @query(dense_sql("daily") + " SELECT ticker, date, filled, round(close, 6) AS close, volume FROM dense")

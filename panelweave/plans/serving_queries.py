@@ -64,7 +64,7 @@ def q2_search_companies(spark, sf_dir):
 
 @query(
     with_sql("panel") + """, h AS (SELECT * FROM panel WHERE ticker = 7 ORDER BY date DESC LIMIT 252), r AS (SELECT *, close / lag(close) OVER (ORDER BY date) - 1 AS r, max(close) OVER (ORDER BY date) AS top FROM h)
-    SELECT 7 AS ticker, min(date) AS start_date, max(date) AS end_date, count(*) AS trading_days, round(arg_min(close, date), 6) AS start_close, round(arg_max(close, date), 6) AS end_close, round(arg_max(close, date) / arg_min(close, date) - 1, 6) AS total_return,
+    SELECT 7::BIGINT AS ticker, min(date) AS start_date, max(date) AS end_date, count(*) AS trading_days, round(arg_min(close, date), 6) AS start_close, round(arg_max(close, date), 6) AS end_close, round(arg_max(close, date) / arg_min(close, date) - 1, 6) AS total_return,
       round(stddev_samp(r) * sqrt(252), 6) AS annualised_volatility, round(min(close / top - 1), 6) AS max_drawdown, round(max(close), 6) AS high, round(min(close), 6) AS low, round(arg_max(close, date) / max(close) - 1, 6) AS distance_from_high FROM r"""
 )
 def q7_price_history(spark, sf_dir):
