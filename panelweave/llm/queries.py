@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, base rule and adaptive verdict of every document."""
     judged = quality.judge(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "reasons")
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept", F.concat_ws(",", "reasons").alias("reasons"))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,33 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The base counts and fences of op1 once more: windows of words are compared as
+#: words, and the metrics are (name, numerator, denominator, slack, two-sided).
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+s AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT rid, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM s),
+g AS (SELECT rid, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+t AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM g WHERE c IS NOT NULL),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM t WHERE n > 1) GROUP BY rid),
+m AS (SELECT s.rid, doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(ls) AS n_lines FROM s LEFT JOIN r USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+v AS (SELECT rid, lang, source, base_failed, unnest([{'metric': 'word_len', 'v': 1000 * word_chars // greatest(n_words, 1), 'slack': 2500, 'two': true}, {'metric': 'symbol_rate', 'v': 1000 * n_symbols // greatest(n_words, 1), 'slack': 100, 'two': false},
+  {'metric': 'dup_line_rate', 'v': 1000 * n_dup_lines // greatest(n_lines, 1), 'slack': 500, 'two': false}, {'metric': 'repeat_rate', 'v': 1000 * n_repeat_words // greatest(n_words, 1), 'slack': 450, 'two': false}], recursive := true) FROM b),
+k AS (SELECT lang, source, metric, CASE WHEN v < 32 THEN v ELSE (length(bin(v)) - 5) * 16 + (v >> (length(bin(v)) - 5)) END AS b, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+f AS (SELECT *, CASE WHEN b < 32 THEN b ELSE (b - (b - 16) // 16 * 16) * (1::BIGINT << ((b - 16) // 16)) END AS low FROM k),
+q1 AS (SELECT lang, source, metric, low, sum(n) OVER o AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM f WINDOW o AS (PARTITION BY lang, source, metric ORDER BY b)),
+own AS (SELECT lang, source, metric, max(total) AS n, min(low) FILTER (4 * upto >= total) AS a, min(low) FILTER (4 * upto >= 3 * total) AS c FROM q1 GROUP BY ALL),
+q2 AS (SELECT lang, metric, low, sum(n) OVER o AS upto, sum(n) OVER (PARTITION BY lang, metric) AS total FROM f WINDOW o AS (PARTITION BY lang, metric ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+lng AS (SELECT lang, metric, max(total) AS n, min(low) FILTER (4 * upto >= total) AS a, min(low) FILTER (4 * upto >= 3 * total) AS c FROM q2 GROUP BY ALL),
+q3 AS (SELECT metric, low, sum(n) OVER o AS upto, sum(n) OVER (PARTITION BY metric) AS total FROM f WINDOW o AS (PARTITION BY metric ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+whl AS (SELECT metric, max(total) AS n, min(low) FILTER (4 * upto >= total) AS a, min(low) FILTER (4 * upto >= 3 * total) AS c FROM q3 GROUP BY ALL),
+u AS (SELECT own.lang, own.source, own.metric, CASE WHEN own.n >= 100 THEN own.a WHEN lng.n >= 100 THEN lng.a ELSE whl.a END AS a, CASE WHEN own.n >= 100 THEN own.c WHEN lng.n >= 100 THEN lng.c ELSE whl.c END AS c
+  FROM own JOIN lng ON own.lang IS NOT DISTINCT FROM lng.lang AND own.metric = lng.metric JOIN whl ON own.metric = whl.metric),
+j AS (SELECT v.rid, list(v.metric ORDER BY list_position(['word_len', 'symbol_rate', 'dup_line_rate', 'repeat_rate'], v.metric)) FILTER (v.v > u.c + greatest(4 * (u.c - u.a), slack) OR v.v < CASE WHEN two THEN u.a - greatest(4 * (u.c - u.a), slack) ELSE 0 END) AS off
+  FROM v LEFT JOIN u ON v.lang IS NOT DISTINCT FROM u.lang AND v.source IS NOT DISTINCT FROM u.source AND v.metric = u.metric GROUP BY v.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND off IS NULL AS kept, array_to_string(list_concat(CASE WHEN base_failed THEN ['base'] ELSE [] END, coalesce(off, [])), ',') AS reasons FROM b JOIN j USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL}
