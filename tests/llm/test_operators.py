@@ -64,6 +64,19 @@ class TestQuality:
         assert all(x.b <= y.b for x, y in zip(got, got[1:]))
         assert all(r.f <= r.v and r.v - r.f <= r.v / 16 for r in got)
 
+    def test_verdicts_equal_sql(self, docs, spark, tmp_path):
+        import duckdb
+
+        from panelweave.llm import queries
+
+        docs.drop("size", "shard", "score", "h").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+        duck = duckdb.connect()
+        duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        found = queries.op1_quality_rules(spark, str(tmp_path))
+        names = sorted(found.columns)
+        exp = duck.sql(f"SELECT {', '.join(names)} FROM ({queries.OP1_SQL})").fetchall()
+        assert sorted(map(str, exp)) == sorted(str(tuple(r)) for r in found.select(*names).collect())
+
     def test_empty(self, none):
         from panelweave.llm import quality
 
