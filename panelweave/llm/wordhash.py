@@ -47,7 +47,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start = np.flatnonzero(begins)
     if not len(start):
         return np.zeros(0, np.uint64), start, start
-    powers, inverse = _powers(1 << max(22, (len(data) - 1).bit_length()))
+    powers, inverse = _powers(1 << max(20, (len(data) - 1).bit_length()))
     values *= powers[: len(data)]
     total = np.add.reduceat(values, start) * inverse[start]
     total ^= total >> np.uint64(29)
@@ -56,7 +56,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return total, start, np.searchsorted(offsets, start, "right") - 1
 
 
-def parts(data: np.ndarray, offsets: np.ndarray, most: int = 4_000_000):
+def parts(data: np.ndarray, offsets: np.ndarray, most: int = 1_000_000):
     """Row ranges of about `most` bytes each."""
     a = 0
     while a < len(offsets) - 1:
