@@ -11,7 +11,7 @@ seeded hash, in buckets whose offsets are summed beforehand, so no task sorts a
 whole shard.
 
 The law is `rows`. Only the matrix is drawn outside Spark, from one count for
-each partition (`parts` numbers, 4096 at most).
+each partition (`parts` numbers, MOST_PARTS at most).
 
 Rows: null texts have size 1 and no checksum; a null id is dealt like any other;
 repeated rows tie in the orders and are interchangeable; an empty table gives an
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import settle
 
+MOST_PARTS = 16_384
+
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
     """Good ones among `draws` without replacement, by inversion from the mode
@@ -83,13 +85,13 @@ def _table(spark: SparkSession, matrix: list[list[int]]) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(part, upto)")
 
 
-def shuffle_into_shards(documents: DataFrame, shards: int = 16, seed: int = 29, part_rows: int = 20_000, bucket_rows: int = 20_000) -> DataFrame:
+def shuffle_into_shards(documents: DataFrame, shards: int = 16, seed: int = 29, part_rows: int = 2_000, bucket_rows: int = 20_000) -> DataFrame:
     """`documents` with `shard` and `slot`, the place in the shard from 0."""
     digest = next(c for c in ("text", "text_crc32") if c in documents.columns)
     packed = F.struct(*[c for c in documents.columns if c not in ("shard", "slot")]).alias("row")
     rows = documents.select(F.xxhash64(F.lit(seed), "doc_id", digest).alias("_order"), packed)
     total = rows.count()
-    parts = max(1, min(4096, -(-total // part_rows)))
+    parts = max(1, min(MOST_PARTS, -(-total // part_rows)))
     part = F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.lit(parts)).cast("int")
     counted = {r.part: r.n for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
     matrix = _table(documents.sparkSession, communication_matrix([counted.get(p, 0) for p in range(parts)], shards, seed))
