@@ -81,7 +81,8 @@ class Items:
         return Items(ids, np.concatenate([*hashes, np.zeros(0, np.uint64)]), begin, seeds)
 
     def hits(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """(item, place of the item's first word in h) of every seed hit, each once."""
+        """(item, place of the item's first word in h, a hit word) of every seed hit,
+        each once a row: an item can lie across the end of a row."""
         found = []
         small = np.zeros(1 << 20, bool)
         for mask, (seeds, places) in self.seeds.items():
@@ -99,7 +100,7 @@ class Items:
         if not found:
             return np.zeros((0, 3), np.int64)
         every = np.concatenate(found)
-        _, first = np.unique(every[:, 0] << 40 | (every[:, 1] + (1 << 30)), return_index=True)
+        _, first = np.unique(np.stack([every[:, 0], row[every[:, 2]], every[:, 1]], 1), axis=0, return_index=True)
         return every[first]
 
     def overlaps(self, h: np.ndarray, row: np.ndarray, overlap: int, identity: float):

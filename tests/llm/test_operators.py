@@ -505,6 +505,20 @@ class TestDecontamination:
         bench = spark.createDataFrame([(1, rows[5][1], "x")], "item_id long, text string, th string")
         assert {r.doc_id for r in decontaminate.matches(docs, bench).collect()} == {5}
 
+    def test_item_across_two_rows(self, spark):
+        import random
+
+        from panelweave.llm import decontaminate
+
+        rng = random.Random(12)
+        item = prose(rng, 40).split()
+        rows = [(1, prose(rng, 30) + " " + " ".join(item[:20])), (2, " ".join(item[20:]) + " " + prose(rng, 30))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+        got = sorted((r.doc_id, r.first_word, r.n_words) for r in decontaminate.matches(docs, bench).collect())
+        assert [(d, n >= 20) for d, _, n in got] == [(1, True), (2, True)] and got[1][1] == 0
+        assert decontaminate.clean(docs, bench).count() == 0
+
     @given(st.lists(st.booleans(), max_size=40))
     @settings(max_examples=200, deadline=None)
     def test_longest_stretch(self, flags):
