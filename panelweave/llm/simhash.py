@@ -94,12 +94,13 @@ def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 2) -> Da
 
 
 def long_prints(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id, th and a 128-bit SimHash in two longs of every row."""
+    """doc_id, th and a 128-bit SimHash, in two longs, of every row's set of shingles."""
     from xxhash import xxh3_128_digest
 
     def run(batches):
         for batch in batches:
-            prints = [votes(shingles((t or "").encode(), width), xxh3_128_digest, 128) for t in batch.column(1).to_pylist()]
+            sets = (list(set(shingles((t or "").encode(), width))) for t in batch.column(1).to_pylist())
+            prints = [votes(found, xxh3_128_digest, 128) for found in sets]
             f = np.concatenate([*prints, np.zeros(0, np.uint8)]).view(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(f[:, 0]), pa.array(f[:, 1])], ["doc_id", "th", "f0", "f1"])
 

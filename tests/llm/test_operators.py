@@ -354,6 +354,19 @@ class TestSimhash:
         groups = [{tuple(sorted(x)) for x in [tuple(r) for r in simhash.similar_groups(df, tile=t).select("th", "root").collect()]} for t in (1, 1000)]
         assert groups[0] == groups[1]
 
+    def test_repeats_do_not_part_like_sets(self, spark):
+        import random
+
+        from panelweave.llm import simhash
+
+        rng = random.Random(10)
+        rows = []
+        for i in range(20):
+            text, passage = prose(rng, 300), prose(rng, 60)
+            rows += [(2 * i, f"{text} {passage}"), (2 * i + 1, " ".join([text] + [passage] * 8))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(0, 40, 2))
+
 
 class TestLanguage:
     def test_held_out(self, spark, none):
