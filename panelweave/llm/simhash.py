@@ -93,35 +93,68 @@ def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 2) -> Da
 # Groups by the similarity of the texts: SimHash finds candidates, which are verified.
 
 
-def long_prints(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id, th and a 128-bit SimHash, in two longs, of every row's set of shingles."""
+PRINT = ["f0", "f1", "f2", "f3"]
+COMPARED = 128  # bits that are compared; keys are drawn from all
+
+
+def long_print(text: bytes, width: int) -> np.ndarray:
+    """256-bit SimHash of the text's set of shingles, packed."""
     from xxhash import xxh3_128_digest
 
+    return votes(list(set(shingles(text, width))), lambda x: xxh3_128_digest(x) + xxh3_128_digest(x, 1), 64 * len(PRINT))
+
+
+def long_prints(documents: DataFrame, width: int) -> DataFrame:
+    """doc_id, th and a 256-bit SimHash, in four longs, of every row's set of shingles."""
+
     def run(batches):
         for batch in batches:
-            sets = (list(set(shingles((t or "").encode(), width))) for t in batch.column(1).to_pylist())
-            prints = [votes(found, xxh3_128_digest, 128) for found in sets]
-            f = np.concatenate([*prints, np.zeros(0, np.uint8)]).view(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(f[:, 0]), pa.array(f[:, 1])], ["doc_id", "th", "f0", "f1"])
+            prints = [long_print((t or "").encode(), width) for t in batch.column(1).to_pylist()]
+            f = np.concatenate([*prints, np.zeros(0, np.uint8)]).view(np.int64).reshape(-1, len(PRINT))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x) for x in f.T]], ["doc_id", "th", *PRINT])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, f0 long, f1 long")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, " + ", ".join(f"{f} long" for f in PRINT))
+
+
+def spread(bits: int, agree: float) -> list[float]:
+    """Chance of each distance of two prints that agree on a bit with chance `agree`."""
+    return [math.comb(bits, d) * (1 - agree) ** d * agree ** (bits - d) for d in range(bits + 1)]
 
 
 def search_plan(n: int, similarity: float, recall: float) -> tuple[int, int, int]:
     """(bits of a key, number of keys, radius) for n texts.
 
-    Texts of shingle similarity s have a cosine of 2 s / (1 + s) and agree on
-    each of the 128 bits with chance 1 - angle / pi. Keys are as long as leaves
-    some dozens of texts to a bucket, and as many as find a pair of just the
-    similarity with chance `recall` (closer pairs more surely); the radius is
-    2.5 deviations above the mean distance.
+    Texts of shingle similarity s have a cosine of 2 s / (1 + s) or more and agree
+    on each bit with chance 1 - angle / pi. Keys are as long as leaves some 64
+    texts to a bucket, which are compared at once. All keys of a pair depend on
+    its distance d: each is shared with chance C(all - d, bits) / C(all, bits).
+    They are as many as find a pair of just the similarity with chance `recall`
+    over the distances it can have, whatever n is (closer pairs more surely);
+    the radius, 4 deviations above the mean distance, is counted as a loss too.
     """
     agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = min(30, max(8, round(math.log2(max(n, 2))) - 4))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
-    return bits, tables, math.floor(128 * (1 - agree) + 2.5 * math.sqrt(128 * agree * (1 - agree)))
+    bits = min(30, max(8, round(math.log2(max(n, 2))) - 6))
+    radius = math.floor(COMPARED * (1 - agree) + 4 * math.sqrt(COMPARED * agree * (1 - agree)))
+    lost = sum(spread(COMPARED, agree)[radius + 1 :])
+    width = 64 * len(PRINT)
+    chance, shared = spread(width, agree), [math.comb(width - d, bits) / math.comb(width, bits) for d in range(width + 1)]
+    missed = lambda tables: lost + sum(c * (1 - p) ** tables for c, p in zip(chance, shared, strict=True))
+    low, high = 0, 1
+    while missed(high) > 1 - recall:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if missed(middle) <= 1 - recall else (middle, high)
+    return bits, high, radius
+
+
+def key_masks(bits: int, tables: int) -> list[list[int]]:
+    """The bits of each key, as a mask for each word of a print."""
+    rng = random.Random(128)
+    drawn = [rng.sample(range(64 * len(PRINT)), bits) for _ in range(tables)]
+    return [[sum(1 << b % 64 for b in key if b // 64 == k) for k in range(len(PRINT))] for key in drawn]
 
 
 def _candidates(radius: int):
@@ -136,16 +169,12 @@ def _candidates(radius: int):
 
 
 def candidate_links(nodes: DataFrame, n: int, similarity: float, recall: float) -> DataFrame:
-    """Edges between texts (th, f0, f1) that share a key and lie within the radius."""
+    """Edges between texts (th and print) that share a key and lie within the radius."""
     bits, tables, radius = search_plan(n, similarity, recall)
-    rng = random.Random(128)
     keys = []
-    for t in range(tables):
-        masks = [0, 0]
-        for b in rng.sample(range(128), bits):
-            masks[b // 64] |= 1 << b % 64
-        low, high = (F.col(f).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for f, m in zip(("f0", "f1"), masks, strict=True))
-        keys.append(F.xxhash64(F.lit(t), low, high))
+    for t, masks in enumerate(key_masks(bits, tables)):
+        held = [F.col(f).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for f, m in zip(PRINT, masks, strict=True) if m]
+        keys.append(F.xxhash64(F.lit(t), *held))
     rows = nodes.select(F.explode(F.array(*keys)).alias("key"), "f0", "f1", "th")
     return rows.repartition("key").sortWithinPartitions("key", "th").mapInArrow(_candidates(radius), "a long, b long")
 
@@ -207,8 +236,8 @@ def similar_groups(documents: DataFrame, width: int = 5, similarity: float = 0.8
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     prints = long_prints(documents, width)
-    nodes = settle(prints.groupBy("th").agg(F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.min(order).alias("first")), "texts")
-    near = components(candidate_links(nodes.select("th", "f0", "f1"), nodes.count(), similarity, recall), "near-texts")
+    nodes = settle(prints.groupBy("th").agg(*[F.min(f).alias(f) for f in PRINT], F.min(order).alias("first")), "texts")
+    near = components(candidate_links(nodes.select("th", *PRINT), nodes.count(), similarity, recall), "near-texts")
     near = settle(near, "candidates")
     size = near.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     dealt = near.join(size, "root").join(nodes.select(F.col("th").alias("node"), F.col("first.id").alias("_id")), "node")

@@ -354,6 +354,21 @@ class TestSimhash:
         groups = [{tuple(sorted(x)) for x in [tuple(r) for r in simhash.similar_groups(df, tile=t).select("th", "root").collect()]} for t in (1, 1000)]
         assert groups[0] == groups[1]
 
+    @pytest.mark.parametrize("n", [1000, 60_000, 10**6, 10**7])
+    def test_recall_does_not_depend_on_the_number_of_texts(self, n):
+        from panelweave.llm import simhash
+
+        bits, tables, radius = simhash.search_plan(n, 0.8, 0.99)
+        masks = np.array(simhash.key_masks(bits, tables), np.uint64)
+        assert len(masks) == tables and all(sum(map(int.bit_count, m)) == bits for m in masks.tolist())
+        found, pairs = 0, 1000
+        for i in range(pairs):  # of 180 shingles in all, 144 are in both sets: a similarity of just 0.8
+            a, b = (np.frombuffer(simhash.long_print(" ".join(f"w{i}x{k}" for k in ks).encode(), 1), np.uint64) for ks in (range(162), [*range(144), *range(162, 180)]))
+            a_b = a ^ b
+            near = int(np.bitwise_count(a_b[:2]).sum()) <= radius
+            found += near and bool(((masks & a_b) == 0).all(axis=1).any())
+        assert found >= 980
+
     def test_repeats_do_not_part_like_sets(self, spark):
         import random
 
