@@ -477,6 +477,22 @@ class TestLines:
         clean = {r.doc_id: r.text for r in linededup.dedup(df).collect()}
         assert clean[6] == "" and clean[4] is None and clean[5] == "" and clean[1] == f"{line}\n{other}\nshort one"
 
+    def test_recall_at_the_defaults(self, spark):
+        import random
+
+        from panelweave.llm import linededup
+
+        rng = random.Random(14)
+        rows = []
+        for i in range(100):
+            line = prose(rng, 60).split()
+            near = [*line[:30], "swapped", *line[31:]]
+            assert linededup.alike(" ".join(line), " ".join(near), 0.8)
+            rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(near))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        gone = {r.doc_id for r in linededup.verdicts(df).filter(F.size("removed") > 0).collect()}
+        assert len(gone) >= 85 and all(d % 2 for d in gone)
+
     def test_awkward(self, docs, none, rows):
         from panelweave.llm import linededup
 
