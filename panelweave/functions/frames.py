@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 STATS = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum, "max": F.max, "min": F.min}
 
 
+def ratio(top: Column | str, under: Column | str) -> Column:
+    """`top` over `under`, null where that is 0: a price or a sum of 0 stops no query."""
+    return F.try_divide(top, under)
+
+
 def by_ticker() -> WindowSpec:
     return Window.partitionBy("ticker").orderBy("date")
 

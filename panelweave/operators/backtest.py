@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.functions.frames import ratio
 from panelweave.functions.shared import settle
 from panelweave.operators.asof import asof
 from panelweave.operators.stats import information_coefficients
@@ -186,7 +187,7 @@ def index_returns(index_prices: DataFrame, holding_days: int, lag: int = 1) -> D
     """(date, index_return): enter `lag` index sessions after the date, hold on."""
     by = Window.orderBy("date")
     rows = index_prices.filter("close IS NOT NULL")
-    return rows.select("date", (F.lead("close", lag + holding_days).over(by) / F.lead("close", lag).over(by) - 1).alias("index_return"))
+    return rows.select("date", (ratio(F.lead("close", lag + holding_days).over(by), F.lead("close", lag).over(by)) - 1).alias("index_return"))
 
 
 def with_index(returns: DataFrame, index_prices: DataFrame, config: Config, covered: float = 0.9) -> DataFrame:
@@ -215,7 +216,7 @@ def max_drawdown(returns: DataFrame, keys: Sequence[str], value: str = "net", or
     """(keys, max_drawdown): the deepest fall below the running top."""
     by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     curve = returns.withColumn("_e", F.product(1 + F.col(value)).over(by))
-    curve = curve.withColumn("_d", F.col("_e") / F.max("_e").over(by) - 1)
+    curve = curve.withColumn("_d", ratio("_e", F.max("_e").over(by)) - 1)
     return curve.groupBy(*keys).agg(F.min("_d").alias("max_drawdown"))
 
 
@@ -223,7 +224,7 @@ def curves(returns: DataFrame, keys: Sequence[str] = ("run", "strategy"), value:
     """Growth of one unit and fall below its top, by date."""
     by = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     rows = returns.withColumn("growth", F.product(1 + F.col(value)).over(by))
-    return rows.select(*keys, "date", "growth", (F.col("growth") / F.max("growth").over(by) - 1).alias("drawdown"))
+    return rows.select(*keys, "date", "growth", (ratio("growth", F.max("growth").over(by)) - 1).alias("drawdown"))
 
 
 def sharpe(value: Column, per_year: float) -> Column:
@@ -327,7 +328,12 @@ def neutral_weights(rows: DataFrame, exposures: Sequence[str], score: str = "pro
     from panelweave.functions.frames import avg_rank, ppf_sql
 
     by = Window.partitionBy("date")
-    rows = rows.withColumn("_p", (avg_rank(score, ["date"]) - 0.5) / F.count(score).over(by)).withColumn("_z", F.expr(ppf_sql("_p")))
+
+    def residual_slope(of, on):  # null where the exposure is constant or a sum of those before
+        square = F.sum(F.col(on) * F.col(on)).over(by)
+        return F.when(square > 1e-18, F.try_divide(F.sum(F.col(of) * F.col(on)).over(by), square))
+
+    rows = rows.withColumn("_p", F.try_divide(avg_rank(score, ["date"]) - 0.5, F.count(score).over(by))).withColumn("_z", F.expr(ppf_sql("_p")))
     vol = F.coalesce("volatility_20d", F.median("volatility_20d").over(by), F.lit(0.3)) if "volatility_20d" in rows.columns else F.lit(0.3)
     rows = rows.withColumn("alpha", ic * vol * (holding_days / YEAR) ** 0.5 * F.col("_z"))
     done: list[str] = []
@@ -336,13 +342,11 @@ def neutral_weights(rows: DataFrame, exposures: Sequence[str], score: str = "pro
         rows = rows.withColumn(f"_x{i}", held)
         rows = rows.withColumn(f"_x{i}", F.col(f"_x{i}") - F.avg(f"_x{i}").over(by))
         for d in done:
-            slope = F.sum(F.col(f"_x{i}") * F.col(d)).over(by) / F.sum(F.col(d) * F.col(d)).over(by)
+            slope = residual_slope(f"_x{i}", d)
             rows = rows.withColumn(f"_x{i}", F.col(f"_x{i}") - F.coalesce(slope, F.lit(0.0)) * F.col(d))
         done.append(f"_x{i}")
     rows = rows.withColumn("_a", F.col("alpha") - F.avg("alpha").over(by))
     for d in done:
-        square = F.sum(F.col(d) * F.col(d)).over(by)
-        slope = F.when(square > 1e-18, F.sum(F.col("_a") * F.col(d)).over(by) / square)
-        rows = rows.withColumn("_a", F.col("_a") - F.coalesce(slope, F.lit(0.0)) * F.col(d))
+        rows = rows.withColumn("_a", F.col("_a") - F.coalesce(residual_slope("_a", d), F.lit(0.0)) * F.col(d))
     total = F.sum(F.abs("_a")).over(by)
     return rows.withColumn("w", F.when(total > 0, F.col("_a") / total * gross)).drop("_p", "_z", "_a", *done)

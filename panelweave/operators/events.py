@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.frames import by_ticker, roll
+from panelweave.functions.frames import by_ticker, ratio, roll
 from panelweave.operators.asof import asof, asof_nearest, to_next_session
 
 YEAR = 252
@@ -52,10 +52,10 @@ def fundamentals(df: DataFrame, pit: DataFrame, max_age: int = MAX_AGE) -> DataF
     if "assets" in extra:
         rows = rows.withColumn("_assets", F.when(F.col("assets") > 0, F.col("assets")))
         if "gross_profit_ttm" in extra:
-            rows = rows.withColumn("gross_profitability", F.col("gross_profit_ttm") / F.col("_assets"))
+            rows = rows.withColumn("gross_profitability", ratio("gross_profit_ttm", "_assets"))
         if "operating_cash_flow_ttm" in extra:
-            rows = rows.withColumn("accruals", (income - F.col("operating_cash_flow_ttm")) / F.col("_assets"))
-        rows = rows.withColumn("asset_growth", F.col("_assets") / F.lag("_assets", YEAR).over(by_ticker()) - 1).drop("_assets")
+            rows = rows.withColumn("accruals", ratio(income - F.col("operating_cash_flow_ttm"), "_assets"))
+        rows = rows.withColumn("asset_growth", ratio("_assets", F.lag("_assets", YEAR).over(by_ticker())) - 1).drop("_assets")
     split = F.col("split_factor") if "split_factor" in df.columns else F.lit(1.0)
     rows = rows.withColumn("_shares", F.col("shares_outstanding") * split)
     before = F.lag("_shares", YEAR).over(by_ticker())
@@ -114,7 +114,7 @@ def insiders(df: DataFrame, trades: DataFrame) -> DataFrame:
     df = df.join(daily, ["ticker", "date"], "left").fillna(0, ["_n", "_buy", "_sell"])
     df = df.withColumns({"insider_purchases_90d": roll("sum", "_n", INSIDER_SESSIONS, 1), "insider_net_90d": roll("sum", "_buy", INSIDER_SESSIONS, 1) - roll("sum", "_sell", INSIDER_SESSIONS, 1)})
     if "market_cap" in df.columns:
-        df = df.withColumn("insider_net_value_90d", F.col("insider_net_90d") / F.col("market_cap"))
+        df = df.withColumn("insider_net_value_90d", ratio("insider_net_90d", "market_cap"))
     return df.drop("_n", "_buy", "_sell")
 
 
@@ -123,7 +123,7 @@ def macro_conditions(macro: DataFrame) -> DataFrame:
     score against its last 252 rows. One row a date."""
     by = Window.orderBy("date")
     filled = macro.withColumns({c: F.last(c, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)) for c in macro.columns if c != "date"})
-    return filled.withColumns({"vix_change_20d": F.col("vix") / F.lag("vix", 20).over(by) - 1, "vix_regime": (F.col("vix") - roll("mean", "vix", 252, 126, by)) / roll("std", "vix", 252, 126, by)})
+    return filled.withColumns({"vix_change_20d": ratio("vix", F.lag("vix", 20).over(by)) - 1, "vix_regime": ratio(F.col("vix") - roll("mean", "vix", 252, 126, by), roll("std", "vix", 252, 126, by))})
 
 
 def macro(df: DataFrame, table: DataFrame) -> DataFrame:

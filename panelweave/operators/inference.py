@@ -225,8 +225,8 @@ def overfitting_probability(trials: DataFrame, names: Sequence[str], splits: int
 
     def sharpe(when):
         c, s, q = total("c", when), total("s", when), total("q", when)
-        mean = s / c
-        var = (q - c * mean * mean) / (c - 1)
+        mean = F.try_divide(s, c)
+        var = F.try_divide(q - c * mean * mean, c - 1)
         return F.when(var > 0, mean / F.sqrt(var))
 
     both = joined.groupBy("id", "strategy").agg(sharpe(F.col("_in")).alias("sin"), sharpe(~F.col("_in")).alias("sout"))

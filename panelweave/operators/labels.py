@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.frames import avg_rank, by_ticker
+from panelweave.functions.frames import avg_rank, by_ticker, ratio
 
 HORIZONS = (5, 21)
 LAG = 1
@@ -44,7 +44,7 @@ def forward_returns(prices: DataFrame, delistings: DataFrame | None = None, hori
         return F.when(F.col("_ended") & (F.col("_left") < n), F.col("_exit")).otherwise(F.lead("close", n).over(by))
 
     for h in horizons:
-        df = df.withColumns({f"future_return_{h}d": ahead(h) / F.col("close") - 1, f"tradable_return_{h}d": ahead(h + LAG) / F.lead("close", LAG).over(by) - 1})
+        df = df.withColumns({f"future_return_{h}d": ratio(ahead(h), "close") - 1, f"tradable_return_{h}d": ratio(ahead(h + LAG), F.lead("close", LAG).over(by)) - 1})
         known = F.col(f"future_return_{h}d")
         df = df.withColumn(f"target_up_{h}d", F.when(known.isNotNull(), (known > 0).cast("double")))
     return df.drop("_end", "_left", "_ended", "_exit", "delisting_return")

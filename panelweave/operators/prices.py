@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.frames import by_ticker, roll
+from panelweave.functions.frames import by_ticker, ratio, roll
 
 YEAR = 252
 
 
 def _change(column: str, sessions: int) -> Column:
-    return F.col(column) / F.lag(column, sessions).over(by_ticker()) - 1
+    return ratio(column, F.lag(column, sessions).over(by_ticker())) - 1
 
 
 def corwin_schultz(df: DataFrame, to: str = "cs_spread") -> DataFrame:
@@ -40,14 +40,14 @@ def price_features(prices: DataFrame) -> DataFrame:
             "return_5d": _change("close", 5),
             "return_20d": _change("close", 20),
             "momentum_60d": _change("close", 60),
-            "momentum_12_1": F.lag("close", 21).over(by) / F.lag("close", YEAR).over(by) - 1,
-            "ma_gap_50d": F.col("close") / roll("mean", "close", 50, 50) - 1,
-            "high_52w": F.col("close") / roll("max", "close", YEAR, 126),
+            "momentum_12_1": ratio(F.lag("close", 21).over(by), F.lag("close", YEAR).over(by)) - 1,
+            "ma_gap_50d": ratio("close", roll("mean", "close", 50, 50)) - 1,
+            "high_52w": ratio("close", roll("max", "close", YEAR, 126)),
         }
     )
     df = df.withColumn("volatility_20d", roll("std", "return_1d", 20, 20) * YEAR**0.5)
     if "volume" in df.columns:
-        df = df.withColumn("volume_ratio_20d", F.col("volume") / roll("mean", "volume", 20, 20))
+        df = df.withColumn("volume_ratio_20d", ratio("volume", roll("mean", "volume", 20, 20)))
     if {"high", "low"} <= set(df.columns):
         df = corwin_schultz(df, "_spread").withColumn("cs_spread_21d", roll("mean", "_spread", 21, 10)).drop("_spread")
     clipped = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.col("return_1d")))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.functions.frames import ratio
+
 MOST = 50
 SUSPECT = 0.4
 SORTABLE = ("model_probability", "rank", "return_5d", "return_20d", "momentum_60d", "volatility_20d", "pe_ratio")
@@ -124,13 +126,13 @@ def price_history(features: DataFrame, ticker, days: int = 252, points: int = 60
     days = bounded(days, 20, 1260, "days")
     rows = price_series(features, ticker, days)
     by = Window.orderBy("date")  # one ticker's last sessions
-    rows = rows.withColumns({"_r": F.col("close") / F.lag("close").over(by) - 1, "_top": F.max("close").over(by.rowsBetween(Window.unboundedPreceding, 0)), "_i": F.row_number().over(by) - 1, "_n": F.count("*").over(Window.partitionBy())})
+    rows = rows.withColumns({"_r": ratio("close", F.lag("close").over(by)) - 1, "_top": F.max("close").over(by.rowsBetween(Window.unboundedPreceding, 0)), "_i": F.row_number().over(by) - 1, "_n": F.count("*").over(Window.partitionBy())})
     shown = (F.col("_i") % F.greatest(F.lit(1), F.ceil(F.col("_n") / points)) == 0) | (F.col("_i") == F.col("_n") - 1)
     first, last = F.min_by("close", "date"), F.max_by("close", "date")
     return rows.groupBy("ticker").agg(
         F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count("*").alias("trading_days"), first.alias("start_close"), last.alias("end_close"),
-        (last / first - 1).alias("total_return"), (F.stddev_samp("_r") * 252**0.5).alias("annualised_volatility"), F.min(F.col("close") / F.col("_top") - 1).alias("max_drawdown"),
-        F.max("close").alias("high"), F.min("close").alias("low"), (last / F.max("close") - 1).alias("distance_from_high"),
+        (ratio(last, first) - 1).alias("total_return"), (F.stddev_samp("_r") * 252**0.5).alias("annualised_volatility"), F.min(ratio("close", "_top") - 1).alias("max_drawdown"),
+        F.max("close").alias("high"), F.min("close").alias("low"), (ratio(last, F.max("close")) - 1).alias("distance_from_high"),
         F.sort_array(F.collect_list(F.when(shown, F.struct("date", "close")))).alias("series"),
     )
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.frames import by_ticker
+from panelweave.functions.frames import by_ticker, ratio
 
 COVERAGE = 0.5
 AFTER_REMOVAL_DAYS = 45
@@ -123,7 +123,7 @@ def delistings(prices: DataFrame, removals: DataFrame | None = None, intervals:
     reason = removals.groupBy("ticker").agg(F.first("reason").alias("reason")) if removals is not None else None
     ended = ended.join(reason, "ticker", "left") if reason is not None else ended.withColumn("reason", F.lit(None).cast("string"))
     ended = ended.withColumn("reason", F.coalesce("reason", F.lit("")))
-    poor = F.lower("reason").rlike("|".join(POOR_WORDS)) | F.coalesce(F.col("_close") / F.col("_q") - 1 < -0.5, F.lit(False))
+    poor = F.lower("reason").rlike("|".join(POOR_WORDS)) | F.coalesce(ratio("_close", "_q") - 1 < -0.5, F.lit(False))
     return ended.select("ticker", "last_date", "reason", F.when(poor, POOR_RETURN).otherwise(0.0).alias("delisting_return"))
 
 
@@ -146,7 +146,7 @@ def normalise_ticker(value: Column) -> Column:
 def price_checks(prices: DataFrame) -> DataFrame:
     """One row: size, span, duplicates, extreme moves, early ends, gaps, years."""
     by = by_ticker()
-    steps = prices.withColumns({"_move": F.col("close") / F.lag("close").over(by) - 1, "_gap": F.datediff("date", F.lag("date").over(by))})
+    steps = prices.withColumns({"_move": ratio("close", F.lag("close").over(by)) - 1, "_gap": F.datediff("date", F.lag("date").over(by))})
     total = steps.agg(
         F.count("*").alias("rows"), F.count_distinct("ticker").alias("tickers"), F.min("date").alias("start"), F.max("date").alias("end"),
         F.count_if(F.abs("_move") > EXTREME_MOVE).alias("extreme_daily_moves"), F.coalesce(F.max("_gap"), F.lit(0)).alias("longest_gap_days"),
@@ -160,7 +160,7 @@ def price_checks(prices: DataFrame) -> DataFrame:
 
 
 def extreme_moves(prices: DataFrame, n: int = 5) -> DataFrame:
-    moves = prices.withColumn("move", F.col("close") / F.lag("close").over(by_ticker()) - 1).filter(F.abs("move") > EXTREME_MOVE)
+    moves = prices.withColumn("move", ratio("close", F.lag("close").over(by_ticker())) - 1).filter(F.abs("move") > EXTREME_MOVE)
     return moves.select("ticker", "date", "move").orderBy(F.desc(F.abs("move")), "ticker", "date").limit(n)
 
 

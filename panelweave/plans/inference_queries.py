@@ -51,9 +51,9 @@ def v3_auc(spark, sf_dir):
     "SELECT signal, round(avg(ic), 6) AS ic_mean, round(avg(CAST(ic > 0 AS INT)), 6) AS ic_positive_share, count(*) AS ic_days FROM ic GROUP BY 1"
 )
 def v7_signal_report(spark, sf_dir):
-    from panelweave.functions.frames import by_ticker
+    from panelweave.functions.frames import by_ticker, ratio
 
-    df = usable(features(spark, sf_dir)).withColumn("nx", F.lead("close", 1).over(by_ticker()) / F.col("close") - 1)
+    df = usable(features(spark, sf_dir)).withColumn("nx", ratio(F.lead("close", 1).over(by_ticker()), "close") - 1)
     found = validation.signal_report(df, RANKED, "nx", 1)
     return six(found.select("signal", "ic_mean", "ic_positive_share", "ic_days"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelweave.functions.frames import by_ticker
+from panelweave.functions.frames import by_ticker, ratio
 from panelweave.operators import backtest as bt
 from panelweave.operators import labels, serving, universe, validation
 from panelweave.operators.asof import to_next_session
@@ -34,7 +34,7 @@ def c5_c6_clean_former(spark, sf_dir):
     SELECT ticker, f.date, CASE WHEN no + 6 < (SELECT c FROM c) THEN round(r, 6) END AS future_return_5d FROM f JOIN d USING (date) WHERE f.date < DATE '2000-01-03'"""
 )
 def l6_research_window(spark, sf_dir):
-    df = view(spark, sf_dir, "panel").withColumn("future_return_5d", F.lead("close", 5).over(by_ticker()) / F.col("close") - 1)
+    df = view(spark, sf_dir, "panel").withColumn("future_return_5d", ratio(F.lead("close", 5).over(by_ticker()), "close") - 1)
     return six(labels.research_window(df, "2000-01-03").select("ticker", "date", "future_return_5d"))
 
 
@@ -129,6 +129,6 @@ def c8_c10_company_industries(spark, sf_dir):
     n AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i FROM ic) SELECT round(avg(ic), 6) AS ic_mean, round(avg(ic) FILTER (i % 5 = 0) / stddev_samp(ic) FILTER (i % 5 = 0) * sqrt(count(*) FILTER (i % 5 = 0)), 5) AS ic_tstat_nonoverlap, round(avg(CAST(ic > 0 AS INT)), 6) AS ic_positive_share, count(*) AS ic_days FROM n"""
 )
 def v2_ic_summary(spark, sf_dir):
-    df = usable(features(spark, sf_dir)).withColumn("nx", F.lead("close", 1).over(by_ticker()) / F.col("close") - 1)
+    df = usable(features(spark, sf_dir)).withColumn("nx", ratio(F.lead("close", 1).over(by_ticker()), "close") - 1)
     found = validation.ic_summary(information_coefficients(df, "return_20d", "nx"), 5)
     return six(found.select("ic_mean", F.round("ic_tstat_nonoverlap", 5).alias("ic_tstat_nonoverlap"), "ic_positive_share", "ic_days"))

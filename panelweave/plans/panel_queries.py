@@ -184,9 +184,9 @@ def x2_x5_relative_returns(spark, sf_dir):
 )
 def flagship_momentum_ic(spark, sf_dir):
     df = labels.forward_returns(on_calendar(view(spark, sf_dir, "panel")), horizons=(5,))
-    from panelweave.functions.frames import by_ticker
+    from panelweave.functions.frames import by_ticker, ratio
 
-    momentum = F.lag("close", 21).over(by_ticker()) / F.lag("close", 252).over(by_ticker()) - 1
+    momentum = ratio(F.lag("close", 21).over(by_ticker()), F.lag("close", 252).over(by_ticker())) - 1
     df = df.withColumn("momentum_12_1", momentum).filter("NOT _filled")
     ic = information_coefficients(df, "momentum_12_1", "future_return_5d")
     return ic.groupBy(F.year("date").alias("year")).agg(F.count("*").alias("dates"), F.round(F.avg("ic"), 6).alias("mean_ic"))
