@@ -13,10 +13,16 @@ bits or fewer agree on at least blocks - radius of them, so each combination of
 that many blocks, with their bits, is a key, and any linked pair shares a key.
 A key that holds more than `hot` fingerprints is cut again: its remaining bits
 go into radius + 1 blocks, of which the pair must share one.
+
+`packed_buckets` is the form for many keys of random bits: a task packs its
+prints by key into arrays, so that a key costs the shuffle the bytes of a print
+instead of a row.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from itertools import combinations
 
 import numpy as np
@@ -54,7 +60,7 @@ def close_pairs(bucket: np.ndarray, prints: np.ndarray, radius: int, most: int =
             yield shared[i], shared[j]
         return
     n, width = prints.shape
-    first = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1 if n else 0) != 0) if n else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=~bucket[:1]) != 0)
     size = np.diff(np.append(first, n))
     at = np.arange(n) - np.repeat(first, size)  # place within the bucket
     lane = (at % 64).astype(np.uint64)
@@ -190,3 +196,119 @@ def links(prints: DataFrame, radius: int, blocks: int, hot: int = 20_000) -> Dat
     rows = keyed(prints, radius, blocks, hot).select("key", "fp")
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", "fp")
     return sorted_rows.mapInArrow(_star_edges(radius), "a long, b long")
+
+
+def key_plan(n: int, cosine: float, recall: float, bucket: int, width: int = 64) -> list[int]:
+    """Masks of the keys for n prints of `width` bits: each some random bits.
+
+    Keys are as long as leaves some `bucket` prints to each. Two prints of sets
+    with the cosine given agree on a bit with chance 1 - angle / pi; given their
+    distance d, a key is shared with chance C(width - d, bits) / C(width, bits).
+    There are as many keys as find them with chance `recall` over d, for every n.
+    """
+    agree = 1 - math.acos(cosine) / math.pi
+    bits = min(width // 2, max(6, round(math.log2(max(n, 1) / bucket)))) if n > bucket else 6
+    chance = [math.comb(width, d) * (1 - agree) ** d * agree ** (width - d) for d in range(width + 1)]
+    shared = [math.comb(width - d, bits) / math.comb(width, bits) for d in range(width + 1)]
+    tables = 1
+    while sum(c * (1 - p) ** tables for c, p in zip(chance, shared, strict=True)) > 1 - recall:
+        tables += 1
+    rng = random.Random(64)
+    return [sum(1 << b for b in rng.sample(range(width), bits)) for _ in range(tables)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(29)
+
+
+def _pack(masks: list[int], slots: int, most: int = 500_000):
+    """(t, slot, f0, f1): for every key t, the prints of a task by slot of the key."""
+
+    def rows(held):
+        f0, f1 = (np.concatenate(x) for x in zip(*held, strict=True))
+        for t, mask in enumerate(masks):
+            slot = (_mixed((f0.view(np.uint64) & np.uint64(mask)) + np.uint64(1)) >> np.uint64(32)) % np.uint64(slots)
+            order = np.argsort(slot, kind="stable")
+            found, first = np.unique(slot[order], return_index=True)
+            ends = np.append(first[1:], len(order))
+            a, b = f0[order], f1[order]
+            columns = [pa.array(np.full(len(found), t, np.int32)), pa.array(found.astype(np.int32))]
+            columns += [pa.array([x[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays(columns, ["t", "slot", "f0", "f1"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)))
+            n += batch.num_rows
+            if n >= most:
+                yield from rows(held)
+                held, n = [], 0
+        if n:
+            yield from rows(held)
+
+    return run
+
+
+def _unpack(masks: list[int], hot: int, clusters):
+    """(cluster, f0, f1, key) from packed prints in order of t and slot: what
+    `clusters` finds, with no key; the prints of a bucket of over `hot`, with its key."""
+
+    def found(t, held):
+        f0, f1 = (np.concatenate(x) for x in zip(*held, strict=True))
+        key = f0.view(np.uint64) & np.uint64(masks[t])
+        order = np.argsort(key, kind="stable")
+        key, f0, f1 = key[order], f0[order], f1[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        full = np.repeat(np.diff(np.append(first, len(key))) > hot, np.diff(np.append(first, len(key))))
+        cluster, member = clusters(key[~full], f0[~full], f1[~full])
+        yield pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(member), pa.nulls(len(member), pa.int32()), pa.nulls(len(member), pa.int64())], ["cluster", "f0", "f1", "key"])
+        if full.any():
+            of = _mixed(key[full] + np.uint64(t)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(of), pa.int64()), pa.array(f0[full]), pa.array(f1[full]), pa.array(of)], ["cluster", "f0", "f1", "key"])
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            for t, slot, f0, f1 in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (t, slot) != at:
+                    if held:
+                        yield from found(at[0], held)
+                    at, held = (t, slot), []
+                held.append((np.frombuffer(f0, np.int64), np.frombuffer(f1, np.int32)))
+        if held:
+            yield from found(at[0], held)
+
+    return run
+
+
+def _tiles(clusters):
+    def run(batches):
+        for key, f0, f1 in whole_buckets(batches, 3):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in clusters(key, f0, f1)], ["cluster", "f0"])
+
+    return run
+
+
+def packed_buckets(prints: DataFrame, masks: list[int], clusters, slot_rows: int = 250_000, hot: int = 20_000) -> DataFrame:
+    """(cluster, f0): what `clusters(key, f0, f1)`, rows in order of the key, finds
+    in the buckets of the distinct prints (f0 of 64 bits, f1 of 32) by every mask.
+
+    Each key's prints go to slots of about `slot_rows`. A bucket of over `hot`
+    prints is dealt into tiles, of which every two meet in a task.
+    """
+    slots = max(1, -(-prints.count() // slot_rows))
+    packed = prints.mapInArrow(_pack(masks, slots), "t int, slot int, f0 binary, f1 binary")
+    met = packed.repartition(slots * len(masks), "t", "slot").sortWithinPartitions("t", "slot")
+    met = settle(met.mapInArrow(_unpack(masks, hot, clusters), "cluster long, f0 long, f1 int, key long").distinct(), "buckets")
+    found = met.filter("key IS NULL").select("cluster", "f0")
+    full = met.filter("key IS NOT NULL")
+    if full.isEmpty():
+        return found
+    tiles = full.groupBy("key").agg(F.ceil(2 * F.count("*") / hot).cast("int").alias("tiles"))
+    side = F.pmod(F.xxhash64("f0"), F.col("tiles"))
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda o: F.xxhash64("key", F.least(side, o), F.greatest(side, o)))
+    rows = full.join(tiles, "key").select(F.explode(meet).alias("key"), "f0", "f1")
+    again = rows.repartition("key").sortWithinPartitions("key", "f0").mapInArrow(_tiles(clusters), "cluster long, f0 long")
+    return found.unionByName(again)

@@ -471,27 +471,64 @@ class TestLines:
         near = line.replace(line.split()[30], "swapped", 1)
         other = prose(rng, 60)
         df = spark.createDataFrame([(1, f"{line}\n{other}\nshort one"), (2, f"{line.upper()}!\nshort one\n\n{prose(rng, 40)}"), (3, near), (4, None), (5, ""), (6, f"{other}\n{other}")], "doc_id long, text string")
-        got = {r.doc_id: (r.n_lines, r.removed) for r in linededup.verdicts(df, radius=6, blocks=8).collect()}
+        got = {r.doc_id: (r.n_lines, r.removed) for r in linededup.verdicts(df).collect()}
         assert got[1] == (3, []) and got[2] == (3, [0]) and got[3] == (1, [0]) and got[6] == (2, [0, 1])
         assert 4 not in got and 5 not in got
         clean = {r.doc_id: r.text for r in linededup.dedup(df).collect()}
         assert clean[6] == "" and clean[4] is None and clean[5] == "" and clean[1] == f"{line}\n{other}\nshort one"
 
     def test_recall_at_the_defaults(self, spark):
+        """Lines of 8 to 80 words with words changed, left out and put in, against
+        the edit similarity of all pairs."""
         import random
 
         from panelweave.llm import linededup
 
         rng = random.Random(14)
-        rows = []
-        for i in range(100):
-            line = prose(rng, 60).split()
-            near = [*line[:30], "swapped", *line[31:]]
-            assert linededup.alike(" ".join(line), " ".join(near), 0.8)
-            rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(near))]
-        df = spark.createDataFrame(rows, "doc_id long, text string")
+        lines = []
+        for i in range(150):
+            line = prose(rng, (8, 15, 30, 80)[i % 4]).split()
+            lines.append(line)
+            for _ in range(2):
+                near = list(line)
+                for _ in range(rng.choice((1, 1, 2)) * len(line) // 15 + 1):
+                    k = rng.randrange(len(near))
+                    near[k : k + 1] = rng.choice(([], ["swapped"], [near[k], "added"]))
+                lines.append(near)
+        texts = [" ".join(x) for x in lines]
+        pairs = [(i, j) for i in range(len(texts)) for j in range(i) if abs(len(texts[i]) - len(texts[j])) < 40 and texts[i] != texts[j] and linededup.alike(texts[i], texts[j], 0.8)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         gone = {r.doc_id for r in linededup.verdicts(df).filter(F.size("removed") > 0).collect()}
-        assert len(gone) >= 85 and all(d % 2 for d in gone)
+        found = [i in gone or j in gone for i, j in pairs]
+        assert len(pairs) > 150 and sum(found) >= 0.9 * len(pairs)
+        root = list(range(len(texts)))  # nothing goes that is not linked to a line that stays
+        for i, j in pairs:
+            root = [root[j] if r == root[i] else r for r in root]
+        assert all(any(root[k] == root[i] and k not in gone for k in range(len(texts))) for i in gone)
+
+    def test_one_large_cluster_in_tiles(self, spark):
+        import random
+
+        from panelweave.llm import linededup
+
+        rng = random.Random(15)
+        base = prose(rng, 40).split()
+        rows = [(i, " ".join([*base[: i % 40], f"w{i}", *base[i % 40 + 1 :]])) for i in range(120)] + [(500, prose(rng, 40))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        for options in ({}, {"tile": 16}):
+            gone = {r.doc_id for r in linededup.verdicts(df, **options).filter(F.size("removed") > 0).collect()}
+            assert gone == set(range(1, 120))
+
+    def test_full_buckets_meet_in_tiles(self, spark):
+        from panelweave.llm.bitslice import key_plan, packed_buckets
+        from panelweave.llm.linededup import _clusters
+
+        rng = np.random.default_rng(5)
+        prints = [(int(f) ^ (1 << int(b)), 7) for f in rng.integers(0, 1 << 62, 30) for b in rng.integers(0, 60, 8)]
+        df = spark.createDataFrame(list(set(prints)), "f0 long, f1 int")
+        masks = key_plan(1000, 0.9, 0.9, 256)
+        whole, cut = ({r.f0 for r in packed_buckets(df, masks, _clusters(4), slot_rows=50, hot=hot).collect()} for hot in (10**6, 4))
+        assert whole == cut and len(whole) > 200
 
     def test_awkward(self, docs, none, rows):
         from panelweave.llm import linededup
