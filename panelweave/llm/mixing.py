@@ -4,19 +4,21 @@ Targets: sources in code-point order (null last) weigh 5, 2, 1 and so on; they
 share `share` times all words, and a target stops at `most` times its source's
 words, the excess being reshared by weight until none is above.
 
-Quotas: a source's documents are dealt by a hash of the id into shards of about
+Quotas: a source's documents are dealt by a hash into shards of about
 `shard_words` words; a shard is laid out in the order of a seeded hash and cut
-into blocks of equally many words. All blocks of the mix are allocated to the
+into blocks of `block_words` words (of equally many: the shard's words over the
+nearest whole number of blocks). All blocks of the mix are allocated to the
 sources by highest quotients of their targets (target over 1, 3, 5, ...), and a
-source's quota to its shards by highest quotients of their blocks, which gives
-an integer quota for each shard. A quota of q over n blocks takes every block
-q div n times and q mod n blocks, those with the lowest seeded hash, once more:
-the shard's row needs only the hash of the last block taken, and each document
-works out from it which of its blocks are in.
-
-Rows: null texts have no words and take none; ties in the order are between
-equal hashes, ids and sizes, which are interchangeable; repeated rows share one
-place in a shard and are laid out one after another; a null source is a source;
+source's quota to its shards by highest quotients of their blocks, which gives an
+integer quota for each shard. A quota of q over n blocks takes every block q div n
+times, and q mod n blocks once more: those that follow one another, around the
+shard's end, from a block that the seed draws. So every block is as likely, and
+all documents but those at the ends of the run are taken whole. A source's taken
+words differ from its target by half a block, and rounding, whatever the size.
+
+Rows: null texts have no words and take none; repeated rows (same id and text)
+share a shard and are laid out one after another, in any order; null ids are
+dealt by their texts; a null source is a source;
 an empty table gives an empty result. Further columns pass through untouched,
 whatever their names.
 """
@@ -68,19 +70,15 @@ def apportion(rows: DataFrame, within: list[str], claim: Column, seats: Column,
     return won.withColumn("quota", F.col("low") + F.col("won")).drop("low", "won")
 
 
-def block_hash(seed: int, *parts: Column) -> Column:
-    return F.xxhash64(F.lit(seed), *parts)
-
-
 def plan(sized: DataFrame, seed: int, share: float, most: float, shard_words: int, block_words: int) -> tuple[DataFrame, DataFrame]:
-    """Sources with targets and shard counts; shards with quotas."""
+    """Sources with targets and shard counts; shards with how often they are taken
+    whole (`full`) and the words of their run: from `low` to `high`, and from the
+    shard's first word to `wrapped`."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = targets(sources, share, most).withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int"))
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
-    block = max(1, min(block_words, total // 200_000))
     sources = settle(sources, "sources")
     shards = deal(sized, sources, seed).groupBy("source", "source_size", "target", "shard").agg(F.sum("size").alias("words"))
-    shards = shards.withColumn("blocks", F.greatest(F.round(F.col("words") / block), F.lit(1)).cast("long")).filter("words > 0")
+    shards = shards.withColumn("blocks", F.greatest(F.round(F.col("words") / block_words), F.lit(1)).cast("long")).filter("words > 0")
     of_source = shards.groupBy("source").agg(F.sum("blocks").alias("blocks"), F.max("target").alias("target"), F.max("source_size").alias("source_size"))
     claim = F.col("target") / F.col("source_size") * F.col("blocks")
     quotas = apportion(of_source, [], claim, F.round(F.sum(claim).over(Window.partitionBy())).cast("long"), ["source"])
@@ -88,66 +86,62 @@ def plan(sized: DataFrame, seed: int, share: float, most: float, shard_words: in
     joined = shards.join(quotas, F.col("source").eqNullSafe(F.col("_source"))).select("source", "shard", "words", "blocks", "source_quota")
     dealt = apportion(joined, ["source"], F.col("blocks").cast("double"), F.col("source_quota"), ["shard"])
     dealt = dealt.withColumn("quota", F.least(F.col("quota"), F.floor(F.col("blocks") * F.lit(most))))
-    dealt = dealt.withColumns({"full": F.floor(F.col("quota") / F.col("blocks")), "rest": (F.col("quota") % F.col("blocks")).cast("int")})
-    hashes = F.sort_array(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: block_hash(seed, F.col("source"), F.col("shard"), j)))
-    dealt = dealt.withColumn("upto", F.when(F.col("rest") > 0, F.element_at(hashes, F.greatest(F.col("rest"), F.lit(1)))))
-    return sources, settle(dealt.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "words", "blocks", "full", "upto"), "quotas")
+    dealt = dealt.withColumns({"full": F.floor(F.col("quota") / F.col("blocks")), "rest": F.col("quota") % F.col("blocks"), "begin": F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.col("blocks"))})
+    edge = lambda block: F.ceil(block * F.col("words") / F.col("blocks")).cast("long")  # noqa: E731  first word of a block
+    end = F.col("begin") + F.col("rest")
+    runs = {"low": edge(F.col("begin")), "high": edge(F.least(end, F.col("blocks"))), "wrapped": edge(F.greatest(end - F.col("blocks"), F.lit(0)))}
+    return sources, settle(dealt.withColumns(runs).select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "full", *runs), "quotas")
 
 
 def deal(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     """Join documents with their source's row and deal them into its shards."""
     named = sources.withColumnRenamed("source", "_source")
     joined = sized.join(broadcast_if_small(named, named.count()), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return joined.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_shards")).cast("int")).drop("n_shards")
+    return joined.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "th"), F.col("n_shards")).cast("int")).drop("n_shards")
 
 
-def mix(documents: DataFrame, seed: int = 17, share: float = 1.5, most: float = 2.0, shard_words: int = 2_000_000, block_words: int = 1000, carry: bool = True) -> DataFrame:
+def mix(documents: DataFrame, seed: int = 17, share: float = 1.5, most: float = 2.0, shard_words: int = 2_000_000, block_words: int = 50, carry: bool = True) -> DataFrame:
     """Documents with size, source_size, target, taken and `pieces`: an array of
-    (first word, words, times) of the blocks that the document has a part of.
+    (first word, words, times) of the passages that are taken of the document.
 
     With `carry` false only doc_id and source are kept of the input; else `row`
     holds its columns, whatever their names, and `text` stands beside it.
     """
-    size = word_count(F.col("text"))
-    sized = settle(documents.select("doc_id", "source", size.alias("size")), "sizes")
+    size, th = word_count(F.col("text")), F.xxhash64("text")
+    sized = settle(documents.select("doc_id", "source", size.alias("size"), th.alias("th")), "sizes")
     sources, shards = plan(sized, seed, share, most, shard_words, block_words)
     others = F.struct("doc_id", *[c for c in documents.columns if c not in ("doc_id", "text")])
-    rows = documents.select("doc_id", "source", size.alias("size"), "text", others.alias("row")) if carry else sized
+    rows = documents.select("doc_id", "source", size.alias("size"), th.alias("th"), "text", others.alias("row")) if carry else sized
     rows = deal(rows, sources, seed)
-    order = Window.partitionBy("source", "shard").orderBy(block_hash(seed + 1, F.col("doc_id")), "doc_id", "size")
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "th"), "doc_id", "th")
     rows = rows.withColumn("_start", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard"))
     rows = rows.join(broadcast_if_small(shards, shards.count()), same, "left")
-    span = F.sequence(F.expr("_start * blocks div words"), F.expr("(_start + size - 1) * blocks div words"))
 
-    def piece(j: Column) -> Column:
-        low = F.greatest(F.ceil(j * F.col("words") / F.col("blocks")).cast("long"), F.col("_start"))
-        high = F.least(F.ceil((j + 1) * F.col("words") / F.col("blocks")).cast("long"), F.col("_start") + F.col("size"))
-        once = F.coalesce((block_hash(seed, F.col("source"), F.col("shard"), j) <= F.col("upto")).cast("int"), F.lit(0))
-        return F.struct((low - F.col("_start")).alias("first"), (high - low).alias("words"), (F.col("full") + once).cast("int").alias("times"))
+    def run(low: Column, high: Column) -> Column:
+        a, b = F.greatest(low, F.col("_start")), F.least(high, F.col("_start") + F.col("size"))
+        return F.struct((a - F.col("_start")).alias("first"), (b - a).alias("words"), F.lit(1).alias("times"))
 
-    rows = rows.withColumn("pieces", F.when((F.col("size") > 0) & F.col("words").isNotNull(), F.transform(span, piece)))
+    whole = F.struct(F.lit(0).cast("long").alias("first"), F.col("size").alias("words"), F.col("full").cast("int").alias("times"))
+    pieces = F.array(whole, run(F.lit(0).cast("long"), F.col("wrapped")), run(F.col("low"), F.col("high")))
+    pieces = F.filter(pieces, lambda p: (p["words"] > 0) & (p["times"] > 0))
+    rows = rows.withColumn("pieces", F.when((F.col("size") > 0) & F.col("full").isNotNull(), pieces))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"] * p["times"])
     rows = rows.withColumn("taken", F.coalesce(taken, F.lit(0).cast("long")))
-    return rows.drop("_start", "_source", "_shard", "words", "blocks", "full", "upto")
+    return rows.drop("_start", "_source", "_shard", "full", "low", "high", "wrapped", "th")
 
 
 def mixed_texts(documents: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of `documents`: a row for each pass over
-    a document. A pass that takes all its blocks has the text as it is; else the
-    text is that of its runs of taken words, each with its white space, joined."""
-    rows = mix(documents, **options)
-    top = F.coalesce(F.array_max(F.transform("pieces", lambda p: p["times"])), F.lit(0))
-    rows = rows.filter("taken > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1), top)))
-    rows = rows.withColumn("pieces", F.filter("pieces", lambda p: p["times"] >= F.col("_pass")))
-    held = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"])
+    """The mix itself, with the columns of `documents`: a row for each time that a
+    passage of a document is taken. Passages are the whole text as it is, or a
+    stretch of its words that follow one another, each with the white space after it."""
+    rows = mix(documents, **options).withColumn("_p", F.explode("pieces"))
+    rows = rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_p.times"))))
     # split before every word: each part is a word with the white space after it
     parts = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    lead = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("long")
-    rows = rows.withColumn("_parts", F.when(held < F.col("size"), F.struct(parts.alias("p"), (F.when(lead == 1, 1).otherwise(0)).alias("lead"))))
-    cut = F.transform("pieces", lambda p: F.array_join(F.slice(F.col("_parts.p"), (p["first"] + F.col("_parts.lead") + 1).cast("int"), p["words"].cast("int")), ""))
-    text = F.when(F.col("_parts").isNull(), F.col("text")).otherwise(F.array_join(cut, ""))
-    rows = rows.withColumn("text", text)
+    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 2).otherwise(1)
+    cut = F.array_join(F.slice(parts, (F.col("_p.first") + lead).cast("int"), F.col("_p.words").cast("int")), "")
+    rows = rows.withColumn("text", F.when(F.col("_p.words") == F.col("size"), F.col("text")).otherwise(cut))
     changed = {"text": F.col("text")}
     if "n_chars" in documents.columns:
         changed["n_chars"] = F.length("text").cast(documents.schema["n_chars"].dataType)

@@ -242,9 +242,13 @@ class TestMixing:
     def test_many_shards(self, docs):
         from panelweave.llm import mixing
 
-        got = mixing.mix(docs, shard_words=500, block_words=7).select("size", "taken", "pieces").collect()
+        got = mixing.mix(docs, shard_words=500, block_words=7).select("source", "target", "size", "taken", "pieces").collect()
+        taken, target = Counter(), {}
         for r in got:
-            assert r.taken == sum(p.words * p.times for p in r.pieces or []) and r.size == sum(p.words for p in r.pieces or [])
+            assert r.taken == sum(p.words * p.times for p in r.pieces or []) and all(0 <= p.first and p.first + p.words <= r.size for p in r.pieces or [])
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+        assert all(abs(taken[s] - t) <= max(10, 0.02 * t) for s, t in target.items())
 
     def test_texts_hold_the_words_taken(self, docs, none):
         from panelweave.llm import mixing
@@ -254,6 +258,21 @@ class TestMixing:
         assert count(mixed) == mixing.takings(docs).agg(F.sum("taken")).first()[0]
         assert mixed.columns == docs.columns and mixing.mixed_texts(none).count() == 0
 
+    @pytest.mark.parametrize("copies", [1, 4])
+    def test_texts_are_passages_at_every_size(self, docs, rows, spark, copies):
+        """Most texts are whole; the others are stretches of their document, two to a shard at most."""
+        from panelweave.llm import mixing
+
+        more = docs.filter("doc_id IS NOT NULL").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        more = more.withColumns({"doc_id": F.col("doc_id") * 10 + F.col("k"), "text": F.concat("text", F.lit(" "), F.col("k").cast("string"))}).drop("k")
+        source = defaultdict(set)
+        for r in more.collect():
+            source[r.doc_id].add(r.text)
+        mixed = mixing.mixed_texts(more).collect()
+        assert all(any(r.text in t for t in source[r.doc_id] if t) for r in mixed)
+        cut = [r for r in mixed if r.text not in source[r.doc_id]]
+        assert len(cut) <= 3 * more.select("source").distinct().count()
+
     def test_apportionment(self, spark):
         from panelweave.llm import mixing
 
