@@ -13,7 +13,7 @@ the classes' true shares.
 Rows: labels that are null are left out, a document labelled more than once is
 toxic if one label says so; null and empty texts have no feature and get the
 score of the intercept; repeated rows are scored alike; with no labels of one
-class every score is the share of label 1 (0.0 without labels); an empty table
+class every score is 0 or 1 as that class says (to 1e-20; 0 without labels); an empty table
 gives an empty result. Further columns of the inputs are ignored.
 """
 
@@ -64,25 +64,53 @@ def _count(batches):
 
 
 def _features(slots: np.ndarray):
+    """(toxic, n, held): for each batch of texts, their labels, how many features
+    each holds, and the features' numbers one text after another, in bytes."""
+
     def run(batches):
         where = np.full(1 << BITS, -1, np.int32)
         where[slots] = np.arange(len(slots))
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            held = []
+            counts, held = [], []
             for a, b in slices(texts):
                 row, slot = present(texts[a:b], where >= 0)
-                held += np.split(where[slot], np.searchsorted(row, np.arange(1, b - a)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int32()))], ["toxic", "held"])
+                counts.append(np.bincount(row, minlength=b - a).astype(np.int32))
+                held.append(where[slot].astype(np.int32))
+            y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int8)
+            columns = [np.concatenate(x).tobytes() for x in ([y], [*counts, np.zeros(0, np.int32)], [*held, np.zeros(0, np.int32)])]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in columns], ["toxic", "n", "held"])
 
     return run
 
 
-def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, ridge: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated gradient steps on the ridge log-loss."""
-    n = len(y)
-    times = lambda w: np.bincount(rows, values * w[columns], n)
-    back = lambda g: np.bincount(columns, values * g[rows], width)
+def logistic(counts: np.ndarray, columns: np.ndarray, ratio: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 300, part: int = 500_000) -> tuple[np.ndarray, float]:
+    """Weights and intercept by accelerated gradient steps on the ridge log-loss.
+
+    Row i holds the next `counts[i]` of `columns`, each with the value of its
+    column in `ratio`. Sums go over some `part` entries at a time, so beside the
+    columns themselves nothing is held for every entry.
+    """
+    n, width = len(y), len(ratio)
+    ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + part, part)).clip(0, n))
+
+    def each():
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield a, b, np.repeat(np.arange(b - a), counts[a:b]), columns[ends[a] : ends[b]]
+
+    def times(w):
+        scaled, out = ratio * w, np.zeros(n)
+        for a, b, row, column in each():
+            out[a:b] = np.bincount(row, scaled[column], b - a)
+        return out
+
+    def back(g):
+        out = np.zeros(width)
+        for a, b, row, column in each():
+            out += np.bincount(column, g[a:b][row], width)
+        return ratio * out
+
     v = np.ones(width)
     for _ in range(15):  # largest eigenvalue of X'X, for the step
         v = back(times(v))
@@ -122,10 +150,10 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 12_000, featur
     best = counts.filter("p + n >= 3").withColumn("gap", F.abs(gap)).orderBy(F.desc("gap"), "slot").limit(features).collect()
     slots = np.array([r.slot for r in best], np.int64)
     ratio = np.array([math.log((r.p + 1) / (p_all + 2)) - math.log((r.n + 1) / (n_all + 2)) for r in best])
-    held = texts.mapInArrow(_features(slots), "toxic int, held array<int>").toPandas()
-    columns = np.concatenate([np.asarray(x, np.int64) for x in held.held])
-    rows = np.repeat(np.arange(len(held)), held.held.map(len))
-    weights, intercept = logistic(rows, columns, ratio[columns], held.toxic.to_numpy(float), len(slots))
+    held = texts.mapInArrow(_features(slots), "toxic binary, n binary, held binary").collect()
+    y, counts, columns = (np.concatenate([np.frombuffer(r[k], kind) for r in held]) for k, kind in enumerate((np.int8, np.int32, np.int32)))
+    del held
+    weights, intercept = logistic(counts, columns, ratio, y.astype(float))
     intercept += math.log(share.p / (share.n - share.p)) - math.log(p_all / n_all)
     return slots, weights * ratio, intercept
 
