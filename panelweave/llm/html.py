@@ -6,8 +6,10 @@ either label, -log of its probability, becomes the block's capacity from the
 source and to the sink. Blocks that stand next to each other, and blocks of one
 parent element, are joined by smoothness edges that weaken with their distance in
 the tree. Maximum flow separates the blocks: those still reached from the source
-are the article. The classifier's weights are fixed parameters of this module,
-since pages have no labels to learn from.
+are the article. So a title or a short paragraph that is boilerplate by itself is
+content among paragraphs, and a sentence in an element of its own is not. The
+classifier's weights are fixed parameters of this module, since pages have no
+labels to learn from; names of classes are one kind of its features.
 
 Rows: null and empty pages have an empty text; pages cut off in a tag, comment,
 script or quote keep what stands before; very long pages are cut in time near
@@ -60,23 +62,31 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Node:
-    """An open block element: how it and those above bear on a block's odds."""
+    """An open block element: how it and those above bear on a block's odds.
 
-    __slots__ = ("tag", "parent", "depth", "number", "around", "core", "nearest")
+    `around` and `remark`: it or one above is boilerplate by its tag, by its names.
+    `nearest`: 1 or -1 if the nearest marked one is a core or a frame. `wall`: it is
+    marked as boilerplate itself, so what is inside and outside stand apart.
+    """
+
+    __slots__ = ("tag", "parent", "depth", "number", "around", "remark", "core", "nearest", "wall")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None, number: int):
         self.tag, self.parent, self.number = tag, parent, number
         self.depth = parent.depth + 1 if parent else 0
         tokens, hidden = _tokens(attrs) if attrs else (set(), False)
+        if tag in ("html", "body"):
+            tokens = set()
         above_core = parent.core if parent else False
-        outer = tag in ("html", "body")
-        core = tag in ("article", "main") or (bool(tokens & CORE) and not outer)
-        around = tag in AROUND or hidden or (bool(tokens & REMARKS) and not outer) or (tag == "header" and not above_core)
-        frame = bool(tokens & FRAME) and not outer or ("header" in tokens and not above_core and not tokens & CORE and not outer)
+        core = tag in ("article", "main") or bool(tokens & CORE)
+        around = tag in AROUND or hidden or (tag == "header" and not above_core)
+        remark = bool(tokens & REMARKS)
+        frame = bool(tokens & FRAME) or ("header" in tokens and not above_core and not core)
         self.around = around or (parent.around if parent else False)
+        self.remark = remark or (parent.remark if parent else False)
         self.core = core or above_core
-        own = -1 if frame else 1 if core else 0
-        self.nearest = own or (parent.nearest if parent else 0)
+        self.nearest = (-1 if frame else 1 if core else 0) or (parent.nearest if parent else 0)
+        self.wall = around or remark or frame
 
 
 def _tokens(attrs: str) -> tuple[set[str], bool]:
@@ -164,45 +174,55 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
-def odds(block: Block) -> float:
+#: The classifier's log-odds: a base, so much for each doubling of the words, and
+#: for each feature that a block has.
+BASE, DOUBLING = -3.0, 0.7
+WEIGHTS = {
+    "linked": -3.0, "around": -7.0, "remark": -6.0, "frame": -6.0, "core": 2.0, "outside": -3.0, "heading": 0.5, "paragraph": 1.0, "item": -0.5, "sentence": 0.5, "rights": -3.0,
+}
+
+
+def features(block: Block, has_core: bool) -> dict[str, float]:
+    """What a block is like. `outside`: the page has a core and the block is not in it."""
+    node = block.node
+    return {
+        "linked": block.linked, "around": node.around, "remark": node.remark, "frame": node.nearest < 0, "core": node.nearest > 0,
+        "outside": has_core and not node.core, "heading": node.tag in HEADINGS, "paragraph": node.tag in ("p", "blockquote", "pre", "figcaption"),
+        "item": node.tag in ("li", "td", "th"), "sentence": block.text[-1] in ".!?…。", "rights": "©" in block.text or "all rights reserved" in block.text.lower(),
+    }
+
+
+def odds(block: Block, has_core: bool = False) -> float:
     """Log-odds that a block is content."""
-    node, words = block.node, block.text.count(" ") + 1
-    z = -1.5 + 0.9 * math.log2(1 + min(words, 60)) - 4.0 * block.linked
-    if node.around:
-        z -= 10.0
-    z += {1: 6.0, 0: -0.5, -1: -9.0}[node.nearest]
-    if node.tag in HEADINGS:
-        z += 1.0
-    elif node.tag in ("p", "blockquote", "pre", "figcaption"):
-        z += 1.5
-    elif node.tag in ("li", "td", "th"):
-        z -= 0.5
-    if block.text[-1] in ".!?…。":
-        z += 0.5
-    if "©" in block.text or "all rights reserved" in block.text.lower():
-        z -= 3.0
-    return z
-
-
-def tree_distance(a: Node, b: Node) -> int:
+    words = block.text.count(" ") + 1
+    return BASE + DOUBLING * math.log2(1 + min(words, 60)) + sum(WEIGHTS[k] * v for k, v in features(block, has_core).items())
+
+
+def tree_distance(a: Node, b: Node, wall: int = 2) -> int:
+    """Steps in the tree; leaving or entering an element that is marked as
+    boilerplate counts as `wall` more."""
     steps = 0
     while a is not b:
         if a.depth >= b.depth:
+            steps += wall * a.wall
             a = a.parent
         else:
+            steps += wall * b.wall
             b = b.parent
         steps += 1
     return steps
 
 
-def smoothness(found: list[Block], adjacent: float = 0.6, kin: float = 0.4) -> list[tuple[int, int, float]]:
-    """Edges between neighbours on the page, and to the last block of the same parent."""
+def smoothness(found: list[Block], adjacent: float = 2.0, kin: float = 0.5, fall: float = 8.0) -> list[tuple[int, int, float]]:
+    """Edges between neighbours on the page, weaker by `fall` for each step in the
+    tree beyond that of siblings, and to the last block of the same parent."""
     edges, last = [], {}
     for i, block in enumerate(found):
         if i:
-            edges.append((i - 1, i, adjacent * math.exp(-tree_distance(found[i - 1].node, block.node) / 3)))
+            steps = tree_distance(found[i - 1].node, block.node)
+            edges.append((i - 1, i, adjacent * fall ** -max(0, steps - 2)))
         parent = (block.node.parent or block.node).number
-        if last.get(parent, i - 1) != i - 1:
+        if last.get(parent, i - 1) != i - 1 and not block.node.wall:
             edges.append((last[parent], i, kin))
         last[parent] = i
     return edges
@@ -260,12 +280,16 @@ def min_cut(excess: list[float], edges: list[tuple[int, int, float]], least: flo
                     break
 
 
+def labels(found: list[Block]) -> list[bool]:
+    """Whether each block is content, by the minimum cut."""
+    has_core = any(b.node.core for b in found)
+    # -log p(boilerplate) less -log p(content) is the log-odds itself
+    return min_cut([odds(b, has_core) for b in found], smoothness(found))
+
+
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
-    costs = [odds(b) for b in found]
-    # -log p(boilerplate) less -log p(content) is the log-odds itself
-    content = min_cut(costs, smoothness(found))
-    return "\n".join(b.text for b, kept in zip(found, content, strict=True) if kept)
+    return "\n".join(b.text for b, kept in zip(found, labels(found), strict=True) if kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
