@@ -62,7 +62,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t"))
     rows = docs.drop("text").join(found, same, "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return rows.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed_lines"))
+    return rows.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed_lines"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
