@@ -91,6 +91,13 @@ def daily_news(news: DataFrame) -> DataFrame:
     return provided_scores(news).groupBy("ticker", "date").agg(F.count("title").alias("news_count"), F.sum("sentiment_score").alias("sentiment_sum"))
 
 
+def headlines(news: DataFrame) -> DataFrame:
+    """What a reader of the news needs, with its score, by ticker and date."""
+    scored = provided_scores(news)
+    held = [c for c in ("ticker", "date", "title", "summary", "sentiment", "source", "url") if c in scored.columns]
+    return scored.select(*held, "sentiment_score").orderBy("ticker", "date")
+
+
 def align(daily: DataFrame, prices: DataFrame) -> DataFrame:
     """News moved to the ticker's next session and summed again."""
     moved = to_next_session(daily, prices)

@@ -7,11 +7,13 @@ signals. Arguments are checked when the plan is built; a bad one raises ValueErr
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.frames import ratio
+from panelweave.sources.store import read
 
 MOST = 50
 SUSPECT = 0.4
@@ -71,10 +73,25 @@ def resolve(scored: DataFrame, known: DataFrame, asked: DataFrame) -> DataFrame:
     symbol = F.regexp_replace(F.regexp_replace(F.upper(F.trim("asked")), r"^\$+", ""), "-", ".")
     both = scored.select("ticker").unionByName(known.select("ticker")).distinct()
     rows = asked.withColumn("_s", F.explode(F.array_distinct(F.array(symbol, F.regexp_replace(symbol, r"\.", "-")))))
-    found = rows.join(both, F.col("_s") == F.col("ticker"), "left")
+    found = rows.join(both, F.col("_s") == F.col("ticker").cast("string"), "left")
     return found.groupBy("asked").agg(F.max_by("ticker", F.when(F.col("ticker").isNotNull(), F.col("_s") == symbol)).alias("ticker"))
 
 
+def suggestions(scored: DataFrame, known: DataFrame, asked: DataFrame, most: int = 5) -> DataFrame:
+    """(asked, ticker, suggestions): what each asked symbol stands for and, where it
+    stands for none, the companies whose ticker or name it is part of, best first."""
+    found = resolve(scored, known, asked)
+    q = F.upper(F.trim("asked"))
+    names = scored.select(F.col("ticker").alias("_t"), F.upper(F.col("ticker").cast("string")).alias("_u"), F.upper(label(scored)).alias("_n"), F.col("rank").alias("_r"))
+    lost = found.filter("ticker IS NULL AND trim(asked) <> ''").select("asked")  # a stated set of questions
+    hit = F.broadcast(lost).join(names, F.contains("_u", q) | F.contains("_n", q))
+    as_int = lambda c: c.cast("int")
+    score = as_int(F.col("_u") == q) * 4 + as_int(F.startswith("_u", q)) * 2 + as_int(F.contains("_n", q)) * 3 + as_int(F.exists(F.split("_n", r"\s+"), lambda w: w.startswith(q)))
+    best = hit.withColumn("_s", score).withColumn("_k", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("_s"), "_r"))).filter(F.col("_k") <= most)
+    lists = best.groupBy("asked").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_t"))), lambda x: x["_t"]).alias("suggestions"))
+    return found.join(lists, "asked", "left")
+
+
 def data_warning(features: DataFrame, rows: int = 20) -> DataFrame:
     """(ticker, date, move): the largest suspect move among each ticker's last rows."""
     late = features.withColumn("_n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).filter(F.col("_n") <= rows)
@@ -208,10 +225,72 @@ def percentile_profile(scored: DataFrame, ticker) -> DataFrame:
     return rows.filter("percentile IS NOT NULL").withColumn("signal", F.regexp_replace("signal", "_xs_rank$", ""))
 
 
-def overview(features: DataFrame, scored: DataFrame) -> DataFrame:
-    """One row: spans, counts and sectors of the dataset."""
+def overview(features: DataFrame, scored: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """One row: spans, counts and sectors of the dataset, tickers left out of the
+    ranking, and the figures of a quality table of one row."""
     here = scored.agg(F.max("date").alias("as_of_date"), F.count("*").alias("stocks_ranked"), F.concat_ws(", ", F.sort_array(F.collect_set("sector"))).alias("sectors"))
-    return here.crossJoin(features.agg(F.min("date").alias("history_start"), F.max("date").alias("history_end")))
+    spans = features.agg(F.min("date").alias("history_start"), F.max("date").alias("history_end"), F.count_distinct("ticker").alias("tickers"), F.count("*").alias("rows"))
+    out = here.crossJoin(spans).withColumn("left_out", F.col("tickers") - F.col("stocks_ranked"))  # a row each
+    return out if quality is None else out.crossJoin(quality)
+
+
+def front_page(features: DataFrame, scored: DataFrame, macro: DataFrame | None = None, summary: DataFrame | None = None, n: int = 10) -> DataFrame:
+    """(section, place, name, figure, value): the overview, the top and bottom stocks,
+    sectors, macro series and the strategies' figures, in long form."""
+    def rows(section: str, df: DataFrame, name: str, order: Sequence[Column]) -> DataFrame:
+        figures = [f.name for f in df.schema if f.dataType.simpleString() in ("double", "bigint", "int") and f.name != name]
+        placed = df.withColumn("_place", F.row_number().over(Window.orderBy(*order)))  # a few rows
+        long = placed.select(F.lit(section).alias("section"), F.col("_place").alias("place"), F.col(name).cast("string").alias("name"), *[F.col(c).cast("double").alias(c) for c in figures])
+        return long.unpivot(["section", "place", "name"], figures, "figure", "value").filter("value IS NOT NULL")
+
+    whole = overview(features, scored)
+    parts = [rows("overview", whole.drop("sectors"), "as_of_date", [F.col("as_of_date")])]
+    parts += [rows(d, rank_stocks(scored, n, d).drop("sector", "company"), "ticker", [F.desc("model_probability") if d == "top" else F.asc("model_probability"), F.col("ticker")]) for d in ("top", "bottom")]
+    if "sector" in scored.columns:
+        parts.append(rows("sectors", sector_summary(scored).drop("top_ranked"), "sector", [F.desc("mean_up_probability"), F.col("sector")]))
+    if macro is not None:
+        parts.append(rows("macro", macro_snapshot(macro), "series", [F.col("series")]))
+    if summary is not None:
+        parts.append(rows("backtest", summary, "strategy", [F.col("strategy")]))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+#: Tables that each evidence query shows, and how many rows of it (0: all).
+MODEL_EVIDENCE = {"model_comparison": 0, "calibration": 0, "feature_importance": 8, "signal_ic": 8, "ic_breakdown": 0, "ic_decay": 0, "experiments": 0, "robustness": 0}
+BACKTEST_EVIDENCE = {"backtest_summary": 0, "quantile_returns": 0, "constructions": 0, "cost_sensitivity": 0, "staggered": 0, "bootstrap": 0, "attribution": 0, "french_attribution": 0, "robustness": 0}
+
+
+def evidence(spark: SparkSession, root: str, tables: dict[str, int]) -> dict[str, DataFrame]:
+    """Saved artifacts by name, those that exist; a table with a number is cut to its
+    first rows by its leading figure."""
+    order = {"feature_importance": F.desc("importance_mean"), "signal_ic": F.desc(F.abs("ic_mean"))}
+    found = {name: read(spark, f"{root}/{name}") for name in tables}
+    return {name: df.orderBy(order[name]).limit(tables[name]) if tables[name] else df for name, df in found.items() if df is not None}
+
+
+def model_evidence(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Comparison of models with the columns a reader needs, and what supports it;
+    of the decay table the model's own score alone."""
+    found = evidence(spark, root, MODEL_EVIDENCE)
+    if "model_comparison" not in found:
+        return {}
+    shown = ("model", "ic_mean", "ic_tstat", "ic_tstat_nonoverlap", "auc_mean", "auc_std", "accuracy", "baseline_accuracy", "brier")
+    table = found["model_comparison"]
+    found["model_comparison"] = table.select(*[c for c in shown if c in table.columns])
+    if "ic_decay" in found:
+        found["ic_decay"] = found["ic_decay"].filter("signal = 'model_probability'")
+    return found
+
+
+def backtest_evidence(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The books' summary with its period, and what supports it; nothing without a summary."""
+    found = evidence(spark, root, BACKTEST_EVIDENCE)
+    if "backtest_summary" not in found:
+        return {}
+    returns = read(spark, f"{root}/backtest_returns")
+    if returns is not None:
+        found["period"] = returns.agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count_distinct("date").alias("rebalances"))
+    return found
 
 
 def score_snapshot(features: DataFrame, score: str, stale_days: int = 7, recent: int = 5) -> DataFrame:

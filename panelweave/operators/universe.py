@@ -127,6 +127,11 @@ def delistings(prices: DataFrame, removals: DataFrame | None = None, intervals:
     return ended.select("ticker", "last_date", "reason", F.when(poor, POOR_RETURN).otherwise(0.0).alias("delisting_return"))
 
 
+def delisting_returns(stopped: DataFrame) -> DataFrame:
+    """(ticker, delisting_return): one row for each ticker that stopped, its last."""
+    return stopped.groupBy("ticker").agg(F.max_by("delisting_return", "last_date").alias("delisting_return"))
+
+
 def company_table(current: DataFrame, former: DataFrame, priced: DataFrame, ciks: DataFrame, industries: DataFrame | None = None) -> DataFrame:
     """Names, sectors and industries of priced tickers; a former member's sector
     comes from its industry code, never from a placeholder."""

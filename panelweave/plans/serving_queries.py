@@ -80,7 +80,7 @@ def q10_macro_snapshot(spark, sf_dir):
     return six(serving.macro_snapshot(view(spark, sf_dir, "macro")))
 
 
-@query(SCORED + " SELECT max(date) AS as_of_date, count(*) AS stocks_ranked, string_agg(DISTINCT sector, ', ' ORDER BY sector) AS sectors, (SELECT min(date) FROM u) AS history_start, (SELECT max(date) FROM u) AS history_end FROM scored")
+@query(SCORED + " SELECT max(date) AS as_of_date, count(*) AS stocks_ranked, string_agg(DISTINCT sector, ', ' ORDER BY sector) AS sectors, (SELECT min(date) FROM u) AS history_start, (SELECT max(date) FROM u) AS history_end, (SELECT count(DISTINCT ticker) FROM u) AS tickers, (SELECT count(*) FROM u) AS rows, (SELECT count(DISTINCT ticker) FROM u) - count(*) AS left_out FROM scored")
 def q1_overview(spark, sf_dir):
     return serving.overview(usable(features(spark, sf_dir)), scored(spark, sf_dir))
 

@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,10 +144,16 @@ def unsplit(df: DataFrame) -> DataFrame:
     return df.withColumn("raw_close", F.col("close") * F.col("split_factor")).drop("_s")
 
 
+def benchmark_series(df: DataFrame, symbol: str) -> DataFrame:
+    """(date, close) of one symbol: adjusted where there is an adjusted close."""
+    close = F.coalesce("adj_close", "close") if "adj_close" in df.columns else F.col("close")
+    return df.filter(F.col("ticker") == symbol).select("date", close.alias("close")).dropDuplicates(["date"])
+
+
 def live_prices(df: DataFrame) -> DataFrame:
     """Close adjusted for dividends; highs and lows on the same basis."""
     adjusted = F.coalesce("adj_close", "close")
-    factor = adjusted / F.col("close")
+    factor = F.try_divide(adjusted, "close")
     bands = {c: F.col(c) * factor for c in ("high", "low") if c in df.columns}
     out = df.withColumns(bands | {"close": adjusted})
     return out.select("ticker", "date", "close", "volume", "raw_close", *bands, *[c for c in ("split_factor",) if c in df.columns])
@@ -197,6 +204,32 @@ def insider_trades(submissions: DataFrame, trades: DataFrame, ciks: DataFrame) -
     return joined.select("ticker", "filed", F.col("accession_number").alias("accession"), "code", "value").distinct()
 
 
+def insider_quarters(spark: SparkSession, folders: dict[str, str], ciks: DataFrame) -> tuple[DataFrame | None, list[str]]:
+    """Trades of all quarters' folders (SUBMISSION.tsv, NONDERIV_TRANS.tsv), each
+    once, and the quarters that could not be read. The loop is over quarters."""
+    parts, failed = [], []
+    for quarter, folder in sorted(folders.items()):
+        try:
+            subs, trans = (normalise_columns(read_csv(spark, f"{folder}/{name}.tsv", "\t")) for name in ("SUBMISSION", "NONDERIV_TRANS"))
+            parts.append(insider_trades(subs, trans, ciks))
+        except AnalysisException as e:  # a missing or malformed quarter does not stop the rest
+            failed.append(f"{quarter}: {e.getCondition()}")
+    trades = reduce(lambda a, b: a.unionByName(b), parts).distinct() if parts else None
+    return trades, failed
+
+
+def landed(spark: SparkSession, price_paths: Sequence[str], company_path: str | None = None, news_path: str | None = None):
+    """The dataset of landed files, and one row of its quality figures."""
+    from panelweave.operators.universe import data_quality
+    from panelweave.sources.store import Dataset
+
+    table = lambda path, kind: kind(read_csv(spark, path)) if path else None
+    data = Dataset(price_folder(spark, price_paths), companies=table(company_path, fundamentals), news=table(news_path, news))
+    companies = data.companies if data.companies is not None else data.prices.select("ticker").distinct()
+    missing = {"sector": F.lit(None).cast("string")} if "sector" not in companies.columns else {}
+    return data, data_quality(data.prices, companies.withColumns(missing))
+
+
 def constituents(df: DataFrame) -> DataFrame:
     from panelweave.operators.universe import normalise_ticker
 

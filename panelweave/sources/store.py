@@ -46,10 +46,10 @@ def write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame | None:
+def read(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame | None:
     """The table, or None where there is none."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.format(form).load(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
