@@ -7,25 +7,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests, a laptop) a temporary one is set.
+    Where the session names none, a session on one machine (tests, a laptop) gets a
+    temporary one; on a cluster that is an error, as executors would not see it.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="panelweave-"))
     return context.getCheckpointDir()
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage is cut there,
-    so a lost executor costs a file read instead of the work behind it."""
+    so a lost executor costs a file read instead of the work behind it. The table
+    stays until `drop_settled` or whoever cleans the folder deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_settled(spark: SparkSession) -> int:
+    """Delete the tables that this process has settled, once results that read them
+    are written; how many there were."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
