@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.functions.shared import settle
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where the session names none (tests, a laptop) a temporary one is set.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="panelweave-"))
-    return context.getCheckpointDir()
-
-
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage is cut there,
-    so a lost executor costs a file read instead of the work behind it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["SPACE", "WORD", "broadcast_if_small", "code_points", "components", "crc_remainder", "settle", "slices", "utf8", "word_count"]
 
 
 def broadcast_if_small(df: DataFrame, rows: int, most: int = 50_000) -> DataFrame:

@@ -9,9 +9,10 @@ words is `identity` or more must reach `overlap` words, or all of a shorter item
 and non-ASCII characters, in lower case, so marks and layout play no part. Items
 shorter than a mask are looked up by all their words.
 
-The benchmark is sent to the executors only in blocks of `block_items` items
-of at most `item_words` words in all, and every block meets all documents, so
-no join outgrows memory however large the benchmark is.
+Equal items are looked for once. The different texts are sent to the executors in
+blocks of `block_items` items and `item_words` words at most, and every block
+meets all documents in one pass over them. So what is broadcast is bounded, and a
+pass costs as much as reading; a benchmark of ten million words takes five.
 
 Rows: null and empty texts and items match nothing; repeated items are reported
 each, repeated documents too; empty tables give an empty result; further columns
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import settle, utf8
+from panelweave.llm.common import broadcast_if_small, settle, utf8
 from panelweave.llm.wordhash import parts, words
 
 #: Windows of 7 to 10 words of which 5 are compared.
@@ -126,24 +127,34 @@ def longest_stretch(equal: np.ndarray, identity: float) -> tuple[int, int]:
     return int(begin[end]), end
 
 
-def _blocks(benchmark: DataFrame, block_items: int, item_words: int):
-    """Lists of (item id, text), each a bounded number of rows and words."""
-    items = settle(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).filter("text <> ''"), "benchmark")
-    weight = F.size(F.split("text", " "))
-    n, total = items.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
-    blocks = max(1, -(-n // block_items), -(-total // item_words))
-    for k in range(blocks if n else 0):
-        yield [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-
-
-def matches(documents: DataFrame, benchmark: DataFrame, overlap: int = 12, identity: float = 0.8, block_items: int = 20_000, item_words: int = 2_000_000) -> DataFrame:
-    """doc_id, th (a hash of the text), item_id, first_word, n_words, n_equal: a
-    row for each item and place in a document that overlap."""
+def _blocks(texts: DataFrame, block_items: int, item_words: int):
+    """Lists of (key, text) of different texts, each of `block_items` items and
+    `item_words` words at most; a longer text is a block of its own."""
+    weight = F.size(F.split("text", " ")).cast("long")
+    n, total = texts.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    parts = 16 * max(1, -(-n // block_items), -(-total // item_words))
+    part = F.pmod(F.xxhash64("key"), F.lit(parts))
+    sizes = texts.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum(weight).alias("words")).orderBy("part").collect()  # 16 rows a block
+    held: list[int] = []
+    items = words_in = 0
+    for row in [*sizes, None]:
+        if held and (row is None or items + row.n > block_items or words_in + row.words > item_words):
+            block = texts.filter(part.isin(held)).collect() if len(sizes) > len(held) else texts.collect()
+            for i in range(0, len(block), block_items):
+                yield [(r.key, r.text) for r in block[i : i + block_items]]
+            held, items, words_in = [], 0, 0
+        if row is not None:
+            held.append(row.part)
+            items, words_in = items + row.n, words_in + row.words
+
+
+def overlaps(documents: DataFrame, texts: DataFrame, overlap: int, identity: float, block_items: int, item_words: int) -> DataFrame:
+    """doc_id, th (a hash of the text), key, first_word, n_words, n_equal: a row for
+    each text of `texts` (key, text) and place in a document that overlap."""
     rows = documents.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    kind, item_kind = documents.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, th long, item_id {item_kind}, first_word long, n_words long, n_equal long"
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, th long, key long, first_word long, n_words long, n_equal long"
     found = documents.sparkSession.createDataFrame([], schema)
-    for block in _blocks(benchmark, block_items, item_words):
+    for block in _blocks(texts, block_items, item_words):
         shared = documents.sparkSession.sparkContext.broadcast(Items.of(block))
 
         def run(batches, shared=shared):
@@ -154,17 +165,32 @@ def matches(documents: DataFrame, benchmark: DataFrame, overlap: int = 12, ident
                     hits = list(shared.value.overlaps(h, row, overlap, identity))
                     if hits:
                         take = pa.array([a + x[0] for x in hits])
-                        rest = [pa.array(x, pa.int64()) for x in zip(*[(x[2], x[3], x[4]) for x in hits], strict=True)]
-                        item = pa.array([x[1] for x in hits])
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), item, *rest], ["doc_id", "th", "item_id", "first_word", "n_words", "n_equal"])
+                        rest = [pa.array(x, pa.int64()) for x in zip(*[x[1:] for x in hits], strict=True)]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), *rest], ["doc_id", "th", "key", "first_word", "n_words", "n_equal"])
 
         found = found.unionByName(rows.mapInArrow(run, schema))
     return found
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def different_texts(benchmark: DataFrame) -> DataFrame:
+    """(key, text) of the benchmark's texts, each once; the key is a hash of the text."""
+    rows = benchmark.select(F.xxhash64("text").alias("key"), "text").filter("text <> ''")
+    return settle(rows.dropDuplicates(["key"]), "benchmark-texts")
+
+
+def matches(documents: DataFrame, benchmark: DataFrame, overlap: int = 12, identity: float = 0.8, block_items: int = 20_000, item_words: int = 2_000_000) -> DataFrame:
+    """doc_id, th (a hash of the text), item_id, first_word, n_words, n_equal: a
+    row for each item and place in a document that overlap."""
+    found = overlaps(documents, different_texts(benchmark), overlap, identity, block_items, item_words)
+    ids = settle(benchmark.select("item_id", F.xxhash64("text").alias("_key")).filter("text <> ''"), "benchmark-ids")
+    joined = found.join(broadcast_if_small(ids, ids.count()), F.col("key") == F.col("_key"))
+    return joined.select("doc_id", "th", "item_id", "first_word", "n_words", "n_equal")
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, overlap: int = 12, identity: float = 0.8, block_items: int = 20_000, item_words: int = 2_000_000) -> DataFrame:
     """Documents without those that overlap a benchmark item."""
-    hits = settle(matches(documents, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "leaks")
+    found = overlaps(documents, different_texts(benchmark), overlap, identity, block_items, item_words)
+    hits = settle(found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "leaks")
     same = documents["doc_id"].eqNullSafe(hits["_id"]) & (F.xxhash64(documents["text"]) == hits["_th"])
     n = hits.count()
     return documents.join(F.broadcast(hits) if n <= 50_000 else hits, same, "left_anti")

@@ -75,11 +75,13 @@ def _count(langs: list[str]):
 class Filters:
     """Languages by name, the table of cells, the share of cells set for each."""
 
-    def __init__(self, langs: list[str], lang: np.ndarray, slot: np.ndarray):
+    def __init__(self, langs: list[str], bits: np.ndarray, slot: np.ndarray):
+        """`bits`: a row for each slot, a bit for each language that contains it."""
         self.langs = langs
         self.table = np.zeros((1 << CELL_BITS, max(1, -(-len(langs) // 64))), np.uint64)
         for where in cells(slot):
-            np.bitwise_or.at(self.table, (where, lang // 64), np.uint64(1) << (lang % 64).astype(np.uint64))
+            for w in range(bits.shape[1]):
+                np.bitwise_or.at(self.table[:, w], where, bits[:, w])
         self.fill = np.array([(self.table[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean() for i in range(len(langs))])
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -108,21 +110,31 @@ class Filters:
 def learn(documents: DataFrame, share: float = 0.25, least: int = 5) -> Filters:
     """Filters from rows outside the held-out third with a language and a text.
 
-    What reaches the driver is bounded by the slots: 2**SLOT_BITS rows at most.
+    What reaches the driver is bounded: for each of the 2**SLOT_BITS slots a bit for
+    each language, packed into words of 64 languages. With every slot in use and 64
+    languages or fewer that is 64 MB; the filter itself has 2**CELL_BITS words.
     """
     rows = documents.filter((crc_remainder(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
     if not langs:
-        return Filters([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return Filters([], np.zeros((0, 1), np.uint64), np.zeros(0, np.int64))
     counts = rows.select("lang", "text").mapInArrow(_count(langs), "lang long, slot long, n long")
     counts = settle(counts.groupBy("lang", "slot").agg(F.sum("n").alias("n")), "language-counts")
     total = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     of_lang = F.element_at(F.create_map(*[F.lit(x) for pair in total.items() for x in pair]), F.col("lang"))
     rate = counts.filter(F.col("n") >= least).withColumn("rate", F.col("n") / of_lang)
     most = rate.groupBy("slot").agg(F.max("rate").alias("most"), F.collect_list(F.struct("rate", "lang")).alias("all"))
-    sets = most.select("slot", F.transform(F.filter("all", lambda x: x["rate"] >= share * F.col("most")), lambda x: x["lang"]).alias("lang"))
-    held = sets.select("slot", F.explode("lang").alias("lang")).toPandas()
-    return Filters(langs, held.lang.to_numpy(np.int64), held.slot.to_numpy(np.int64))
+    kept = F.filter("all", lambda x: x["rate"] >= share * F.col("most"))
+
+    def word(w: int):  # the bits of languages 64 w to 64 w + 63
+        none = F.lit(0).cast("long")
+        bit = lambda x: F.when(F.floor(x["lang"] / 64) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (x["lang"] % 64).cast("int"))).otherwise(none)
+        return F.aggregate(kept, none, lambda bits, x: bits.bitwiseOR(bit(x))).alias(f"w{w}")
+
+    words_of = [word(w) for w in range(-(-len(langs) // 64))]
+    held = most.select(F.col("slot").cast("int").alias("slot"), *words_of).toPandas()
+    bits = held.drop(columns="slot").to_numpy(np.int64).view(np.uint64)
+    return Filters(langs, bits, held.slot.to_numpy(np.int64))
 
 
 def identify(documents: DataFrame, filters: Filters) -> DataFrame:

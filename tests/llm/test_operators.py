@@ -473,10 +473,42 @@ class TestLanguage:
 
         rng = np.random.default_rng(1)
         lang, slot = rng.integers(0, 70, 5000), rng.integers(0, 1 << language.SLOT_BITS, 5000)
-        f = language.Filters([f"l{i:02}" for i in range(70)], lang, slot)
+        bits = np.zeros((5000, 2), np.uint64)
+        bits[np.arange(5000), lang // 64] = np.uint64(1) << (lang % 64).astype(np.uint64)
+        f = language.Filters([f"l{i:02}" for i in range(70)], bits, slot)
         sets = f.table[language.cells(slot)[0]] & f.table[language.cells(slot)[1]]
         assert all(int(sets[i, lang[i] // 64]) >> int(lang[i] % 64) & 1 for i in range(5000))
 
+    def test_a_hundred_languages(self, spark):
+        import random
+
+        from panelweave.llm import language
+
+        rng = random.Random(7)
+        stock = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for i in range(100)}
+        rows = [(i, " ".join(rng.choice(stock[k]) for _ in range(60)), k) for i in range(800) for k in [f"l{i % 100:03}"]]
+        got = language.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+        assert sum(r.lang_pred == f"l{r.doc_id % 100:03}" for r in got) >= 0.99 * len(got)
+
+    def test_sets_equal_a_plain_count(self, docs, rows):
+        """Languages of every n-gram, against counts by dictionary."""
+        from panelweave.llm import language
+        from panelweave.llm.grams import hashed, letter_codes
+
+        counts = defaultdict(Counter)
+        for doc_id, text, lang, *_ in rows:
+            if lang and text is not None and crc(doc_id, 3) != 1:
+                codes, offsets, _ = letter_codes([text])
+                counts[lang].update(hashed(codes, offsets, language.ORDER, language.SLOT_BITS)[1].tolist())
+        total = {k: sum(c.values()) for k, c in counts.items()}
+        f = language.learn(docs)
+        for slot in set().union(*counts.values()):
+            rate = {k: c[slot] / total[k] for k, c in counts.items() if c[slot] >= 5}
+            exp = {k for k, r in rate.items() if r >= 0.25 * max(rate.values())}
+            cells = [f.table[c[0], 0] for c in language.cells(np.array([slot]))]
+            got = {k for i, k in enumerate(f.langs) if int(cells[0] & cells[1]) >> i & 1}
+            assert exp <= got
+
     def test_awkward(self, docs, rows):
         from panelweave.llm import language
 
@@ -654,6 +686,45 @@ class TestDecontamination:
         bench = spark.createDataFrame([(1, rows[5][1], "x")], "item_id long, text string, th string")
         assert {r.doc_id for r in decontaminate.matches(docs, bench).collect()} == {5}
 
+    def test_repeated_items_and_bounded_blocks(self, spark):
+        import random
+
+        from panelweave.llm import decontaminate
+
+        rng = random.Random(13)
+        text = prose(rng, 30)
+        bench = spark.createDataFrame([(i, text) for i in range(3000)] + [(5000 + i, prose(rng, 20)) for i in range(200)], "item_id long, text string")
+        docs = spark.createDataFrame([(1, f"{prose(rng, 20)} {text} {prose(rng, 20)}"), (2, prose(rng, 60))], "doc_id long, text string")
+        got = decontaminate.matches(docs, bench, block_items=50).collect()
+        assert {r.doc_id for r in got} == {1} and sorted(r.item_id for r in got) == list(range(3000))
+        texts = decontaminate.different_texts(bench)
+        blocks = list(decontaminate._blocks(texts, 50, 700))
+        assert sum(map(len, blocks)) == 201 and all(len(b) <= 50 and (len(b) == 1 or sum(len(t.split()) for _, t in b) <= 700) for b in blocks)
+
+    @pytest.mark.parametrize("words_of, least", [(8, 0.7), (12, 0.95), (20, 0.99)])
+    def test_recall_with_a_fifth_substituted(self, words_of, least):
+        """Places of items with substitutions up to the identity, against comparing
+        every place word by word; items under ten words are looked up whole."""
+        import random
+
+        import pyarrow as pa
+
+        from panelweave.llm.common import utf8
+        from panelweave.llm.decontaminate import MASKS, Items
+        from panelweave.llm.wordhash import words as hashed_words
+
+        rng = random.Random(words_of)
+        found = 0
+        for _ in range(300):
+            item = prose(rng, words_of).split()
+            copy = list(item)
+            for k in rng.sample(range(words_of), words_of // 5 if words_of >= max(map(len, MASKS)) else 0):
+                copy[k] = "other"
+            text = f"{prose(rng, 15)} {' '.join(copy)} {prose(rng, 15)}"
+            h, _, row = hashed_words(*utf8(pa.array([text])))
+            found += any(True for _ in Items.of([(1, " ".join(item))]).overlaps(h, row, 12, 0.8))
+        assert found >= least * 300
+
     def test_item_across_two_rows(self, spark):
         import random
 
