@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.functions.shared import settle
 from panelweave.operators.asof import asof_nearest
 
 KEYS = ("cik", "metric")
@@ -39,7 +40,7 @@ def first_reported(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
 def quarters(facts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Single quarters (keys, start, end, val, filed): as reported, as differences
     of year-to-date values, and as a year less its three quarters."""
-    rows = first_reported(facts.filter("start IS NOT NULL"), [*keys, "start", "end"]).select(*keys, "start", "end", "val", "filed")
+    rows = settle(first_reported(facts.filter("start IS NOT NULL"), [*keys, "start", "end"]).select(*keys, "start", "end", "val", "filed"), "reported")  # read six times
     days = F.datediff("end", "start")
     plain = rows.filter(days.between(*QUARTER))
     running = rows.filter(days.between(*HALF) | days.between(*NINE_MONTHS))
@@ -54,7 +55,7 @@ def quarters(facts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     derived = alone.select(*keys, F.date_add("p_end", 1).alias("start"), "end", (F.col("val") - F.col("p_val")).alias("val"), F.greatest("filed", "p_filed").alias("filed"))
     known = other(plain, "q")
     derived = derived.join(known, [*same("q"), F.abs(F.datediff("end", "q_end")) <= 7], "left_anti")
-    single = plain.unionByName(derived)
+    single = settle(plain.unionByName(derived), "single-quarters")
     inside = year.join(other(single, "q"), [*both("q"), F.col("q_start") >= F.date_sub("start", 7), F.col("q_end") <= F.date_add("end", 7)])
     three = inside.groupBy(*keys, "start", "end").agg(
         F.count("*").alias("n"), F.max("q_end").alias("last"), F.sum("q_val").alias("part"), F.first("val").alias("val"), F.first("filed").alias("filed"), F.max((F.abs(F.datediff("q_end", "end")) <= 7).cast("int")).alias("hit")
