@@ -64,9 +64,9 @@ def facts_table(spark, sf_dir):
     return rows.select(F.col("ticker").alias("cik"), F.lit("revenue").alias("metric"), F.lit(0).alias("priority"), start.alias("start"), F.col("period_end").alias("end"), "val", "filed", F.lit("10-Q").alias("form"), F.lit("a").alias("accn"))
 
 
-@query(QUARTERS + " SELECT ticker AS cik, period_end AS \"end\", round(ttm, 2) AS ttm, available FROM t WHERE n = 4 AND ok = 3")
+@query(QUARTERS + " SELECT ticker AS cik, period_end AS \"end\", round(ttm, 4) AS ttm, available FROM t WHERE n = 4 AND ok = 3")
 def f3_trailing_year(spark, sf_dir):
-    return filings.trailing_year(facts_table(spark, sf_dir)).select("cik", "end", F.round("ttm", 2).alias("ttm"), "available")
+    return filings.trailing_year(facts_table(spark, sf_dir)).select("cik", "end", F.round("ttm", 4).alias("ttm"), "available")
 
 
 @query(QUARTERS + ", v AS (SELECT * FROM t WHERE n = 4 AND ok = 3) SELECT a.ticker AS cik, a.period_end AS \"end\", round(a.ttm / b.ttm - 1, 6) AS growth FROM v a LEFT JOIN v b ON a.ticker = b.ticker AND b.period_end BETWEEN a.period_end - 385 AND a.period_end - 345")
@@ -99,14 +99,14 @@ def j5_sue_as_of(spark, sf_dir):
 
 
 @query(
-    QUARTERS + ", " + cte("panel") + ", pit AS (SELECT ticker, ttm, available FROM t WHERE n = 4 AND ok = 3), j AS (SELECT p.ticker, p.date, x.available, x.ttm FROM panel p ASOF LEFT JOIN pit x ON p.ticker = x.ticker AND p.date > x.available) SELECT ticker, date, CASE WHEN date - available <= 550 THEN available END AS as_of, CASE WHEN date - available <= 550 THEN round(ttm, 2) END AS revenue FROM j"
+    QUARTERS + ", " + cte("panel") + ", pit AS (SELECT ticker, ttm, available FROM t WHERE n = 4 AND ok = 3), j AS (SELECT p.ticker, p.date, x.available, x.ttm FROM panel p ASOF LEFT JOIN pit x ON p.ticker = x.ticker AND p.date > x.available) SELECT ticker, date, CASE WHEN date - available <= 550 THEN available END AS as_of, CASE WHEN date - available <= 550 THEN round(ttm, 4) END AS revenue FROM j"
 )
 def j4_fundamentals_as_of(spark, sf_dir):
     pit = filings.trailing_year(facts_table(spark, sf_dir)).select(F.col("cik").alias("ticker"), F.col("available").alias("available_date"), F.col("end").alias("period_end"), F.col("ttm").alias("revenue_ttm"))
     none = F.lit(None).cast("double")
     pit = pit.withColumns({c: none for c in events.FLOWS if c != "revenue_ttm"})
     df = events.fundamentals(view(spark, sf_dir, "panel").select("ticker", "date", "close"), pit)
-    return df.select("ticker", "date", F.col("fundamentals_as_of").alias("as_of"), F.round("revenue", 2).alias("revenue"))
+    return df.select("ticker", "date", F.col("fundamentals_as_of").alias("as_of"), F.round("revenue", 4).alias("revenue"))
 
 
 @query(
