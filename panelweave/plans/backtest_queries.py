@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelweave.functions.frames import ppf_sql
 from panelweave.functions.shared import settle
 from panelweave.operators import backtest as bt
 from panelweave.operators.labels import forward_returns
@@ -14,13 +15,14 @@ from panelweave.plans.registry import query
 CONFIG = bt.Config(holding_days=4, cost_bps=10, borrow_bps=30)
 
 
-def predictions(spark, sf_dir):
-    """The percentile of the last month's return as score, the next week's as return."""
+def predictions(spark, sf_dir, *extra):
+    """The percentile of the last month's return as score, the next week's as return;
+    signals that are not named in `extra` are not computed."""
     from panelweave.operators.crosssection import percentile_ranks
 
     df = usable(forward_returns(features(spark, sf_dir), horizons=(5,)))
     df = percentile_ranks(df, ["return_20d"])
-    df = df.select("date", "ticker", F.round("return_20d_xs_rank", 9).alias("probability"), F.col("tradable_return_5d").alias("tradable_return"), "cs_spread_21d", "beta_252", "volatility_20d", "return_1d", "close")
+    df = df.select("date", "ticker", F.round("return_20d_xs_rank", 9).alias("probability"), F.col("tradable_return_5d").alias("tradable_return"), *extra)
     return settle(df, "predictions")
 
 
@@ -88,7 +90,7 @@ def b16_quantile_returns(spark, sf_dir):
 def b4_b17_staggered_buffered(spark, sf_dir):
     """All four starting weeks of a buffered, spread-costed strategy in one job."""
     config = bt.Config(holding_days=4, exit_quantile=0.4, smooth_days=3, cost_model="spread", offsets=(0, 1, 2, 3))
-    return bt.staggered(bt.summary(bt.backtest(predictions(spark, sf_dir), config), config))
+    return bt.staggered(bt.summary(bt.backtest(predictions(spark, sf_dir, "cs_spread_21d"), config), config))
 
 
 @query(
@@ -113,7 +115,13 @@ def v1_i1_rebalance_ic(spark, sf_dir):
     return newey_west(ic, "ic").select("n", F.round("mean", 6).alias("mean"), F.round("t", 5).alias("t"))
 
 
-@query()
+@query(
+    PREDICTIONS + f""", b AS (SELECT * FROM predictions WHERE beta_252 IS NOT NULL AND probability IS NOT NULL), a AS (SELECT *, ({rank_sql("probability", "date")} - 0.5) / count(probability) OVER (PARTITION BY date) AS p1 FROM b),
+    z AS (SELECT *, 0.02 * coalesce(volatility_20d, median(volatility_20d) OVER (PARTITION BY date), 0.3) * sqrt(5 / 252.0) * ({ppf_sql("p1")}) AS alpha FROM a),
+    c AS (SELECT *, beta_252 - avg(beta_252) OVER (PARTITION BY date) AS x, alpha - avg(alpha) OVER (PARTITION BY date) AS y FROM z),
+    r AS (SELECT *, y - CASE WHEN sum(x * x) OVER (PARTITION BY date) > 1e-18 THEN sum(x * y) OVER (PARTITION BY date) / sum(x * x) OVER (PARTITION BY date) ELSE 0 END * x AS res FROM c)
+    SELECT date, ticker, round(res / nullif(sum(abs(res)) OVER (PARTITION BY date), 0) * 2, 6) AS w FROM r"""
+)
 def b21_neutral_weights(spark, sf_dir):
     """Long-short weights without net beta."""
-    return bt.neutral_weights(predictions(spark, sf_dir).filter("beta_252 IS NOT NULL"), ["beta_252"]).select("date", "ticker", F.round("w", 8).alias("w"))
+    return bt.neutral_weights(predictions(spark, sf_dir, "beta_252", "volatility_20d").filter("beta_252 IS NOT NULL"), ["beta_252"]).select("date", "ticker", F.round("w", 6).alias("w"))
