@@ -205,6 +205,8 @@ def overfitting_probability(trials: DataFrame, names: Sequence[str], splits: int
     """One row: how often the best strategy in one half of the blocks ranks in the
     lower half of the other, over every way to halve the blocks.
 
+    Of equal Sharpe ratios the first strategy by `names` counts as best and ranks
+    first; one without a ratio in a half is never best there and ranks last.
     Blocks are summed once; the halves are the numbers below 2^splits with half
     their bits set, so all combinations are one join of small tables.
     """
@@ -230,7 +232,8 @@ def overfitting_probability(trials: DataFrame, names: Sequence[str], splits: int
         return F.when(var > 0, mean / F.sqrt(var))
 
     both = joined.groupBy("id", "strategy").agg(sharpe(F.col("_in")).alias("sin"), sharpe(~F.col("_in")).alias("sout"))
-    ranked = both.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("sout", "strategy")))
-    best = ranked.groupBy("id").agg(F.max_by("place", "sin").alias("place"))
+    both = both.withColumn("_no", F.array_position(F.array(*[F.lit(x) for x in names]), F.col("strategy")))
+    ranked = both.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.asc_nulls_last("sout"), "_no")))
+    best = ranked.groupBy("id").agg(F.min_by("place", F.when(F.col("sin").isNotNull(), F.struct((-F.col("sin")).alias("s"), "_no"))).alias("place"))
     share = F.col("place") / (len(names) + 1)
     return best.agg(F.avg((F.ln(share / (1 - share)) <= 0).cast("int")).alias("pbo"), F.count("*").alias("combinations"), F.lit(len(names)).alias("strategies"), F.lit(splits).alias("splits"))

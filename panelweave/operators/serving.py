@@ -296,10 +296,10 @@ def backtest_evidence(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def score_snapshot(features: DataFrame, score: str, stale_days: int = 7, recent: int = 5) -> DataFrame:
     """Each member's newest row, at most a week old and without a suspect move in
     its last rows, ranked by score."""
-    end = F.max("date").over(Window.partitionBy("_one"))
     newest = features.withColumn("_n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).filter("_n = 1").drop("_n")
     if "in_index" in newest.columns:
         newest = newest.filter("in_index")
-    fresh = newest.withColumn("_one", F.lit(1)).withColumn("_end", end).filter(F.col("date") >= F.date_sub("_end", stale_days)).drop("_one", "_end")
+    end = newest.agg(F.max("date").alias("_end"))
+    fresh = newest.crossJoin(F.broadcast(end)).filter(F.col("date") >= F.date_sub("_end", stale_days)).drop("_end")  # one row
     fresh = fresh.join(data_warning(features, recent).select("ticker"), "ticker", "left_anti").filter(F.col(score).isNotNull())
     return fresh.withColumn("model_probability", F.col(score)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "ticker")).cast("long"))

@@ -100,9 +100,18 @@ def i5_bootstrap_alpha(spark, sf_dir):
     return inference.bootstrap_alpha(returns(spark, sf_dir), "long_only", ["benchmark"], CONFIG.per_year)
 
 
-@query()
+@query(
+    BOOKS + """, n AS (SELECT date, max(gross - cost) FILTER (strategy = 'long_only') AS s1, max(gross - cost) FILTER (strategy = 'long_short') AS s2, max(gross - cost) FILTER (strategy = 'benchmark') AS s3 FROM bt GROUP BY 1),
+    o AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM n), p2 AS (SELECT *, least(12, n // 4) // 2 * 2 AS sp FROM o), q AS (SELECT *, n // sp AS z, n % sp AS m FROM p2),
+    b AS (SELECT *, CASE WHEN i < m * (z + 1) THEN i // (z + 1) ELSE m + (i - m * (z + 1)) // z END AS block FROM q), l AS (SELECT block, no, x FROM (SELECT block, unnest([1, 2, 3]) AS no, unnest([s1, s2, s3]) AS x FROM b)),
+    s AS (SELECT block, no, sum(x) AS s, sum(x * x) AS q, count(*) AS c FROM l GROUP BY 1, 2), h AS (SELECT id FROM range(4096) t(id) WHERE bit_count(id) = 6 AND (SELECT max(sp) FROM p2) = 12),
+    g AS (SELECT id, no, (id >> block) & 1 AS side, sum(s) AS s, sum(q) AS q, sum(c) AS c FROM h CROSS JOIN s GROUP BY 1, 2, 3), r AS (SELECT id, no, side, CASE WHEN (q - s * s / c) / (c - 1) > 0 THEN s / c / sqrt((q - s * s / c) / (c - 1)) END AS sr FROM g),
+    k AS (SELECT a.id, a.no, a.sr AS ins, row_number() OVER (PARTITION BY a.id ORDER BY b.sr NULLS LAST, a.no) AS place FROM r a JOIN r b ON a.id = b.id AND a.no = b.no AND a.side = 1 AND b.side = 0),
+    w AS (SELECT id, place / 4.0 AS share FROM k WHERE ins IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ins DESC, no) = 1)
+    SELECT round(avg(CAST(ln(share / (1 - share)) <= 0 AS INT)), 6) AS pbo, count(*) AS combinations, 3 AS strategies, 12 AS splits FROM w"""
+)
 def i9_overfitting_probability(spark, sf_dir):
-    return inference.overfitting_probability(returns(spark, sf_dir), ["long_only", "long_short", "benchmark"], 12)
+    return six(inference.overfitting_probability(returns(spark, sf_dir), ["long_only", "long_short", "benchmark"], 12))
 
 
 @query(
