@@ -76,9 +76,9 @@ def _features(slots: np.ndarray):
             for a, b in slices(texts):
                 row, slot = present(texts[a:b], where >= 0)
                 counts.append(np.bincount(row, minlength=b - a).astype(np.int32))
-                held.append(where[slot].astype(np.int32))
+                held.append(where[slot].astype(np.uint16))
             y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int8)
-            columns = [np.concatenate(x).tobytes() for x in ([y], [*counts, np.zeros(0, np.int32)], [*held, np.zeros(0, np.int32)])]
+            columns = [np.concatenate(x).tobytes() for x in ([y], [*counts, np.zeros(0, np.int32)], [*held, np.zeros(0, np.uint16)])]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in columns], ["toxic", "n", "held"])
 
     return run
@@ -127,7 +127,10 @@ def logistic(counts: np.ndarray, columns: np.ndarray, ratio: np.ndarray, y: np.n
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 12_000, features: int = 4096) -> tuple[np.ndarray, np.ndarray, float]:
-    """(slots, weights, intercept) learned from labelled rows outside the held-out fifth."""
+    """(slots, weights, intercept) learned from labelled rows outside the held-out
+    fifth; 65,536 features at most, so that each is a number of two bytes."""
+    if features > 1 << 16:
+        raise ValueError("65,536 features at most")
     marks = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.filter(crc_remainder(F.col("doc_id"), 5) != 0)
     share = marks.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
@@ -151,7 +154,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 12_000, featur
     slots = np.array([r.slot for r in best], np.int64)
     ratio = np.array([math.log((r.p + 1) / (p_all + 2)) - math.log((r.n + 1) / (n_all + 2)) for r in best])
     held = texts.mapInArrow(_features(slots), "toxic binary, n binary, held binary").collect()
-    y, counts, columns = (np.concatenate([np.frombuffer(r[k], kind) for r in held]) for k, kind in enumerate((np.int8, np.int32, np.int32)))
+    y, counts, columns = (np.concatenate([np.frombuffer(r[k], kind) for r in held]) for k, kind in enumerate((np.int8, np.int32, np.uint16)))
     del held
     weights, intercept = logistic(counts, columns, ratio, y.astype(float))
     intercept += math.log(share.p / (share.n - share.p)) - math.log(p_all / n_all)
