@@ -16,6 +16,7 @@ from panelweave.functions.frames import ratio
 from panelweave.sources.store import read
 
 MOST = 50
+QUESTIONS = 10_000
 SUSPECT = 0.4
 SORTABLE = ("model_probability", "rank", "return_5d", "return_20d", "momentum_60d", "volatility_20d", "pe_ratio")
 SUMMARY = ("rank", "model_probability", "return_5d", "return_20d", "momentum_60d", "volatility_20d")
@@ -80,10 +81,12 @@ def resolve(scored: DataFrame, known: DataFrame, asked: DataFrame) -> DataFrame:
 def suggestions(scored: DataFrame, known: DataFrame, asked: DataFrame, most: int = 5) -> DataFrame:
     """(asked, ticker, suggestions): what each asked symbol stands for and, where it
     stands for none, the companies whose ticker or name it is part of, best first."""
+    if asked.count() > QUESTIONS:
+        raise ValueError(f"at most {QUESTIONS} symbols at a time")
     found = resolve(scored, known, asked)
     q = F.upper(F.trim("asked"))
     names = scored.select(F.col("ticker").alias("_t"), F.upper(F.col("ticker").cast("string")).alias("_u"), F.upper(label(scored)).alias("_n"), F.col("rank").alias("_r"))
-    lost = found.filter("ticker IS NULL AND trim(asked) <> ''").select("asked")  # a stated set of questions
+    lost = found.filter("ticker IS NULL AND trim(asked) <> ''").select("asked")  # QUESTIONS rows at most
     hit = F.broadcast(lost).join(names, F.contains("_u", q) | F.contains("_n", q))
     as_int = lambda c: c.cast("int")
     score = as_int(F.col("_u") == q) * 4 + as_int(F.startswith("_u", q)) * 2 + as_int(F.contains("_n", q)) * 3 + as_int(F.exists(F.split("_n", r"\s+"), lambda w: w.startswith(q)))
