@@ -141,12 +141,20 @@ def snapshot(scored: DataFrame, ticker) -> DataFrame:
     return rows if ticker is None else rows.filter(F.col("ticker") == ticker)
 
 
+def newest(df: DataFrame, ticker, n: int, order: Sequence[Column]) -> DataFrame:
+    """The first n rows in order, of one ticker or, with None, of each."""
+    if ticker is not None:
+        return df.filter(F.col("ticker") == ticker).orderBy(*order).limit(n)
+    placed = df.withColumn("_k", F.row_number().over(Window.partitionBy("ticker").orderBy(*order)))
+    return placed.filter(F.col("_k") <= n).drop("_k")
+
+
 def price_history(features: DataFrame, ticker, days: int = 252, points: int = 60) -> DataFrame:
-    """One row of the last sessions' figures, with a thinned series."""
+    """One row (None: a row a ticker) of the last sessions' figures, with a thinned series."""
     days = bounded(days, 20, 1260, "days")
     rows = price_series(features, ticker, days)
-    by = Window.orderBy("date")  # one ticker's last sessions
-    rows = rows.withColumns({"_r": ratio("close", F.lag("close").over(by)) - 1, "_top": F.max("close").over(by.rowsBetween(Window.unboundedPreceding, 0)), "_i": F.row_number().over(by) - 1, "_n": F.count("*").over(Window.partitionBy())})
+    by = Window.partitionBy("ticker").orderBy("date")
+    rows = rows.withColumns({"_r": ratio("close", F.lag("close").over(by)) - 1, "_top": F.max("close").over(by.rowsBetween(Window.unboundedPreceding, 0)), "_i": F.row_number().over(by) - 1, "_n": F.count("*").over(Window.partitionBy("ticker"))})
     shown = (F.col("_i") % F.greatest(F.lit(1), F.ceil(F.col("_n") / points)) == 0) | (F.col("_i") == F.col("_n") - 1)
     first, last = F.min_by("close", "date"), F.max_by("close", "date")
     return rows.groupBy("ticker").agg(
@@ -159,18 +167,19 @@ def price_history(features: DataFrame, ticker, days: int = 252, points: int = 60
 
 def price_series(features: DataFrame, ticker, days: int) -> DataFrame:
     keep = [c for c in ("ticker", "date", "close", "volume") if c in features.columns]
-    return features.filter(F.col("ticker") == ticker).select(*keep).orderBy(F.desc("date")).limit(days)
+    return newest(features.select(*keep), ticker, days, [F.desc("date")])
 
 
 def recent_news(news: DataFrame, ticker, limit: int = 8) -> DataFrame:
     keep = [c for c in ("date", "title", "sentiment_score", "source") if c in news.columns]
-    return news.filter(F.col("ticker") == ticker).select(*keep).orderBy(F.desc("date"), "title").limit(bounded(limit, 1, 20, "limit"))
+    rows = newest(news.select("ticker", *keep), ticker, bounded(limit, 1, 20, "limit"), [F.desc("date"), F.col("title")])
+    return rows if ticker is None else rows.select(*keep)
 
 
 def fundamentals_history(pit: DataFrame, ticker, quarters: int = 8) -> DataFrame:
     margin = F.when(F.col("revenue_ttm") > 0, F.col("net_income_ttm") / F.col("revenue_ttm"))
-    rows = pit.filter(F.col("ticker") == ticker).withColumn("profit_margin", margin)
-    return rows.orderBy(F.desc("available_date")).limit(bounded(quarters, 1, 20, "quarters"))
+    rows = pit.withColumn("profit_margin", margin)
+    return newest(rows, ticker, bounded(quarters, 1, 20, "quarters"), [F.desc("available_date")])
 
 
 def macro_snapshot(macro: DataFrame) -> DataFrame:
@@ -193,7 +202,10 @@ def macro_series(macro: DataFrame) -> DataFrame:
     return rows.withColumn("_i", F.row_number().over(Window.orderBy("date")) - 1).filter("_i % 2 = 0").drop("_e", "_i")
 
 
-def index_changes(changes: DataFrame, ticker=None, limit: int = 10) -> DataFrame:
+def index_changes(changes: DataFrame, ticker=None, limit: int = 10, each: bool = False) -> DataFrame:
+    """The newest changes of all tickers together, of one, or of each."""
+    if each:
+        return newest(changes, None, bounded(limit, 1, MOST, "limit"), [F.desc("date")])
     rows = changes if ticker is None else changes.filter(F.col("ticker") == ticker)
     return rows.orderBy(F.desc("date"), "ticker").limit(bounded(limit, 1, MOST, "limit"))
 
@@ -212,8 +224,8 @@ def filings(table: DataFrame, ticker, form: str | None = None, limit: int = 8) -
     forms = ("10-K", "10-Q", "8-K")
     if form is not None and form not in forms:
         raise ValueError(f"form is one of {forms}")
-    rows = table.filter((F.col("ticker") == ticker) & F.col("form").isin([form] if form else list(forms)))
-    return rows.orderBy(F.desc("filed")).limit(bounded(limit, 1, 20, "limit"))
+    rows = table.filter(F.col("form").isin([form] if form else list(forms)))
+    return newest(rows, ticker, bounded(limit, 1, 20, "limit"), [F.desc("filed")])
 
 
 def screener_table(scored: DataFrame) -> DataFrame:
@@ -222,9 +234,10 @@ def screener_table(scored: DataFrame) -> DataFrame:
 
 
 def percentile_profile(scored: DataFrame, ticker) -> DataFrame:
-    """One stock's percentile ranks as rows, unknown ones left out."""
+    """One stock's percentile ranks (None: every stock's) as rows, unknown ones left out."""
     ranks = [c for c in scored.columns if c.endswith("_xs_rank")]
-    rows = scored.filter(F.col("ticker") == ticker).unpivot("ticker", ranks, "signal", "percentile")
+    one = scored if ticker is None else scored.filter(F.col("ticker") == ticker)
+    rows = one.unpivot("ticker", ranks, "signal", "percentile")
     return rows.filter("percentile IS NOT NULL").withColumn("signal", F.regexp_replace("signal", "_xs_rank$", ""))
 
 

@@ -11,7 +11,7 @@ from panelweave.operators.asof import to_next_session
 from panelweave.operators.stats import information_coefficients
 from panelweave.plans.backtest_queries import BOOKS, CONFIG, predictions
 from panelweave.plans.event_queries import SUE, cte
-from panelweave.plans.panel_queries import USABLE, features, features_sql, rank_sql, usable
+from panelweave.plans.panel_queries import RANKED, USABLE, features, features_sql, rank_sql, usable
 from panelweave.plans.proxies import view, with_sql
 from panelweave.plans.registry import query
 from panelweave.plans.serving_queries import ROW, SCORED, scored, six
@@ -72,13 +72,14 @@ def b18_break_even(spark, sf_dir):
 
 
 @query(
-    features_sql() + f""", u AS (SELECT *, lead(close, 1) OVER w / close - 1 AS f1, lead(close, 21) OVER w / close - 1 AS f21 FROM features WHERE {USABLE} WINDOW w AS (PARTITION BY ticker ORDER BY date)),
-    d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM u)), x AS (SELECT u.*, unnest([{{'horizon': 1, 'f': f1}}, {{'horizon': 21, 'f': f21}}], recursive := true) FROM u JOIN d USING (date) WHERE i % 5 = 0),
-    y AS (SELECT horizon, date, return_20d AS v, f FROM x WHERE return_20d IS NOT NULL AND f IS NOT NULL), z AS (SELECT horizon, date, {rank_sql("v", "horizon, date")} AS a, {rank_sql("f", "horizon, date")} AS b FROM y),
-    ic AS (SELECT horizon, date, corr(a, b) AS ic FROM z GROUP BY 1, 2 HAVING count(*) >= 5) SELECT 'return_20d' AS signal, CAST(horizon AS INTEGER) AS horizon, round(avg(ic), 6) AS ic_mean, count(*) AS dates FROM ic GROUP BY horizon"""
+    features_sql() + f""", u AS (SELECT *, {", ".join(f"lead(close, {h}) OVER w / close - 1 AS f{h}" for h in validation.DECAY)} FROM features WHERE {USABLE} WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+    d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM u)), x AS (SELECT u.*, unnest([{", ".join(f"{{'horizon': {h}, 'f': f{h}}}" for h in validation.DECAY)}], recursive := true) FROM u JOIN d USING (date) WHERE i % 5 = 0),
+    s AS ({" UNION ALL ".join(f"SELECT '{c}' AS signal, horizon, date, {c} AS v, f FROM x" for c in RANKED)}),
+    y AS (SELECT * FROM s WHERE v IS NOT NULL AND f IS NOT NULL), z AS (SELECT signal, horizon, date, {rank_sql("v", "signal, horizon, date")} AS a, {rank_sql("f", "signal, horizon, date")} AS b FROM y),
+    ic AS (SELECT signal, horizon, date, corr(a, b) AS ic FROM z GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND min(a) < max(a) AND min(b) < max(b)) SELECT signal, CAST(horizon AS INTEGER) AS horizon, round(avg(ic), 6) AS ic_mean, count(*) AS dates FROM ic GROUP BY signal, horizon"""
 )
 def v9_ic_decay(spark, sf_dir):
-    return six(validation.ic_decay(usable(features(spark, sf_dir)), ["return_20d"], (1, 21)))
+    return six(validation.ic_decay(usable(features(spark, sf_dir)), RANKED))
 
 
 @query(

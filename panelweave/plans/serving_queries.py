@@ -63,12 +63,12 @@ def q2_search_companies(spark, sf_dir):
 
 
 @query(
-    with_sql("panel") + """, h AS (SELECT * FROM panel WHERE ticker = 7 ORDER BY date DESC LIMIT 252), r AS (SELECT *, close / lag(close) OVER (ORDER BY date) - 1 AS r, max(close) OVER (ORDER BY date) AS top FROM h)
-    SELECT 7::BIGINT AS ticker, min(date) AS start_date, max(date) AS end_date, count(*) AS trading_days, round(arg_min(close, date), 6) AS start_close, round(arg_max(close, date), 6) AS end_close, round(arg_max(close, date) / arg_min(close, date) - 1, 6) AS total_return,
-      round(stddev_samp(r) * sqrt(252), 6) AS annualised_volatility, round(min(close / top - 1), 6) AS max_drawdown, round(max(close), 6) AS high, round(min(close), 6) AS low, round(arg_max(close, date) / max(close) - 1, 6) AS distance_from_high FROM r"""
+    with_sql("panel") + """, h AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 252), r AS (SELECT *, close / lag(close) OVER w - 1 AS r, max(close) OVER w AS top FROM h WINDOW w AS (PARTITION BY ticker ORDER BY date))
+    SELECT ticker, min(date) AS start_date, max(date) AS end_date, count(*) AS trading_days, round(arg_min(close, date), 6) AS start_close, round(arg_max(close, date), 6) AS end_close, round(arg_max(close, date) / arg_min(close, date) - 1, 6) AS total_return,
+      round(stddev_samp(r) * sqrt(252), 6) AS annualised_volatility, round(min(close / top - 1), 6) AS max_drawdown, round(max(close), 6) AS high, round(min(close), 6) AS low, round(arg_max(close, date) / max(close) - 1, 6) AS distance_from_high FROM r GROUP BY ticker"""
 )
 def q7_price_history(spark, sf_dir):
-    return six(serving.price_history(view(spark, sf_dir, "panel"), 7).drop("series"))
+    return six(serving.price_history(view(spark, sf_dir, "panel"), None).drop("series"))
 
 
 @query(
@@ -85,9 +85,9 @@ def q1_overview(spark, sf_dir):
     return serving.overview(usable(features(spark, sf_dir)), scored(spark, sf_dir))
 
 
-@query(SCORED + ", l AS (SELECT ticker, unnest([" + ", ".join(f"{{'signal': '{c}', 'percentile': {c}_xs_rank}}" for c in RANKED) + "], recursive := true) FROM scored WHERE ticker = 7) SELECT ticker, signal, round(percentile, 6) AS percentile FROM l WHERE percentile IS NOT NULL")
+@query(SCORED + ", l AS (SELECT ticker, unnest([" + ", ".join(f"{{'signal': '{c}', 'percentile': {c}_xs_rank}}" for c in RANKED) + "], recursive := true) FROM scored) SELECT ticker, signal, round(percentile, 6) AS percentile FROM l WHERE percentile IS NOT NULL")
 def q19_percentile_profile(spark, sf_dir):
-    return six(serving.percentile_profile(scored(spark, sf_dir), 7))
+    return six(serving.percentile_profile(scored(spark, sf_dir), None))
 
 
 @query(with_sql("macro") + ", t AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i FROM macro WHERE date >= (SELECT max(date) FROM macro) - 3652) SELECT date, round(vix, 6) AS vix, round(tbill_3m, 6) AS tbill_3m FROM t WHERE i % 2 = 0")
@@ -95,9 +95,9 @@ def q20_macro_series(spark, sf_dir):
     return six(serving.macro_series(view(spark, sf_dir, "macro")))
 
 
-@query(with_sql("changes") + " SELECT date, ticker, kind FROM changes WHERE ticker = 12 ORDER BY date DESC LIMIT 10")
+@query(with_sql("changes") + " SELECT date, ticker, kind FROM changes QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 10")
 def q11_index_changes(spark, sf_dir):
-    return serving.index_changes(view(spark, sf_dir, "changes"), 12)
+    return serving.index_changes(view(spark, sf_dir, "changes"), each=True)
 
 
 @query(with_sql("membership") + " SELECT ticker, bool_or(end_date IS NULL) AS currently_in_index, count(*) AS periods FROM membership GROUP BY 1")
@@ -105,12 +105,12 @@ def q11_currently_in(spark, sf_dir):
     return serving.currently_in(view(spark, sf_dir, "membership"))
 
 
-@query(with_sql("panel") + " SELECT ticker, date, round(close, 6) AS close, volume FROM panel WHERE ticker = 3 ORDER BY date DESC LIMIT 100")
+@query(with_sql("panel") + " SELECT ticker, date, round(close, 6) AS close, volume FROM panel QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 100")
 def q23_price_series(spark, sf_dir):
-    return six(serving.price_series(view(spark, sf_dir, "panel"), 3, 100))
+    return six(serving.price_series(view(spark, sf_dir, "panel"), None, 100))
 
 
-@query(with_sql("news") + " SELECT CAST(ts AS DATE) AS date, title, count(*) AS n FROM news WHERE ticker = 5 GROUP BY 1, 2 ORDER BY date DESC, title LIMIT 8")
+@query(with_sql("news") + ", d AS (SELECT ticker, CAST(ts AS DATE) AS date, title, count(*) AS n FROM news GROUP BY 1, 2, 3) SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC, title) <= 8")
 def q8_recent_news(spark, sf_dir):
     daily = view(spark, sf_dir, "news").groupBy("ticker", F.to_date("ts").alias("date"), "title").agg(F.count("*").alias("n"))
-    return serving.recent_news(daily.withColumn("source", F.col("n")), 5).withColumnRenamed("source", "n")
+    return serving.recent_news(daily.withColumn("source", F.col("n")), None).withColumnRenamed("source", "n")
