@@ -36,7 +36,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources at their target sizes, in whole documents and blocks of them."""
+    """The mix of sources at their target sizes: whole documents, and a passage where a shard's run ends."""
     return mixing.mixed_texts(docs.select(*COLUMNS))
 
 
