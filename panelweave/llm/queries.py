@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import decontaminate, hardnegatives, html, language, linededup, mixing, quality, sharding, simhash, tokens, toxicity, whitening
+from panelweave.llm import decontaminate, hardnegatives, html, language, linededup, maxent, mixing, quality, sharding, simhash, tokens, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document."""
+    return maxent.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
@@ -95,6 +100,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_whitening": op12_whitening,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 #: The base counts and fences of op1 once more: windows of words are compared as
