@@ -16,8 +16,8 @@ The model is P(word | two words before) = P(class | context) P(word | class, con
 Everything that training needs from the corpus is gathered by Spark over all
 training documents: exact counts of all tokens (by 64-bit hash, two of 10**9 tokens
 share one with chance 0.03), and counts of all (context, class or word)
-triples, summed by slice of the context. Each round of training sends the weights
-to the tasks that hold the slices; they return observed less expected counts of
+triples, summed by slice of the word before. Each round of training sends a slice's
+weights to the task that holds it; the tasks return observed less expected counts of
 every feature (a table of the model's size, whatever the corpus); the driver takes
 a step along them, each divided by a bound of its curvature. Scoring gathers the
 rows of a batch's distinct triples. Counts of tail tokens are looked up in a
@@ -36,7 +36,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import crc_remainder, settle, utf8
@@ -47,7 +47,7 @@ GROUPS = WORDS // MEMBERS
 CLASSES = GROUPS + TAILS + 1  # the end is the last class
 END, START = WORDS + TAILS, WORDS + TAILS + 1
 SYMBOLS = START + 1
-SLICES, ROWS = 64, 1 << 16  # slices of the words before, rows of a hashed table
+SLICES, ROWS = 64, 1 << 15  # slices of the words before, rows of a hashed table
 FREQUENT = 1 << 17  # tokens whose counts are sent to all tasks
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 ROUNDS, RIDGE, MOMENTUM = 8, 1.0, 0.5
@@ -456,15 +456,40 @@ def _count_triples(vocab: Vocabulary, most: int = 4_000_000):
     return run
 
 
-def _round(shared):
-    """(table, rows, values) of a task's feature counts, observed or expected."""
+def _owned(k: int) -> dict[str, np.ndarray]:
+    """Table rows that only contexts of slice k use; `skip` has none."""
+    a = np.flatnonzero(slice_of(np.arange(SYMBOLS)) == k)
+    hashed = np.arange(k * (ROWS // SLICES), (k + 1) * (ROWS // SLICES))
+    return {"bigram": a, "trigram": hashed, "word": (a[:, None] * GROUPS + np.arange(GROUPS)).ravel(), "words": hashed}
+
+
+OWNED = ("bigram", "trigram", "word", "words")
+
+
+def _sent(spark: SparkSession, weights: Weights) -> DataFrame:
+    """(slice, its rows of each table): a model in all."""
+    rows = [(k, *[weights.tables[t][at].tobytes() for t, at in _owned(k).items()]) for k in range(SLICES)]
+    return spark.createDataFrame(rows, "slice int, " + ", ".join(f"{t} binary" for t in OWNED))
+
+
+def _round(bias: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
+    """(table, rows, values) of a task's feature counts, observed without `bias`,
+    else expected under the weights that come with each slice; `bias` holds those
+    that all slices share."""
 
     def run(batches):
         total = tables()
         for batch in batches:
+            names = batch.schema.names
             for i in range(batch.num_rows):
-                k, n = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in (1, 2))
-                gather(k, n, shared.value, total)
+                read = lambda c, kind: np.frombuffer(batch.column(names.index(c))[i].as_buffer(), kind)  # noqa: B023, E731
+                weights = None
+                if bias is not None:
+                    weights = Weights(bias[0], bias[1])
+                    weights.tables["skip"] = bias[2]
+                    for t, at in _owned(batch.column(0)[i].as_py()).items():
+                        weights.tables[t][at] = read(t, np.float32).reshape(len(at), -1)
+                gather(read("k", np.int64), read("n", np.int64), weights, total)
         for name, values in total.items():
             rows = np.flatnonzero(values.any(1))
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows.tobytes()], pa.binary()), pa.array([values[rows].tobytes()], pa.binary())], ["name", "rows", "total"])
@@ -475,12 +500,14 @@ def _round(shared):
 def _gathered(triples: DataFrame, weights: Weights | None) -> dict[str, np.ndarray]:
     """The tasks' tables, added. A slice owns its rows of all tables but `skip`, so
     what reaches the driver is one model and a `skip` table for each task."""
-    shared = triples.sparkSession.sparkContext.broadcast(weights)
-    total = tables()
-    for r in triples.mapInArrow(_round(shared), "name string, rows binary, total binary").toLocalIterator():
-        rows = np.frombuffer(r.rows, np.int64)
-        total[r.name][rows] += np.frombuffer(r.total, np.float32).reshape(len(rows), -1)
-    shared.unpersist()
+    bias = None
+    if weights is not None:
+        bias = weights.class_bias, weights.word_bias, weights.tables["skip"]
+        triples = triples.join(F.broadcast(_sent(triples.sparkSession, weights)), "slice")  # of the model's size
+    found, total = triples.mapInArrow(_round(bias), "name string, rows binary, total binary").toArrow(), tables()
+    for name, rows, values in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        at = np.frombuffer(rows, np.int64)
+        total[name][at] += np.frombuffer(values, np.float32).reshape(len(at), -1)
     return total
 
 
