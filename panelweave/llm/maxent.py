@@ -47,7 +47,7 @@ GROUPS = WORDS // MEMBERS
 CLASSES = GROUPS + TAILS + 1  # the end is the last class
 END, START = WORDS + TAILS, WORDS + TAILS + 1
 SYMBOLS = START + 1
-SLICES, ROWS = 64, 1 << 15  # slices of the words before, rows of a hashed table
+SLICES, ROWS = 64, 1 << 14  # slices of the words before, rows of a hashed table
 FREQUENT = 1 << 17  # tokens whose counts are sent to all tasks
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 ROUNDS, RIDGE, MOMENTUM = 8, 1.0, 0.5
@@ -89,8 +89,13 @@ def _sliced(column: pa.Array, most: int = 2_000_000):
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray], *more: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, the sums of their counts, and further columns that depend on the key."""
-    found, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    return found, np.bincount(where, np.concatenate(counts), len(found)).astype(np.int64), *(np.concatenate(m)[first] for m in more)
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+    found = every[first]
+    del every
+    return found, np.add.reduceat(np.concatenate(counts)[order], first).astype(np.int64) if len(first) else np.zeros(0, np.int64), *(np.concatenate(m)[order[first]] for m in more)
 
 
 # ---------------------------------------------------------------- token counts
@@ -101,8 +106,8 @@ def _by_bucket(columns: tuple[np.ndarray, ...], bucket: np.ndarray, names: list[
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     first = np.flatnonzero(np.diff(b, prepend=b[:1] - 1) != 0)
-    ends = np.append(first[1:], len(b))
-    packed = [[c[order[i:j]].tobytes() for i, j in zip(first, ends, strict=True)] for c in columns]
+    edge = np.append(first, len(b))
+    packed = [[c[order[i:j]].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)] for c in columns]
     return pa.RecordBatch.from_arrays([pa.array(b[first].astype(np.int32)), *[pa.array(p, pa.binary()) for p in packed]], [key, *names])
 
 
@@ -110,7 +115,7 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(56)).astype(np.int64)
 
 
-def _count_tokens(most: int = 4_000_000):
+def _count_tokens(most: int = 1_500_000):
     def run(batches):
         held = []
         for batch in batches:
@@ -147,7 +152,7 @@ def _merge(kinds: tuple, key: str, names: list[str]):
                 now = k
                 held.append(tuple(np.frombuffer(batch.column(c + 1)[i].as_buffer(), kind) for c, kind in enumerate(kinds)))
                 size += len(held[-1][0])
-                if size > 4_000_000 and len(held) > 1:
+                if size > 1_500_000 and len(held) > 1:
                     held = [merged(*map(list, zip(*held, strict=True)))]
                     size = len(held[0][0]) // 2
         if held:
@@ -348,7 +353,7 @@ class Weights:
     def of(self, level: "Level") -> np.ndarray:
         return self.softmax(level.rows, self.class_bias if level.width == CLASSES else self.word_bias[level.group])
 
-    def log10(self, key: np.ndarray, part: int = 100_000) -> np.ndarray:
+    def log10(self, key: np.ndarray, part: int = 25_000) -> np.ndarray:
         """log10 of P(class) and, of a head word, P(word | class), for distinct keys."""
         out = np.empty(len(key))
         for i in range(0, len(key), part):
@@ -383,7 +388,7 @@ def levels(key: np.ndarray) -> tuple[Level, Level]:
     return classes, Level(MEMBERS, word_rows(*np.divmod(pair, SYMBOLS), group), group, head, at, member)
 
 
-def gather(key: np.ndarray, count: np.ndarray, weights: Weights | None, total: dict[str, np.ndarray], part: int = 200_000) -> float:
+def gather(key: np.ndarray, count: np.ndarray, weights: Weights | None, total: dict[str, np.ndarray], part: int = 50_000) -> float:
     """Add the observed counts (without weights) or the expected counts of every
     feature to `total`; the log likelihood. Keys are distinct and in order."""
     likelihood, i = 0.0, 0
@@ -424,15 +429,17 @@ def step(weights: Weights, observed: dict[str, np.ndarray], means: dict[str, np.
     bound of its curvature, with momentum."""
     for k, w in weights.tables.items():
         together = 3 if k in ("bigram", "skip", "trigram") else 2  # features that act on one softmax
-        gradient = observed[k] - means[k] - RIDGE * w
-        speed[k] = momentum * speed[k] + gradient / (together * (np.maximum(observed[k], means[k]) + RIDGE))
-        w += speed[k]
+        for i in range(0, len(w), 4096):
+            part = slice(i, i + 4096)
+            gradient = observed[k][part] - means[k][part] - RIDGE * w[part]
+            speed[k][part] = momentum * speed[k][part] + gradient / (together * (np.maximum(observed[k][part], means[k][part]) + RIDGE))
+            w[part] += speed[k][part]
 
 
 # ---------------------------------------------------------- training in rounds
 
 
-def _count_triples(vocab: Vocabulary, most: int = 4_000_000):
+def _count_triples(vocab: Vocabulary, most: int = 1_500_000):
     def rows(k, n):
         return _by_bucket((k, n), slice_of(k // SYMBOLS**2), ["k", "n"], "slice")
 
@@ -468,8 +475,8 @@ OWNED = ("bigram", "trigram", "word", "words")
 
 def _sent(spark: SparkSession, weights: Weights) -> DataFrame:
     """(slice, its rows of each table): a model in all."""
-    rows = [(k, *[weights.tables[t][at].tobytes() for t, at in _owned(k).items()]) for k in range(SLICES)]
-    return spark.createDataFrame(rows, "slice int, " + ", ".join(f"{t} binary" for t in OWNED))
+    rows = {t: pa.array([weights.tables[t][_owned(k)[t]].tobytes() for k in range(SLICES)], pa.binary()) for t in OWNED}
+    return spark.createDataFrame(pa.table({"slice": pa.array(range(SLICES), pa.int32()), **rows}))
 
 
 def _round(bias: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
@@ -488,7 +495,7 @@ def _round(bias: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
                     weights = Weights(bias[0], bias[1])
                     weights.tables["skip"] = bias[2]
                     for t, at in _owned(batch.column(0)[i].as_py()).items():
-                        weights.tables[t][at] = read(t, np.float32).reshape(len(at), -1)
+                        weights.tables[t][at] = read(t, np.float32).reshape(len(at), SHAPES[t][1])
                 gather(read("k", np.int64), read("n", np.int64), weights, total)
         for name, values in total.items():
             rows = np.flatnonzero(values.any(1))
@@ -505,9 +512,10 @@ def _gathered(triples: DataFrame, weights: Weights | None) -> dict[str, np.ndarr
         bias = weights.class_bias, weights.word_bias, weights.tables["skip"]
         triples = triples.join(F.broadcast(_sent(triples.sparkSession, weights)), "slice")  # of the model's size
     found, total = triples.mapInArrow(_round(bias), "name string, rows binary, total binary").toArrow(), tables()
-    for name, rows, values in zip(*(c.to_pylist() for c in found.columns), strict=True):
-        at = np.frombuffer(rows, np.int64)
-        total[name][at] += np.frombuffer(values, np.float32).reshape(len(at), -1)
+    for batch in found.to_batches():
+        for i, name in enumerate(batch.column(0).to_pylist()):
+            at = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+            total[name][at] += np.frombuffer(batch.column(2)[i].as_buffer(), np.float32).reshape(len(at), SHAPES[name][1])
     return total
 
 

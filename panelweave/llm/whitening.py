@@ -19,7 +19,7 @@ vector shorter than the longest counts 0 for its missing entries; repeated rows
 count and are returned as often as they occur; a null id is returned as null.
 Directions without variance (up to rounding) are no components, so equal vectors
 or a single one give an empty result, as does an empty table. An entry beyond
-2**28 in size is an error. A deviation that no long holds is null. Further columns
+2**20 in size is an error. A deviation that no long holds is null. Further columns
 are ignored.
 """
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCALE, SHIFT, LARGEST = 1024.0, 100_000, 1 << 28
+SCALE, SHIFT, LARGEST = 1024.0, 100_000, 1 << 20
 SCHEMA = "component int, n long, deviation long, whitened double, explained double, identity_error double"
 
 
@@ -245,12 +245,15 @@ def _gram(centre: np.ndarray):
         total, bound = np.zeros((d, d), np.int64), 0
         for batch in batches:
             y = matrix(batch.column(0), d, SHIFT) - centre
-            more = int(np.abs(y).max(initial=0)) ** 2 * len(y)
-            if bound + more >= 1 << 63:
-                yield rows(total)
-                total, bound = np.zeros((d, d), np.int64), 0
-            total += exact_product(y.T, y)
-            bound += more
+            square = max(1, int(np.abs(y).max(initial=0)) ** 2)
+            at_once = max(1, (1 << 62) // square)  # all rows but for huge entries
+            for a in range(0, len(y), at_once):
+                part = y[a : a + at_once]
+                if bound + square * len(part) >= 1 << 63:
+                    yield rows(total)
+                    total, bound = np.zeros((d, d), np.int64), 0
+                total += exact_product(part.T, part)
+                bound += square * len(part)
         yield rows(total)
 
     return run
@@ -282,7 +285,7 @@ def fit(vectors: DataFrame, components: int = 8) -> Whitening | None:
         return None
     n, d = of[-1].held, len(of) - 1
     if of[-1].largest > LARGEST * SCALE:
-        raise ValueError(f"an entry beyond 2**28: {of[-1].largest}")
+        raise ValueError(f"an entry beyond 2**20: {of[-1].largest}")
     model = Whitening(n, [int(of[i].total) + (n - of[i].held) * SHIFT for i in range(d)], np.zeros((d, 0)), np.zeros(0), np.zeros(0))
     pairs = x.mapInArrow(_gram(model.centre), "i int, j int, total long").groupBy("i", "j").agg(exact).collect()  # a row for each pair of dimensions
     covariance, left = np.zeros((d, d)), model.left

@@ -165,7 +165,7 @@ class TestWhitening:
     def test_does_not_depend_on_partitions(self, spark):
         from panelweave.llm import whitening
 
-        df = spark.createDataFrame(made(300, seed=5), SCHEMA)
+        df = spark.createDataFrame(made(400, seed=5), SCHEMA)
         fits = [whitening.fit(whitening.whole_vectors(df.repartition(k), "embedding", 1024.0, 100_000)) for k in (1, 6)]
         assert fits[0].sums == fits[1].sums and (fits[0].values == fits[1].values).all() and (fits[0].vectors == fits[1].vectors).all()
 
@@ -183,9 +183,10 @@ class TestWhitening:
     def test_deviation_beyond_a_long(self, spark):
         from panelweave.llm import whitening
 
-        rows = [(i, [2.0**26 * (i % 2)]) for i in range(4)]
-        got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-        assert all(r.deviation == (2 * 2**36) ** 2 if (2 * 2**36) ** 2 < 2**63 else r.deviation is None for r in got)
+        for d, expected in ((1, 2**60), (9, None)):
+            rows = [(i, [2.0**19 * (i % 2) + 2.0**-10 * (k == 1) * (i > 1) for k in range(d)]) for i in range(4)]
+            got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+            assert got and all(r.deviation == expected for r in got)
 
     @given(st.integers(0, 10**6), st.integers(1, 12), st.booleans())
     @settings(max_examples=60, deadline=None)
