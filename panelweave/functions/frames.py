@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+#: Rows up to which a sliding frame is read anew for each row.
+SLIDING = 21
 STATS = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -25,17 +27,68 @@ def roll(how: str, value: Column | str, rows: int, least: int, by: WindowSpec |
     return F.when(F.count(value).over(frame) >= least, STATS[how](value).over(frame))
 
 
+def rolling(df: DataFrame, wanted: Mapping[str, tuple[str, str, int, int]], keys: Sequence[str] = ("ticker",), order: Sequence[str] = ("date",)) -> DataFrame:
+    """Add columns {to: (how, value, rows, least)}: statistics of the last `rows` rows.
+
+    A frame that slides is read anew for each row, so only windows of up to
+    `SLIDING` rows use one. Beyond that a sum is the difference of two running
+    sums, and a maximum the largest of a few maxima of `SLIDING` rows that cover the
+    window, so the work for a row does not grow with the window; all of it follows
+    one sort by (keys, order). Deviations come from running sums of squares around
+    the group's mean; what lies within rounding of those counts as 0. Values that
+    are not finite count as missing in long windows, as they would stay in a
+    running sum for good.
+    """
+    by = Window.partitionBy(*keys).orderBy(*order)
+    short = {to: roll(*w, by) for to, w in wanted.items() if w[2] <= SLIDING}
+    long = {to: w for to, w in wanted.items() if w[2] > SLIDING}
+    if not long:
+        return df.withColumns(short)
+    values = list(dict.fromkeys(w[1] for w in long.values()))
+    centred = {w[1] for w in long.values() if w[0] == "std"}
+    whole = {f.name for f in df.schema if f.name in values and f.name not in centred and f.dataType.typeName() in ("byte", "short", "integer", "long")}
+    known = {v: F.col(v) if v in whole else F.when(F.abs(F.col(v)) < float("inf"), F.col(v)) for v in values}
+    df = df.withColumns({f"_c_{v}": F.avg(known[v]).over(Window.partitionBy(*keys)) for v in values if v in centred})
+    so_far, ends = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(1 - SLIDING, 0)
+    running = {}
+    for v in values:
+        off = known[v] - F.col(f"_c_{v}") if v in centred else known[v]
+        running |= {f"_n_{v}": F.count(known[v]).over(so_far), f"_s_{v}": F.coalesce(F.sum(off).over(so_far), F.lit(0))}
+        if v in centred:
+            running[f"_q_{v}"] = F.coalesce(F.sum(off * off).over(so_far), F.lit(0))
+    running |= {f"_{how}_{v}": STATS[how](known[v]).over(ends) for how, v, _, _ in long.values() if how in ("max", "min")}
+    df = df.withColumns(running)
+    found = {}
+    for to, (how, v, rows, least) in long.items():
+        last = lambda c: F.col(f"_{c}_{v}") - F.coalesce(F.lag(f"_{c}_{v}", rows).over(by), F.lit(0))  # noqa: B023, E731
+        n, centre = last("n"), F.col(f"_c_{v}") if v in centred else F.lit(0)
+        if how == "sum":
+            value = last("s") + n * centre
+        elif how == "mean":
+            value = last("s") / n + centre
+        elif how == "std":
+            spread = last("q") - last("s") * last("s") / n
+            value = F.when(n > 1, F.sqrt(F.when(spread > 1e-14 * F.col(f"_q_{v}"), spread).otherwise(0.0) / (n - 1)))
+        else:
+            parts = [*range(0, rows - SLIDING, SLIDING), rows - SLIDING]
+            value = (F.greatest if how == "max" else F.least)(*[F.lag(f"_{how}_{v}", k).over(by) for k in parts]) if len(parts) > 1 else F.col(f"_{how}_{v}")
+        found[to] = F.when((n >= least) & (n > 0), value)
+    return df.withColumns(short | found).drop(*running, *[f"_c_{v}" for v in centred])
+
+
 def grouped_rolling(df: DataFrame, columns: Sequence[str], rows: int, least: int, how: str) -> DataFrame:
     """Each column replaced by its rolling statistic within the ticker."""
-    return df.withColumns({c: roll(how, c, rows, least) for c in columns})
+    found = rolling(df, {f"_roll_{c}": (how, c, rows, least) for c in columns})
+    return found.drop(*columns).withColumnsRenamed({f"_roll_{c}": c for c in columns}).select(*df.columns)
 
 
 def avg_rank(value: str, keys: Sequence[str], members: Column | None = None) -> Column:
-    """Average rank within the group, ties sharing the mean of their places."""
+    """Average rank within the group, ties sharing the mean of their places; place
+    and number of peers come from one sort."""
     shown = F.col(value) if members is None else F.when(members, F.col(value))
-    place = F.rank().over(Window.partitionBy(*keys).orderBy(shown.asc_nulls_last()))
-    tied = F.count(shown).over(Window.partitionBy(*keys, shown))
-    return F.when(shown.isNotNull(), place + (tied - 1) / 2)
+    by = Window.partitionBy(*keys).orderBy(shown.asc_nulls_last())
+    tied = F.count(shown).over(by.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(shown.isNotNull(), F.rank().over(by) + (tied - 1) / 2)
 
 
 def group_count(value: str, keys: Sequence[str], members: Column | None = None) -> Column:

@@ -54,9 +54,11 @@ def percentile_ranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
 
 
 def gaussian_ranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("date",)) -> DataFrame:
-    """`<name>_z`: ranks scaled to (0, 1) and mapped to a standard normal."""
+    """`<name>_z`: ranks scaled to (0, 1) and mapped to a standard normal. Columns
+    whose `<name>_xs_rank` is there already are not ranked again."""
     m = member(df)
-    df = df.withColumns({f"_{c}": (avg_rank(c, keys, m) - 0.5) / group_count(c, keys, m) for c in columns})
+    place = lambda c: F.col(f"{c}_xs_rank") * group_count(c, keys, m) if f"{c}_xs_rank" in df.columns else avg_rank(c, keys, m)
+    df = df.withColumns({f"_{c}": (place(c) - 0.5) / group_count(c, keys, m) for c in columns})
     return df.withColumns({f"{c}_z": F.expr(ppf_sql(f"`_{c}`")) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 

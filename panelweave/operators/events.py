@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.frames import by_ticker, ratio, roll
+from panelweave.functions.frames import by_ticker, ratio, roll, rolling
 from panelweave.operators.asof import asof, asof_nearest, to_next_session
 
 YEAR = 252
@@ -112,10 +112,11 @@ def insiders(df: DataFrame, trades: DataFrame) -> DataFrame:
         F.count_distinct(F.when(bought, F.col("accession"))).alias("_n"), F.sum(F.when(bought, F.col("value")).otherwise(0.0)).alias("_buy"), F.sum(F.when(~bought, F.col("value")).otherwise(0.0)).alias("_sell")
     )
     df = df.join(daily, ["ticker", "date"], "left").fillna(0, ["_n", "_buy", "_sell"])
-    df = df.withColumns({"insider_purchases_90d": roll("sum", "_n", INSIDER_SESSIONS, 1), "insider_net_90d": roll("sum", "_buy", INSIDER_SESSIONS, 1) - roll("sum", "_sell", INSIDER_SESSIONS, 1)})
+    df = rolling(df, {"insider_purchases_90d": ("sum", "_n", INSIDER_SESSIONS, 1), "_bought": ("sum", "_buy", INSIDER_SESSIONS, 1), "_sold": ("sum", "_sell", INSIDER_SESSIONS, 1)})
+    df = df.withColumn("insider_net_90d", F.col("_bought") - F.col("_sold"))
     if "market_cap" in df.columns:
         df = df.withColumn("insider_net_value_90d", ratio("insider_net_90d", "market_cap"))
-    return df.drop("_n", "_buy", "_sell")
+    return df.drop("_n", "_buy", "_sell", "_bought", "_sold")
 
 
 def macro_conditions(macro: DataFrame) -> DataFrame:
@@ -123,7 +124,8 @@ def macro_conditions(macro: DataFrame) -> DataFrame:
     score against its last 252 rows. One row a date."""
     by = Window.orderBy("date")
     filled = macro.withColumns({c: F.last(c, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)) for c in macro.columns if c != "date"})
-    return filled.withColumns({"vix_change_20d": ratio("vix", F.lag("vix", 20).over(by)) - 1, "vix_regime": ratio(F.col("vix") - roll("mean", "vix", 252, 126, by), roll("std", "vix", 252, 126, by))})
+    filled = rolling(filled, {"_mean": ("mean", "vix", 252, 126), "_std": ("std", "vix", 252, 126)}, keys=())
+    return filled.withColumns({"vix_change_20d": ratio("vix", F.lag("vix", 20).over(by)) - 1, "vix_regime": ratio(F.col("vix") - F.col("_mean"), "_std")}).drop("_mean", "_std")
 
 
 def macro(df: DataFrame, table: DataFrame) -> DataFrame:

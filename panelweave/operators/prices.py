@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.frames import by_ticker, ratio, roll
+from panelweave.functions.frames import by_ticker, ratio, rolling
 
 YEAR = 252
 
@@ -41,26 +41,30 @@ def price_features(prices: DataFrame) -> DataFrame:
             "return_20d": _change("close", 20),
             "momentum_60d": _change("close", 60),
             "momentum_12_1": ratio(F.lag("close", 21).over(by), F.lag("close", YEAR).over(by)) - 1,
-            "ma_gap_50d": ratio("close", roll("mean", "close", 50, 50)) - 1,
-            "high_52w": ratio("close", roll("max", "close", YEAR, 126)),
         }
     )
-    df = df.withColumn("volatility_20d", roll("std", "return_1d", 20, 20) * YEAR**0.5)
+    wanted = {"_mean50": ("mean", "close", 50, 50), "_top": ("max", "close", YEAR, 126), "_std20": ("std", "return_1d", 20, 20)}
     if "volume" in df.columns:
-        df = df.withColumn("volume_ratio_20d", ratio("volume", roll("mean", "volume", 20, 20)))
+        wanted["_volume20"] = ("mean", "volume", 20, 20)
     if {"high", "low"} <= set(df.columns):
-        df = corwin_schultz(df, "_spread").withColumn("cs_spread_21d", roll("mean", "_spread", 21, 10)).drop("_spread")
+        df = corwin_schultz(df, "_spread")
+        wanted["cs_spread_21d"] = ("mean", "_spread", 21, 10)
+    df = rolling(df, wanted)
+    df = df.withColumns({"ma_gap_50d": ratio("close", "_mean50") - 1, "high_52w": ratio("close", "_top"), "volatility_20d": F.col("_std20") * YEAR**0.5})
+    if "volume" in df.columns:
+        df = df.withColumn("volume_ratio_20d", ratio("volume", "_volume20"))
     clipped = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.col("return_1d")))
     df = df.withColumn("_r", F.when(~F.col("_filled"), clipped))
     df = df.withColumn("market_return_1d", F.avg("_r").over(Window.partitionBy("date")))
     paired = F.col("_r").isNotNull() & F.col("market_return_1d").isNotNull()
     df = df.withColumns({"_x": F.when(paired, F.col("_r")), "_m": F.when(paired, F.col("market_return_1d"))})
     df = df.withColumns({"_xm": F.col("_x") * F.col("_m"), "_mm": F.col("_m") * F.col("_m")})
-    mean = {c: roll("mean", c, YEAR, 126) for c in ("_x", "_m", "_xm", "_mm")}
+    df = rolling(df, {f"_mean{c}": ("mean", c, YEAR, 126) for c in ("_x", "_m", "_xm", "_mm")})
+    mean = {c: F.col(f"_mean{c}") for c in ("_x", "_m", "_xm", "_mm")}
     spread = mean["_mm"] - mean["_m"] * mean["_m"]
-    df = df.withColumn("beta_252", F.when(spread != 0, (mean["_xm"] - mean["_x"] * mean["_m"]) / spread))
+    df = df.withColumn("beta_252", F.when(spread > 1e-14 * mean["_mm"], (mean["_xm"] - mean["_x"] * mean["_m"]) / spread))
     df = df.withColumn("_e", F.col("_x") - F.lag("beta_252").over(by) * F.col("_m"))
-    df = df.withColumns({"_sum": roll("sum", "_e", 231, 126), "_std": roll("std", "_e", 231, 126), "idio_vol_63": roll("std", "_e", 63, 42) * YEAR**0.5, "max_return_21": roll("max", "_r", 21, 15)})
+    df = rolling(df, {"_sum": ("sum", "_e", 231, 126), "_std": ("std", "_e", 231, 126), "_std63": ("std", "_e", 63, 42), "max_return_21": ("max", "_r", 21, 15)})
     risk = F.lag("_std", 21).over(by) * 231**0.5
-    df = df.withColumn("residual_momentum", F.when(risk != 0, F.lag("_sum", 21).over(by) / risk))
-    return df.drop("_r", "_x", "_m", "_xm", "_mm", "_e", "_sum", "_std")
+    df = df.withColumns({"idio_vol_63": F.col("_std63") * YEAR**0.5, "residual_momentum": F.when(risk != 0, F.lag("_sum", 21).over(by) / risk)})
+    return df.drop("_spread", "_mean50", "_top", "_std20", "_volume20", "_r", "_x", "_m", "_xm", "_mm", "_e", "_sum", "_std", "_std63", *[f"_mean{c}" for c in mean])
