@@ -3,8 +3,8 @@
 Everything is long form (run, period, strategy, ticker), so all starting offsets
 of a strategy are one job. Turnover needs no recursion: a period's trade is its
 weights less the drifted weights of the period before, one union and aggregate.
-Only the buffered selection depends on its own past; it folds over the dates of
-one (run, side, sector) with at most the names held as state.
+Only the buffered selection depends on its own past; an array fold over chunks of
+periods of one (run, side, sector) carries the names held.
 """
 
 from __future__ import annotations
@@ -95,31 +95,51 @@ def _sides(rows: DataFrame, keys: Sequence[str], config: Config) -> DataFrame:
     return rows.withColumn("_exit", F.greatest(F.col("_k"), size(config.exit_quantile or config.quantile)))
 
 
-def buffered(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+def buffered(ranked: DataFrame, keys: Sequence[str], chunk: int = 64) -> DataFrame:
     """Names held under a buffer: holdings inside the top `_exit` stay (at most
-    `_k`), the rest is filled from the top. Input (keys, period, ticker, _rank,
-    _k, _exit); groups are one run, side and sector."""
-
-    def fold(pdf):
-        held, rows = set(), []
-        for period, day in pdf.sort_values(["period", "_rank"]).groupby("period", sort=True):
-            k, leave = int(day["_k"].iloc[0]), int(day["_exit"].iloc[0])
-            order = day["ticker"].tolist()
-            stay = [t for t in order[:leave] if t in held][:k]
-            chosen = set(stay)
-            for t in order:
-                if len(chosen) >= k:
-                    break
-                chosen.add(t)
-            held = chosen
-            rows.append(day[day["ticker"].isin(chosen)])
-        import pandas as pd
-
-        return pd.concat(rows)[[*keys, "period", "ticker"]] if rows else pdf[[*keys, "period", "ticker"]]
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.select(*keys, "period", "ticker").schema)
+    `_k`), the rest is filled from the top. Input (keys, period, ticker, _rank, _k,
+    _exit); returns (keys, period, ticker). Groups are one run, side and sector.
+
+    A group's period becomes its names in order; a fold over the periods carries
+    the held names. It runs over `chunk` periods at a time, with the held names of
+    each group handed on in a small table, so a row never holds a group's history.
+    """
+    spark, kind = ranked.sparkSession, ranked.schema["ticker"].dataType.simpleString()
     # only names that could be held: inside the exit rank or the first k of any order
-    return ranked.filter(F.col("_rank") <= F.col("_exit") + F.col("_k")).groupBy(*keys).applyInPandas(fold, schema)
+    able = ranked.filter(F.col("_rank") <= F.col("_exit") + F.col("_k"))
+    order = F.transform(F.sort_array(F.collect_list(F.struct("_rank", "ticker"))), lambda x: x["ticker"]).alias("names")
+    days = settle(able.groupBy(*keys, "period").agg(F.first("_k").alias("k"), F.first("_exit").alias("leave"), order), "ranked-names")
+
+    def choose(held: Column, day: Column) -> Column:
+        stay = F.slice(F.filter(F.slice(day["names"], F.lit(1), day["leave"]), lambda t: F.array_contains(held, t)), F.lit(1), day["k"])
+        return F.concat(stay, F.slice(F.array_except(day["names"], stay), F.lit(1), day["k"] - F.size(stay)))
+
+    def step(state: Column, day: Column) -> Column:
+        held = choose(state["held"], day)
+        return F.struct(held.alias("held"), F.concat(state["all"], F.array(F.struct(day["period"].alias("period"), held.alias("held")))).alias("all"))
+
+    last = days.agg(F.max("period")).first()[0]
+    period = days.schema["period"].dataType.simpleString()
+    start = f"struct<held:array<{kind}>,all:array<struct<period:{period},held:array<{kind}>>>>"
+    held, found = None, None
+    for first in range(0, (last + 1) if last is not None else 0, chunk):
+        some = days.filter(F.col("period").between(first, first + chunk - 1))
+        groups = some.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("period", "k", "leave", "names"))).alias("days"))
+        none = F.array().cast(f"array<{kind}>")
+        if held is None:
+            groups = groups.withColumn("before", none)
+        else:
+            groups = groups.join(held, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys]).withColumn("before", F.coalesce("before", none))
+        state = F.struct(F.col("before").alias("held"), F.array().cast(f"array<struct<period:{period},held:array<{kind}>>>").alias("all")).cast(start)
+        folded = settle(groups.select(*keys, F.aggregate("days", state, lambda s, d: step(s, d).cast(start)).alias("state")), "held-names")
+        now = folded.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("state.held").alias("before"))
+        if held is not None:  # groups without a name in these periods hold on
+            same = [now[f"_{k}"].eqNullSafe(held[f"_{k}"]) for k in keys]
+            now = now.unionByName(held.join(now, same, "left_anti"))
+        held = now
+        rows = folded.select(*keys, F.explode("state.all").alias("x")).select(*keys, "x.period", F.explode("x.held").alias("ticker"))
+        found = rows if found is None else found.unionByName(rows)
+    return found if found is not None else spark.createDataFrame([], ranked.select(*keys, "period", "ticker").schema)
 
 
 def weights(rows: DataFrame, config: Config) -> DataFrame:
@@ -194,7 +214,7 @@ def with_index(returns: DataFrame, index_prices: DataFrame, config: Config, cove
     """Add the index as a strategy if it covers over 90 % of the periods; periods
     without an index return are then dropped for every strategy."""
     market = index_returns(index_prices, config.holding_days)
-    joined = returns.join(F.broadcast(market), "date", "left").persist()
+    joined = settle(returns.join(F.broadcast(market), "date", "left"), "with-index")  # a row a period and strategy
     share = joined.select("date", "index_return").distinct().agg(F.avg(F.col("index_return").isNotNull().cast("int"))).first()[0]
     if not share or share <= covered:
         return returns

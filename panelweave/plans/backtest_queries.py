@@ -13,6 +13,7 @@ from panelweave.plans.panel_queries import USABLE, companies_cte, features, feat
 from panelweave.plans.registry import query
 
 CONFIG = bt.Config(holding_days=4, cost_bps=10, borrow_bps=30)
+STAGGERED = bt.Config(holding_days=4, exit_quantile=0.4, smooth_days=3, cost_model="spread", offsets=(0, 1, 2, 3))
 
 
 def predictions(spark, sf_dir, *extra):
@@ -86,11 +87,46 @@ def b16_quantile_returns(spark, sf_dir):
     return found.select("quantile", F.round("mean_return", 6).alias("mean_return"), "observations")
 
 
-@query()
+#: Four offsets at once: smoothed scores, books under a buffer by a recursive fold,
+#: costs by each name's spread, returns of the periods.
+BUFFERED = PREDICTIONS.replace("WITH ", "WITH RECURSIVE ", 1).replace("beta_252, volatility_20d FROM u", "cs_spread_21d FROM u") + """,
+    sm AS (SELECT * REPLACE (avg(probability) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS probability) FROM p),
+    dd AS (SELECT date, count(*) AS names, row_number() OVER (ORDER BY date) - 1 AS no FROM sm GROUP BY date),
+    rr AS (SELECT date, names, run, row_number() OVER (PARTITION BY run ORDER BY date) - 1 AS period FROM dd, (SELECT unnest([0, 1, 2, 3]) AS run) WHERE no >= run AND (no - run) % 4 = 0 AND names >= 5),
+    x0 AS (SELECT sm.*, names, run, period, row_number() OVER (PARTITION BY run, period ORDER BY probability DESC, ticker) AS up, greatest(1, CAST(round_even(names * 0.2, 0) AS INT)) AS k,
+      greatest(1, CAST(round_even(names * 0.4, 0) AS INT)) AS leave, median(cs_spread_21d) OVER (PARTITION BY run, period) AS middle FROM sm JOIN rr USING (date)),
+    xs AS (SELECT *, 0.001 * CASE WHEN middle > 0 THEN coalesce(greatest(0.25, least(4.0, cs_spread_21d / middle)), 1.0) ELSE 1.0 END AS unit FROM x0),
+    sides AS (SELECT *, unnest([1, -1]) AS side, unnest([up, names - up + 1]) AS rk FROM xs),
+    pl AS (SELECT run, side, period, any_value(k) AS k, any_value(leave) AS leave, list(ticker ORDER BY rk) AS ns FROM sides GROUP BY 1, 2, 3),
+    hold AS (SELECT run, side, period, ns[1:k] AS held FROM pl WHERE period = 0 UNION ALL
+      SELECT run, side, period, list_concat(stay, list_filter(ns, lambda t: NOT list_contains(stay, t))[1:k - len(stay)]) FROM
+        (SELECT pl.*, list_filter(ns[1:leave], lambda t: list_contains(h.held, t))[1:k] AS stay FROM hold h JOIN pl ON pl.run = h.run AND pl.side = h.side AND pl.period = h.period + 1)),
+    picked AS (SELECT run, side, period, unnest(held) AS ticker, side / len(held) AS w FROM hold),
+    book AS (SELECT run, period, ticker, 'long_only' AS strategy, w, tradable_return AS r FROM picked JOIN xs USING (run, period, ticker) WHERE side = 1
+      UNION ALL SELECT run, period, ticker, 'long_short', w, tradable_return FROM picked JOIN xs USING (run, period, ticker)
+      UNION ALL SELECT run, period, ticker, 'benchmark', 1.0 / names, tradable_return FROM xs),
+    ends AS (SELECT *, w * (1 + r) / sum(abs(w * (1 + r))) OVER b * sum(abs(w)) OVER b AS e FROM book WINDOW b AS (PARTITION BY run, period, strategy)),
+    moved AS (SELECT run, period, strategy, ticker, sum(w) AS w, sum(e) AS e FROM (SELECT run, period, strategy, ticker, w, 0.0 AS e FROM book UNION ALL SELECT run, period + 1, strategy, ticker, 0.0, e FROM ends) GROUP BY ALL),
+    tr AS (SELECT run, period, strategy, sum(abs(w - e)) AS turnover, sum(abs(w - e) * coalesce(unit, mid)) AS cost FROM moved JOIN (SELECT run, period, median(unit) AS mid FROM xs GROUP BY ALL) USING (run, period)
+      LEFT JOIN (SELECT run, period, ticker, unit FROM xs) USING (run, period, ticker) GROUP BY ALL),
+    bt AS (SELECT run, period, strategy, any_value(turnover) AS turnover, any_value(cost) AS cost, sum(w * r) - any_value(cost) AS net FROM book JOIN tr USING (run, period, strategy) GROUP BY ALL)"""
+
+
+@query(
+    BUFFERED + """, s AS (SELECT run, strategy, CASE WHEN product(1 + net) > 0 THEN pow(product(1 + net), 63.0 / count(*)) - 1 ELSE -1 END AS cagr, avg(net) / nullif(stddev_samp(net), 0) * sqrt(63) AS sharpe FROM bt GROUP BY ALL)
+    SELECT strategy, count(DISTINCT run) AS offsets, round(avg(cagr), 5) AS cagr_mean, round(min(cagr), 5) AS cagr_min, round(max(cagr), 5) AS cagr_max, round(avg(sharpe), 5) AS sharpe_mean, round(min(sharpe), 5) AS sharpe_min, round(max(sharpe), 5) AS sharpe_max FROM s GROUP BY strategy"""
+)
 def b4_b17_staggered_buffered(spark, sf_dir):
     """All four starting weeks of a buffered, spread-costed strategy in one job."""
-    config = bt.Config(holding_days=4, exit_quantile=0.4, smooth_days=3, cost_model="spread", offsets=(0, 1, 2, 3))
-    return bt.staggered(bt.summary(bt.backtest(predictions(spark, sf_dir, "cs_spread_21d"), config), config))
+    found = bt.staggered(bt.summary(bt.backtest(predictions(spark, sf_dir, "cs_spread_21d"), STAGGERED), STAGGERED))
+    return found.select("strategy", "offsets", *[F.round(c, 5).alias(c) for c in found.columns if c not in ("strategy", "offsets")])
+
+
+@query(BUFFERED + " SELECT run, period, strategy, round(turnover, 6) AS turnover, round(cost, 8) AS cost, round(net, 6) AS net FROM bt")
+def b4_buffered_books(spark, sf_dir):
+    """Turnover, cost and net return of every period of every offset."""
+    found = bt.backtest(predictions(spark, sf_dir, "cs_spread_21d"), STAGGERED)
+    return found.select("run", F.col("period").cast("long").alias("period"), "strategy", F.round("turnover", 6).alias("turnover"), F.round("cost", 8).alias("cost"), F.round("net", 6).alias("net"))
 
 
 @query(
