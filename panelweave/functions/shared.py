@@ -38,6 +38,14 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_settled(spark: SparkSession) -> int:
     """Delete the tables that this process has settled, once results that read them
     are written; how many there were."""
