@@ -16,10 +16,11 @@ The model is P(word | two words before) = P(class | context) P(word | class, con
 Everything that training needs from the corpus is gathered by Spark over all
 training documents: exact counts of all tokens (by 64-bit hash, two of 10**9 tokens
 share one with chance 0.03), and counts of all (context, class or word)
-triples, summed by slice of the word before. Each round of training sends a slice's
-weights to the task that holds it; the tasks return observed less expected counts of
-every feature (a table of the model's size, whatever the corpus); the driver takes
-a step along them, each divided by a bound of its curvature. Scoring gathers the
+triples, summed by slice of the word before. Training takes gradient steps, each
+weight's divided by a bound of its curvature: in a round every slice updates the
+weights of its own features in the task that holds its counts; only the table of
+`skip`, which all slices share, is summed and updated on the driver between rounds.
+The tables do not grow with the corpus. Scoring gathers the
 rows of a batch's distinct triples. Counts of tail tokens are looked up in a
 shuffle by hash, so no vocabulary is ever held in one place.
 
@@ -39,6 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweave.functions.shared import drop
 from panelweave.llm.common import crc_remainder, settle, utf8
 from panelweave.llm.wordhash import parts, token_values, words
 
@@ -50,7 +52,7 @@ SYMBOLS = START + 1
 SLICES, ROWS = 64, 1 << 14  # slices of the words before, rows of a hashed table
 FREQUENT = 1 << 17  # tokens whose counts are sent to all tasks
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
-ROUNDS, RIDGE, MOMENTUM = 8, 1.0, 0.5
+ROUNDS, STEPS, RIDGE, MOMENTUM = 4, 2, 1.0, 0.5
 
 
 # ------------------------------------------------------------------------ text
@@ -424,16 +426,10 @@ def biases(vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return np.log(share / share.sum()).astype(np.float32), (inside - np.log(groups.sum(1, keepdims=True) + 1e-9)).astype(np.float32)
 
 
-def step(weights: Weights, observed: dict[str, np.ndarray], means: dict[str, np.ndarray], speed: dict[str, np.ndarray], momentum: float) -> None:
-    """One step up the penalised likelihood, each weight's gradient divided by a
-    bound of its curvature, with momentum."""
-    for k, w in weights.tables.items():
-        together = 3 if k in ("bigram", "skip", "trigram") else 2  # features that act on one softmax
-        for i in range(0, len(w), 4096):
-            part = slice(i, i + 4096)
-            gradient = observed[k][part] - means[k][part] - RIDGE * w[part]
-            speed[k][part] = momentum * speed[k][part] + gradient / (together * (np.maximum(observed[k][part], means[k][part]) + RIDGE))
-            w[part] += speed[k][part]
+def slope(observed: np.ndarray, mean: np.ndarray, weights: np.ndarray, together: int) -> np.ndarray:
+    """Gradient of the penalised likelihood, each weight's divided by a bound of its
+    curvature; `together` features act on one softmax."""
+    return (observed - mean - RIDGE * weights) / (together * (np.maximum(observed, mean) + RIDGE))
 
 
 # ---------------------------------------------------------- training in rounds
@@ -470,64 +466,85 @@ def _owned(k: int) -> dict[str, np.ndarray]:
     return {"bigram": a, "trigram": hashed, "word": (a[:, None] * GROUPS + np.arange(GROUPS)).ravel(), "words": hashed}
 
 
-OWNED = ("bigram", "trigram", "word", "words")
+TOGETHER = {"bigram": 3, "skip": 3, "trigram": 3, "word": 2, "words": 2}
 
 
-def _sent(spark: SparkSession, weights: Weights) -> DataFrame:
-    """(slice, its rows of each table): a model in all."""
-    rows = {t: pa.array([weights.tables[t][_owned(k)[t]].tobytes() for k in range(SLICES)], pa.binary()) for t in OWNED}
-    return spark.createDataFrame(pa.table({"slice": pa.array(range(SLICES), pa.int32()), **rows}))
+def _state(k: int, packed: bytes | None) -> dict[str, list[np.ndarray]]:
+    """[weights, speed, observed counts] of the rows that slice k owns, by table."""
+    values, out, start = None if packed is None else np.frombuffer(packed, np.float32), {}, 0
+    for t, at in _owned(k).items():
+        shape = (3, len(at), SHAPES[t][1])
+        size = int(np.prod(shape))
+        out[t] = list(np.zeros(shape, np.float32) if values is None else values[start : start + size].reshape(shape).copy())
+        start += size
+    return out
 
 
-def _round(bias: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
-    """(table, rows, values) of a task's feature counts, observed without `bias`,
-    else expected under the weights that come with each slice; `bias` holds those
-    that all slices share."""
+def _local_steps(class_bias: np.ndarray, word_bias: np.ndarray, skip: np.ndarray, steps: int):
+    """Each slice takes some steps on the rows that it owns, with the shared `skip`
+    table as it is; its observed and expected counts of `skip` go along."""
 
     def run(batches):
-        total = tables()
         for batch in batches:
             names = batch.schema.names
             for i in range(batch.num_rows):
-                read = lambda c, kind: np.frombuffer(batch.column(names.index(c))[i].as_buffer(), kind)  # noqa: B023, E731
-                weights = None
-                if bias is not None:
-                    weights = Weights(bias[0], bias[1])
-                    weights.tables["skip"] = bias[2]
-                    for t, at in _owned(batch.column(0)[i].as_py()).items():
-                        weights.tables[t][at] = read(t, np.float32).reshape(len(at), SHAPES[t][1])
-                gather(read("k", np.int64), read("n", np.int64), weights, total)
-        for name, values in total.items():
-            rows = np.flatnonzero(values.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows.tobytes()], pa.binary()), pa.array([values[rows].tobytes()], pa.binary())], ["name", "rows", "total"])
+                raw = [batch.column(names.index(c))[i] for c in ("slice", "k", "n", "state")]
+                number, key, count = raw[0].as_py(), *(np.frombuffer(x.as_buffer(), np.int64) for x in raw[1:3])
+                state, owned = _state(number, raw[3].as_py()), _owned(number)
+                weights, observed = Weights(class_bias, word_bias), tables()
+                weights.tables["skip"] = skip
+                gather(key, count, None, observed)
+                for _ in range(steps):
+                    mean = tables()
+                    for t, at in owned.items():
+                        weights.tables[t][at] = state[t][0]
+                    gather(key, count, weights, mean)
+                    for t, at in owned.items():
+                        w, v, o = state[t]
+                        o[:] = observed[t][at]
+                        v[:] = MOMENTUM * v + slope(o, mean[t][at], w, TOGETHER[t])
+                        w += v
+                packed = np.concatenate([x.ravel() for t in owned for x in state[t]])
+                columns = [packed.tobytes(), observed["skip"].tobytes(), mean["skip"].tobytes()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)).slice(i, 1) for c in ("slice", "k", "n")), *[pa.array([c], pa.binary()) for c in columns]], ["slice", "k", "n", "state", "seen", "mean"])
 
     return run
 
 
-def _gathered(triples: DataFrame, weights: Weights | None) -> dict[str, np.ndarray]:
-    """The tasks' tables, added. A slice owns its rows of all tables but `skip`, so
-    what reaches the driver is one model and a `skip` table for each task."""
-    bias = None
-    if weights is not None:
-        bias = weights.class_bias, weights.word_bias, weights.tables["skip"]
-        triples = triples.join(F.broadcast(_sent(triples.sparkSession, weights)), "slice")  # of the model's size
-    found, total = triples.mapInArrow(_round(bias), "name string, rows binary, total binary").toArrow(), tables()
-    for batch in found.to_batches():
-        for i, name in enumerate(batch.column(0).to_pylist()):
-            at = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
-            total[name][at] += np.frombuffer(batch.column(2)[i].as_buffer(), np.float32).reshape(len(at), SHAPES[name][1])
-    return total
+def _added(batches):
+    """Sums of the observed and of the expected counts of `skip` over a task."""
+    seen, mean = np.zeros((2, *SHAPES["skip"]))
+    for batch in batches:
+        for i in range(batch.num_rows):
+            for total, c in ((seen, 0), (mean, 1)):
+                total += np.frombuffer(batch.column(c)[i].as_buffer(), np.float32).reshape(total.shape)
+    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (seen, mean)], ["seen", "mean"])
 
 
 def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
-    """Weights learned from the `text` column in so many rounds."""
-    triples = texts.select("text").mapInArrow(_count_triples(vocab), "slice int, k binary, n binary")
-    triples = triples.repartition("slice").sortWithinPartitions("slice").mapInArrow(_merge((np.int64, np.int64), "slice", ["k", "n"]), "slice int, k binary, n binary")
-    triples = settle(triples, "context-counts")
+    """Weights learned from the `text` column in so many rounds.
+
+    A slice owns its rows of all tables but `skip`. In a round each slice takes
+    `STEPS` steps on its own rows, where its counts are; then the driver adds the
+    slices' counts of `skip`, a small table, and takes a step on that.
+    """
+    columns = "slice int, k binary, n binary"
+    triples = texts.select("text").mapInArrow(_count_triples(vocab), columns)
+    triples = triples.repartition("slice").sortWithinPartitions("slice").mapInArrow(_merge((np.int64, np.int64), "slice", ["k", "n"]), columns)
+    now = settle(triples, "context-counts").withColumn("state", F.lit(None).cast("binary"))
     weights = Weights(*biases(vocab))
-    observed, speed = _gathered(triples, None), tables()
+    speed = np.zeros(SHAPES["skip"])
     for _ in range(rounds):
-        step(weights, observed, _gathered(triples, weights), speed, MOMENTUM)
+        run = _local_steps(weights.class_bias, weights.word_bias, weights.tables["skip"], STEPS)
+        before, now = now, settle(now.mapInArrow(run, f"{columns}, state binary, seen binary, mean binary"), "slices")
+        drop(before)
+        parts = now.select("seen", "mean").coalesce(4).mapInArrow(_added, "seen binary, mean binary").collect()  # 4 tables
+        seen, mean = (sum(np.frombuffer(p[c], np.float64) for p in parts).reshape(speed.shape) for c in (0, 1))
+        speed = MOMENTUM * speed + slope(seen, mean, weights.tables["skip"], TOGETHER["skip"])
+        weights.tables["skip"] = (weights.tables["skip"] + speed).astype(np.float32)
+    for r in now.select("slice", "state").toLocalIterator():  # a model in all
+        for t, at in _owned(r["slice"]).items():
+            weights.tables[t][at] = _state(r["slice"], r["state"])[t][0]
     return weights
 
 

@@ -91,7 +91,7 @@ def plain(rows, rounds):
             yield word_bias[c], {k: v[0] for k, v in m.word_rows(*one, np.array([c])).items()}, y % m.MEMBERS
 
     speed = {k: {} for k in m.SHAPES}
-    for _ in range(rounds):
+    for step in range(rounds * m.STEPS):
         seen, mean = ({k: {} for k in m.SHAPES} for _ in range(2))
         for d in train:
             for a, b, y, _ in triples(d):
@@ -101,6 +101,8 @@ def plain(rows, rounds):
                         seen[k].setdefault(int(r), np.zeros(len(p)))[outcome] += 1
                         mean[k].setdefault(int(r), np.zeros(len(p)))[:] += p
         for k in tables:
+            if k == "skip" and step % m.STEPS < m.STEPS - 1:  # the shared table waits for the end of the round
+                continue
             for r in seen[k]:
                 w = tables[k].get(r, np.zeros(m.SHAPES[k][1]))
                 g = seen[k][r] - mean[k][r] - m.RIDGE * w
@@ -134,8 +136,8 @@ def test_equals_the_plain_version(spark, parts):
 
     rows = corpus(40)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
-    expected = plain(rows, 3)
-    for r in maxent.score_documents(df, rounds=3).collect():
+    expected = plain(rows, 2)
+    for r in maxent.score_documents(df, rounds=2).collect():
         *exact, base, score = expected[r.doc_id]
         assert [r.held_out, r.n_tokens, r.n_known, r.train_tokens] == exact
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=2e-4)
@@ -164,7 +166,7 @@ def test_context_helps_on_held_out_texts(spark):
 def test_awkward_rows(spark, docs, rows, none):
     from panelweave.llm import maxent
 
-    found = maxent.score_documents(docs, rounds=2).collect()
+    found = maxent.score_documents(docs, rounds=1).collect()
     count = Counter(w for r in rows if crc(r[0], 7) != 2 for w in tokens(r[1]))
     total = sum(count.values())
     expected = sorted(((r[0], crc(r[0], 7) == 2, len(tokens(r[1])), sum(count[w] > 0 for w in tokens(r[1])), total) for r in rows), key=str)
