@@ -355,7 +355,7 @@ class Weights:
     def of(self, level: "Level") -> np.ndarray:
         return self.softmax(level.rows, self.class_bias if level.width == CLASSES else self.word_bias[level.group])
 
-    def log10(self, key: np.ndarray, part: int = 25_000) -> np.ndarray:
+    def log10(self, key: np.ndarray, part: int = 10_000) -> np.ndarray:
         """log10 of P(class) and, of a head word, P(word | class), for distinct keys."""
         out = np.empty(len(key))
         for i in range(0, len(key), part):
@@ -390,7 +390,7 @@ def levels(key: np.ndarray) -> tuple[Level, Level]:
     return classes, Level(MEMBERS, word_rows(*np.divmod(pair, SYMBOLS), group), group, head, at, member)
 
 
-def gather(key: np.ndarray, count: np.ndarray, weights: Weights | None, total: dict[str, np.ndarray], part: int = 50_000) -> float:
+def gather(key: np.ndarray, count: np.ndarray, weights: Weights | None, total: dict[str, np.ndarray], part: int = 10_000) -> float:
     """Add the observed counts (without weights) or the expected counts of every
     feature to `total`; the log likelihood. Keys are distinct and in order."""
     likelihood, i = 0.0, 0
@@ -536,7 +536,7 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
     speed = np.zeros(SHAPES["skip"])
     for _ in range(rounds):
         run = _local_steps(weights.class_bias, weights.word_bias, weights.tables["skip"], STEPS)
-        before, now = now, settle(now.mapInArrow(run, f"{columns}, state binary, seen binary, mean binary"), "slices")
+        before, now = now, settle(now.select("slice", "k", "n", "state").mapInArrow(run, f"{columns}, state binary, seen binary, mean binary"), "slices")
         drop(before)
         parts = now.select("seen", "mean").coalesce(4).mapInArrow(_added, "seen binary, mean binary").collect()  # 4 tables
         seen, mean = (sum(np.frombuffer(p[c], np.float64) for p in parts).reshape(speed.shape) for c in (0, 1))
