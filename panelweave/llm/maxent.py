@@ -81,12 +81,14 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out_h, out_s, out_r
 
 
-def _sliced(column: pa.Array, most: int = 2_000_000):
-    """(tokens of the rows, first row, row after) of some bytes of a text column at a time."""
-    data, offsets = utf8(column.fill_null(""))
-    for a, b in parts(data, offsets, most):
-        cut = offsets[a : b + 1]
-        yield *tokens(data[cut[0] : cut[-1]], cut - cut[0]), a, b
+def _sliced(column: pa.Array, most: int = 1_000_000, rows: int = 1000):
+    """(tokens of the rows, first row, row after) of some bytes of a text column at a
+    time; no copy is made of more than `rows` texts."""
+    for start in range(0, len(column), rows):
+        data, offsets = utf8(column.slice(start, rows).fill_null(""))
+        for a, b in parts(data, offsets, most):
+            cut = offsets[a : b + 1]
+            yield *tokens(data[cut[0] : cut[-1]], cut - cut[0]), start + a, start + b
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray], *more: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -117,7 +119,7 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(56)).astype(np.int64)
 
 
-def _count_tokens(most: int = 1_500_000):
+def _count_tokens(most: int = 1_000_000):
     def run(batches):
         held = []
         for batch in batches:
@@ -154,7 +156,7 @@ def _merge(kinds: tuple, key: str, names: list[str]):
                 now = k
                 held.append(tuple(np.frombuffer(batch.column(c + 1)[i].as_buffer(), kind) for c, kind in enumerate(kinds)))
                 size += len(held[-1][0])
-                if size > 1_500_000 and len(held) > 1:
+                if size > 1_000_000 and len(held) > 1:
                     held = [merged(*map(list, zip(*held, strict=True)))]
                     size = len(held[0][0]) // 2
         if held:
@@ -435,7 +437,7 @@ def slope(observed: np.ndarray, mean: np.ndarray, weights: np.ndarray, together:
 # ---------------------------------------------------------- training in rounds
 
 
-def _count_triples(vocab: Vocabulary, most: int = 1_500_000):
+def _count_triples(vocab: Vocabulary, most: int = 1_000_000):
     def rows(k, n):
         return _by_bucket((k, n), slice_of(k // SYMBOLS**2), ["k", "n"], "slice")
 
