@@ -8,16 +8,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelweave.functions.frames import cdf_sql, ppf_sql
 from panelweave.functions.shared import settle
 
 EULER = 0.5772156649015329
-NORMAL = NormalDist()
 
 
 def usable_factors(data: DataFrame, y: str, factors: Sequence[str], present: float = 0.5) -> tuple[DataFrame, list[str]]:
@@ -101,41 +100,72 @@ def compound_factors(daily: DataFrame, holding_days: int, lag: int = 1) -> DataF
     return daily.select("date", *[F.when(F.count(c).over(frame) == holding_days, F.product(1 + F.col(c)).over(frame) - 1).alias(c) for c in names])
 
 
-def uniform(*parts) -> object:
-    """Numbers from 0 to 1 from a hash, so they hang on no partitioning."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / float(1 << 52)
+def uniform(seed: int, *parts: Column | str) -> Column:
+    """Numbers from 0 to 1 from the first 52 bits of an MD5 digest of the parts, which
+    any engine can draw again."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def bootstrap_indices(spark: SparkSession, n: int, reps: int, mean_block: float, seed: int = 42) -> DataFrame:
-    """(rep, t, idx): stationary bootstrap; blocks of geometric length wrap around.
+def block_draws(spark: SparkSession, n: int, reps: int, mean_block: float, seed: int = 42) -> DataFrame:
+    """(rep, block, first, start, size): stationary bootstrap of n periods. Block b of
+    a repetition fills the places from `first` on with `size` periods from `start`,
+    going round at the end; sizes are geometric, and the last block is cut at n.
 
-    A jump starts a block at a random place; other steps continue from the last
-    jump, which one window by repetition finds.
+    Blocks are drawn until their sizes reach n: eight deviations more than the
+    expected number are drawn, and the last of those takes what would be left.
     """
-    rows = spark.range(reps).withColumnRenamed("id", "rep").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    jump = (F.col("t") == 0) | (uniform("rep", "t", F.lit(seed)) < 1 / max(mean_block, 1.0))
-    start = F.floor(uniform("rep", "t", F.lit(seed + 1)) * n).cast("int")
-    by = Window.partitionBy("rep").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    block = F.last(F.when(jump, F.struct(start.alias("s"), F.col("t").alias("t0"))), ignorenulls=True).over(by)
-    rows = rows.withColumn("_b", block)
-    return rows.select("rep", "t", ((F.col("_b.s") + F.col("t") - F.col("_b.t0")) % n).alias("idx"))
+    most = min(n, math.ceil(n / max(mean_block, 1.0) + 8 * math.sqrt(n / max(mean_block, 1.0))) + 8)
+    rows = spark.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("block"))
+    long = F.floor(F.ln(1 - uniform(seed, "rep", "block", F.lit("size"))) / math.log(1 - 1 / mean_block)) if mean_block > 1 else F.lit(0)
+    rows = rows.withColumns({"size": F.least(F.lit(n), 1 + long).cast("int"), "start": F.floor(uniform(seed, "rep", "block", F.lit("start")) * n).cast("int")})
+    by = Window.partitionBy("rep").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("first", (F.sum("size").over(by) - F.col("size")).cast("int")).filter(F.col("first") < n)
+    rest = n - F.col("first")
+    return rows.select("rep", "block", "first", "start", F.when(F.col("block") == most - 1, rest).otherwise(F.least("size", rest)).alias("size"))
+
+
+def bootstrap_indices(spark: SparkSession, n: int, reps: int, mean_block: float, seed: int = 42) -> DataFrame:
+    """(rep, t, idx): every place of every repetition, for what is not a sum."""
+    rows = block_draws(spark, n, reps, mean_block, seed).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    return rows.select("rep", (F.col("first") + F.col("k")).alias("t"), ((F.col("start") + F.col("k")) % n).alias("idx"))
 
 
 def numbered(series: DataFrame, order: str = "date") -> DataFrame:
     return series.withColumn("idx", F.row_number().over(Window.orderBy(order)) - 1)  # a row a period
 
 
+def block_sums(series: DataFrame, draws: DataFrame, n: int, sums: dict[str, Column], keys: Sequence[str] = (), most: int = 200_000) -> DataFrame:
+    """(rep, keys, a column for each of `sums`): sums over each resample.
+
+    The series goes round once more and is summed up from its start, so a block's
+    sum is the difference of two of its rows: a resample costs its blocks, not its
+    periods. Rows of `series` have `idx` from 0 to n - 1 within the keys.
+    """
+    twice = series.withColumn("_turn", F.explode(F.array(F.lit(0), F.lit(n)))).select(*keys, (F.col("idx") + F.col("_turn")).alias("_at"), *[c.alias(name) for name, c in sums.items()])
+    by = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    upto = settle(twice.select(*keys, "_at", *[F.sum(c).over(by).alias(c) for c in sums]), "running-sums")
+    size = upto.count()
+    small = F.broadcast if size <= most else lambda df: df
+    ends = draws.select("rep", F.explode(F.array(F.struct((F.col("start") + F.col("size") - 1).alias("_at"), F.lit(1.0).alias("_sign")), F.struct((F.col("start") - 1).alias("_at"), F.lit(-1.0).alias("_sign")))).alias("_e")).select("rep", "_e.*").filter("_at >= 0")
+    return ends.join(small(upto), "_at").groupBy("rep", *keys).agg(*[F.sum(F.col("_sign") * F.col(c)).alias(c) for c in sums])
+
+
 def bootstrap_performance(series: DataFrame, strategies: Sequence[str], per_year: float, cash: str | None = None, reps: int = 2000, mean_block: float | None = None, seed: int = 42, no_cash: Sequence[str] = ("long_short",)) -> DataFrame:
     """95 % intervals of growth and Sharpe; all strategies share the resampled dates."""
     rows = settle(numbered(series.dropna(subset=list(strategies))), "series")
     n = rows.count()
-    draws = bootstrap_indices(series.sparkSession, n, reps, mean_block or max(2.0, n ** (1 / 3)), seed)
+    draws = block_draws(series.sparkSession, n, reps, mean_block or max(2.0, n ** (1 / 3)), seed)
     long = rows.unpivot(["idx", *([cash] if cash else [])], list(strategies), "strategy", "r")
     excess = F.col("r") - (F.when(F.col("strategy").isin(list(no_cash)), 0.0).otherwise(F.col(cash)) if cash else F.lit(0.0))
-    growth, spread = F.product(1 + F.col("r")), F.stddev_samp("x")
-    paths = draws.join(F.broadcast(long.withColumn("x", excess)), "idx").groupBy("rep", "strategy").agg(  # n rows a strategy
-        F.when(growth > 0, F.pow(growth, per_year / n) - 1).otherwise(-1.0).alias("cagr"), F.when(spread > 0, F.avg("x") / spread * per_year**0.5).alias("sharpe")
-    )
+    long = long.withColumn("_x", excess).withColumn("_m", F.avg("_x").over(Window.partitionBy("strategy")))  # n rows a strategy
+    grown, off = 1 + F.col("r"), F.col("_x") - F.col("_m")
+    sums = {"log": F.when(grown != 0, F.ln(F.abs(grown))).otherwise(0.0), "lost": (grown == 0).cast("double"), "below": (grown < 0).cast("double"), "x": off, "xx": off * off, "m": F.col("_m") / n}
+    found = block_sums(long, draws, n, sums, ["strategy"])
+    growth = F.when((F.round("lost") == 0) & (F.round("below") % 2 == 0), F.exp("log"))
+    spread = F.col("xx") - F.col("x") * F.col("x") / n
+    deviation = F.sqrt(F.when(spread > 1e-14 * F.col("xx"), spread) / (n - 1)) if n > 1 else F.lit(None).cast("double")
+    paths = found.select("strategy", F.when(growth.isNotNull(), F.pow(growth, per_year / n) - 1).otherwise(-1.0).alias("cagr"), ((F.col("x") / n + F.col("m")) / deviation * per_year**0.5).alias("sharpe"))
     cut = lambda c, p: F.percentile(c, F.lit(p))
     return paths.groupBy("strategy").agg(
         cut("cagr", 0.025).alias("cagr_low"), cut("cagr", 0.975).alias("cagr_high"), cut("sharpe", 0.025).alias("sharpe_low"), cut("sharpe", 0.975).alias("sharpe_high"), F.avg((F.col("sharpe") <= 0).cast("int")).alias("prob_sharpe_not_positive")
@@ -143,62 +173,61 @@ def bootstrap_performance(series: DataFrame, strategies: Sequence[str], per_year
 
 
 def bootstrap_alpha(data: DataFrame, y: str, factors: Sequence[str], per_year: float, reps: int = 2000, mean_block: float | None = None, seed: int = 42) -> DataFrame:
-    """95 % interval of the annual alpha: each resample's cross-products are summed
-    in Spark and its small system is solved in a Pandas group of one row."""
+    """95 % interval of the annual alpha: each resample's cross-products are sums over
+    its blocks, and its small system is solved in a batch of many."""
     rows, kept = usable_factors(data, y, factors)
-    rows = settle(numbered(rows), "alpha-series")
+    rows = settle(numbered(rows).withColumn("_one", F.lit(1.0)), "alpha-series")
     n, names = rows.count(), ["_one", *kept]
-    draws = bootstrap_indices(data.sparkSession, n, reps, mean_block or max(2.0, n ** (1 / 3)), seed)
-    joined = draws.join(F.broadcast(rows.withColumn("_one", F.lit(1.0)).select("idx", y, *names)), "idx")
     k = len(names)
-    cells = [F.sum(F.col(a) * F.col(b)) for a in names for b in names]
-    sums = joined.groupBy("rep").agg(F.array(*cells).alias("xx"), F.array(*[F.sum(F.col(a) * F.col(y)) for a in names]).alias("xy"))
+    draws = block_draws(data.sparkSession, n, reps, mean_block or max(2.0, n ** (1 / 3)), seed)
+    sums = {f"x{i}_{j}": F.col(a) * F.col(b) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j} | {f"y{i}": F.col(a) * F.col(y) for i, a in enumerate(names)}
+    found = block_sums(rows, draws, n, sums)
+    cells = found.select(F.array(*[F.col(f"x{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)]).alias("xx"), F.array(*[F.col(f"y{i}") for i in range(k)]).alias("xy"))
 
     def solve(batches):
         import pandas as pd
 
         for pdf in batches:
             xx = np.array(pdf.xx.tolist(), float).reshape(-1, k, k)
-            xy = np.array(pdf.xy.tolist(), float)
+            xy = np.array(pdf.xy.tolist(), float).reshape(-1, k)
             yield pd.DataFrame({"alpha": (np.linalg.pinv(xx) @ xy[:, :, None])[:, 0, 0] * per_year})
 
-    found = sums.mapInPandas(solve, "alpha double")
+    found = cells.mapInPandas(solve, "alpha double")
     return found.agg(F.percentile("alpha", F.lit(0.025)).alias("alpha_low"), F.percentile("alpha", F.lit(0.975)).alias("alpha_high"), F.avg((F.col("alpha") <= 0).cast("int")).alias("prob_alpha_not_positive"))
 
 
-def moments(series: DataFrame, value: str) -> dict:
-    """n, mean, sd and sample-corrected skewness and kurtosis (normal: 3)."""
-    r = series.agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.skewness(value).alias("g"), F.kurtosis(value).alias("k")).first()
-    n = r.n
-    if n < 4 or not r.s:
-        return {"n": n, "mean": r.m, "std": r.s, "skew": None, "kurtosis": None}
-    skew = r.g * math.sqrt(n * (n - 1)) / (n - 2)
-    return {"n": n, "mean": r.m, "std": r.s, "skew": skew, "kurtosis": (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * r.k + 6) + 3}
-
-
-def probabilistic_sharpe(sr: float, n: int, skew: float, kurtosis: float, benchmark: float = 0.0) -> float | None:
-    spread = 1 - skew * sr + (kurtosis - 1) / 4 * sr * sr
-    return None if n < 3 or spread <= 0 else NORMAL.cdf((sr - benchmark) * math.sqrt(n - 1) / math.sqrt(spread))
-
-
-def expected_max_sharpe(sharpes: Sequence[float], trials: int | None = None) -> float:
-    """What the best of so many unskilled trials would show by luck."""
-    known = [s for s in sharpes if s is not None and math.isfinite(s)]
-    n = trials or len(known)
-    if n < 2 or len(known) < 2:
-        return 0.0
-    return float(np.std(known, ddof=1)) * ((1 - EULER) * NORMAL.inv_cdf(1 - 1 / n) + EULER * NORMAL.inv_cdf(1 - 1 / (n * math.e)))
-
-
-def deflated_sharpe(series: DataFrame, value: str, sharpes: Sequence[float], trials: int | None = None) -> dict:
-    m = moments(series.filter(F.col(value).isNotNull()), value)
-    if m["n"] < 10 or not m["std"]:
-        return {}
-    sr, bar = m["mean"] / m["std"], expected_max_sharpe(sharpes, trials)
-    return {
-        "sharpe_per_period": sr, "trials": trials or len(sharpes), "expected_max_sharpe_per_period": bar,
-        "probabilistic_sharpe": probabilistic_sharpe(sr, m["n"], m["skew"], m["kurtosis"]), "deflated_sharpe": probabilistic_sharpe(sr, m["n"], m["skew"], m["kurtosis"], bar),
-    }
+def moments(series: DataFrame, value: str = "r", keys: Sequence[str] = ("series",)) -> DataFrame:
+    """(keys, n, mean, std, skew, kurtosis): sample-corrected moments of each series;
+    a normal one has a kurtosis of 3."""
+    n = F.count(value)
+    skew = F.skewness(value) * F.sqrt(n * (n - 1)) / (n - 2)
+    kurtosis = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(value) + 6) + 3
+    enough = (n > 3) & (F.stddev_samp(value) > 0)
+    return series.groupBy(*keys).agg(n.alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.when(enough, skew).alias("skew"), F.when(enough, kurtosis).alias("kurtosis"))
+
+
+def best_by_luck(trials: DataFrame, counted: int | None = None) -> DataFrame:
+    """One row (trials, threshold): the Sharpe ratio that the best of so many unskilled
+    trials would show, from the deviation of column `sharpe`; 0 for under two trials."""
+    known = F.when(F.abs("sharpe") < float("inf"), F.col("sharpe"))
+    of = trials.agg(F.count(known).alias("_k"), F.stddev_samp(known).alias("_spread")).withColumn("trials", F.lit(counted).cast("long") if counted else F.col("_k"))
+    of = of.withColumns({"_p": 1 - F.try_divide(F.lit(1.0), F.col("trials")), "_q": 1 - F.try_divide(F.lit(1 / math.e), F.col("trials"))})
+    top = F.col("_spread") * ((1 - EULER) * F.expr(ppf_sql("_p")) + EULER * F.expr(ppf_sql("_q")))
+    return of.select("trials", F.when(F.least("_k", "trials") > 1, top).otherwise(0.0).alias("threshold"))
+
+
+def sharpe_tests(series: DataFrame, luck: DataFrame, value: str = "r", keys: Sequence[str] = ("series",), least: int = 10) -> DataFrame:
+    """(keys, sharpe_per_period, trials, expected_max_sharpe_per_period,
+    probabilistic_sharpe, deflated_sharpe): chances that a series' true Sharpe ratio
+    is above 0, and above `luck` (the row of `best_by_luck`), given its length, skew
+    and kurtosis. Series of under `least` periods, or constant ones, have no row."""
+    rows = moments(series, value, keys).filter((F.col("n") >= least) & (F.col("std") > 0)).join(F.broadcast(luck))  # one row
+    rows = rows.withColumn("_sr", F.col("mean") / F.col("std"))
+    wide = 1 - F.col("skew") * F.col("_sr") + (F.col("kurtosis") - 1) / 4 * F.col("_sr") * F.col("_sr")
+    rows = rows.withColumn("_scale", F.when(wide > 0, F.sqrt((F.col("n") - 1) / wide)))
+    rows = rows.withColumns({"_z0": F.col("_sr") * F.col("_scale"), "_z1": (F.col("_sr") - F.col("threshold")) * F.col("_scale")})
+    chance = lambda z: F.when(F.col(z).isNotNull(), F.expr(cdf_sql(z)))
+    return rows.select(*keys, F.col("_sr").alias("sharpe_per_period"), "trials", F.col("threshold").alias("expected_max_sharpe_per_period"), chance("_z0").alias("probabilistic_sharpe"), chance("_z1").alias("deflated_sharpe"))
 
 
 def overfitting_probability(trials: DataFrame, names: Sequence[str], splits: int = 16, order: str = "date") -> DataFrame:

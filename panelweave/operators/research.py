@@ -61,24 +61,22 @@ def robustness(returns: DataFrame, trials: DataFrame, configurations: int = 0, s
     every backtest that was tried. Trials share the horizon if over half of their
     dates are those of `returns`; all trials, or `configurations` if more, count.
     """
-    spark = returns.sparkSession
     trials = settle(trials.select("trial", "date", "r"), "trials")
     marked = trials.join(returns.select("date", F.lit(1).alias("_in")).distinct(), "date", "left")
-    share = marked.groupBy("trial").agg(F.avg(F.coalesce("_in", F.lit(0))).alias("share"), sharpe_per_period("r").alias("sharpe")).collect()  # a row a trial
-    same = sorted((r for r in share if r.share > 0.5), key=lambda r: r.trial)
-    counted = max(len(share), configurations)
-    rows = [("trials", "counted", float(counted)), ("trials", "same_horizon", float(len(same)))]
-    active = returns.withColumn("active", F.col("long_only") - F.col("benchmark"))
-    for name, column in (("long_short", "long_short"), ("long_only_vs_equal_weight", "active")):
-        found = inference.deflated_sharpe(active, column, [r.sharpe for r in same], counted)
-        rows += [(name, k, None if v is None else float(v)) for k, v in found.items()]
-    out = spark.createDataFrame(rows, "series string, figure string, value double")
-    if len(same) < 2:
+    judged = settle(marked.groupBy("trial").agg(F.avg(F.coalesce("_in", F.lit(0))).alias("share"), sharpe_per_period("r").alias("sharpe")), "judged")  # a row a trial
+    same = judged.filter("share > 0.5")
+    counts = judged.agg(F.greatest(F.count("*"), F.lit(configurations)).cast("double").alias("counted"), F.count_if(F.col("share") > 0.5).cast("double").alias("same_horizon"))
+    active = returns.select("date", F.col("long_short"), (F.col("long_only") - F.col("benchmark")).alias("long_only_vs_equal_weight"))
+    series = active.unpivot("date", ["long_short", "long_only_vs_equal_weight"], "series", "r")
+    luck = inference.best_by_luck(same, int(counts.first().counted))
+    tests = inference.sharpe_tests(series, luck)
+    long = lambda df, name: df.select(F.lit(name).alias("series") if isinstance(name, str) else name, F.explode(F.create_map(*[x for c in df.columns if c != "series" for x in (F.lit(c), F.col(c).cast("double"))])).alias("figure", "value"))
+    out = long(counts, "trials").unionByName(long(tests, F.col("series")))
+    names = [r.trial for r in same.select("trial").orderBy("trial").collect()]  # columns of a wide table
+    if len(names) < 2:
         return out
-    names = [r.trial for r in same]
     wide = trials.groupBy("date").pivot("trial", names).agg(F.first("r")).toDF("date", *[f"t{i}" for i in range(len(names))])
-    pbo = inference.overfitting_probability(wide, [f"t{i}" for i in range(len(names))], splits)
-    return out.unionByName(pbo.select(F.lit("pbo").alias("series"), F.explode(F.create_map(*[x for c in pbo.columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("figure", "value")))
+    return out.unionByName(long(inference.overfitting_probability(wide, [f"t{i}" for i in range(len(names))], splits), "pbo"))
 
 
 def experiments(features: DataFrame, candidates: Sequence[str], targets: Sequence[Target], base: bt.Config = bt.Config(), production: Target = Target(), panel_of: Callable[[DataFrame], DataFrame] | None = None, **options) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +93,7 @@ def experiments(features: DataFrame, candidates: Sequence[str], targets: Sequenc
         head = {"setup": label, "horizon": target.horizon, "relative_to": target.relative_to, "target": target.kind, "model": name, "production": target == production}
         try:
             found = models.walk_forward(features, name, candidates, target, **options)
-        except ValueError as e:
+        except models.TooFewDates as e:
             rows.append(features.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in head.items()], F.lit(str(e)).alias("note")))
             continue
         config = replace(bt.Config.for_target(target), score="probability", cost_bps=base.cost_bps, borrow_bps=base.borrow_bps, quantile=base.quantile, min_names=base.min_names)

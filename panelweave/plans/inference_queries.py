@@ -89,15 +89,37 @@ def a2_attribution(spark, sf_dir):
     return spark.createDataFrame([row], "alpha_annual double, beta_benchmark double, r_squared double, periods double")
 
 
-@query()
+def _draws_sql(reps: int = 2000, seed: int = 42) -> str:
+    """CTEs after `o` (i from 0, nn periods): every place of every repetition, `idx`."""
+    u = lambda what: f"(CAST('0x' || substr(md5(concat_ws(':', '{seed}', rep, block, '{what}')), 1, 13) AS BIGINT) / 4503599627370496.0)"
+    return f"""c AS (SELECT max(nn) AS nn, greatest(2.0, pow(max(nn), 1 / 3.0)) AS mb FROM o), c2 AS (SELECT *, CAST(least(nn, ceil(nn / mb + 8 * sqrt(nn / mb)) + 8) AS BIGINT) AS most FROM c),
+    rbl AS (SELECT rep, unnest(range(most)) AS block, nn, mb, most FROM c2, range({reps}) t(rep)),
+    dz AS (SELECT *, CAST(least(nn, 1 + floor(ln(1 - {u("size")}) / ln(1 - 1 / mb))) AS BIGINT) AS size, CAST(floor({u("start")} * nn) AS BIGINT) AS start FROM rbl),
+    df AS (SELECT *, sum(size) OVER (PARTITION BY rep ORDER BY block) - size AS first FROM dz),
+    dk AS (SELECT rep, start, CASE WHEN block = most - 1 THEN nn - first ELSE least(size, nn - first) END AS size, nn FROM df WHERE first < nn),
+    pl AS (SELECT rep, CAST((start + k) % nn AS BIGINT) AS idx FROM (SELECT *, unnest(range(CAST(size AS BIGINT))) AS k FROM dk))"""
+
+
+@query(
+    BOOKS + f""", o AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS nn FROM (SELECT date, max(gross - cost) FILTER (strategy = 'long_only') AS s1, max(gross - cost) FILTER (strategy = 'long_short') AS s2, max(gross - cost) FILTER (strategy = 'benchmark') AS s3 FROM bt GROUP BY 1)),
+    {_draws_sql()}, x AS (SELECT rep, unnest(['long_only', 'long_short', 'benchmark']) AS strategy, unnest([s1, s2, s3]) AS r FROM pl JOIN o ON idx = i),
+    y AS (SELECT rep, strategy, CASE WHEN product(1 + r) > 0 THEN pow(product(1 + r), 63.0 / count(*)) - 1 ELSE -1 END AS cagr, avg(r) / nullif(stddev_samp(r), 0) * sqrt(63) AS sharpe FROM x GROUP BY 1, 2)
+    SELECT strategy, round(quantile_cont(cagr, 0.025), 5) AS cagr_low, round(quantile_cont(cagr, 0.975), 5) AS cagr_high, round(quantile_cont(sharpe, 0.025), 5) AS sharpe_low, round(quantile_cont(sharpe, 0.975), 5) AS sharpe_high, round(avg(CAST(sharpe <= 0 AS INT)), 6) AS prob_sharpe_not_positive FROM y GROUP BY 1"""
+)
 def i4_bootstrap_performance(spark, sf_dir):
     """Intervals of all three books over 2,000 resamples."""
-    return inference.bootstrap_performance(returns(spark, sf_dir), ["long_only", "long_short", "benchmark"], CONFIG.per_year)
+    found = inference.bootstrap_performance(returns(spark, sf_dir), ["long_only", "long_short", "benchmark"], CONFIG.per_year)
+    return six(found.withColumns({c: F.round(c, 5) for c in ("cagr_low", "cagr_high", "sharpe_low", "sharpe_high")}))
 
 
-@query()
+@query(
+    BOOKS + f""", o AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS nn FROM (SELECT date, max(gross - cost) FILTER (strategy = 'long_only') AS y, max(gross - cost) FILTER (strategy = 'benchmark') AS x FROM bt GROUP BY 1)),
+    {_draws_sql()}, a AS (SELECT rep, regr_intercept(y, x) * 63 AS alpha FROM pl JOIN o ON idx = i GROUP BY 1)
+    SELECT round(quantile_cont(alpha, 0.025), 5) AS alpha_low, round(quantile_cont(alpha, 0.975), 5) AS alpha_high, round(avg(CAST(alpha <= 0 AS INT)), 6) AS prob_alpha_not_positive FROM a"""
+)
 def i5_bootstrap_alpha(spark, sf_dir):
-    return inference.bootstrap_alpha(returns(spark, sf_dir), "long_only", ["benchmark"], CONFIG.per_year)
+    found = inference.bootstrap_alpha(returns(spark, sf_dir), "long_only", ["benchmark"], CONFIG.per_year)
+    return six(found.withColumns({c: F.round(c, 5) for c in ("alpha_low", "alpha_high")}))
 
 
 @query(

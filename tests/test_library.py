@@ -346,11 +346,56 @@ class TestInference:
         good = overfitting_probability(df, ["a", "b", "c", "skilled"], 8).first()
         assert good.combinations == 70 and good.pbo < 0.1
 
-    def test_sharpes(self):
-        from panelweave.operators.inference import expected_max_sharpe, probabilistic_sharpe
+    def test_sharpes(self, spark):
+        """Against the closed forms, with the standard library's normal distribution."""
+        from statistics import NormalDist
+
+        from panelweave.operators.inference import best_by_luck, sharpe_tests
+
+        rng, normal = np.random.default_rng(6), NormalDist()
+        trials = [0.1, -0.1, 0.05, 0.0]
+        luck = best_by_luck(frame(spark, [(x,) for x in (*trials, None, float("nan"))], "sharpe double"), 100)
+        spread = np.std(trials, ddof=1)
+        bar = spread * ((1 - 0.5772156649015329) * normal.inv_cdf(1 - 1 / 100) + 0.5772156649015329 * normal.inv_cdf(1 - 1 / (100 * math.e)))
+        assert tuple(luck.first()) == (100, pytest.approx(bar, rel=1e-7))
+        assert tuple(best_by_luck(frame(spark, [(0.1,)], "sharpe double")).first()) == (1, 0.0)
+        assert tuple(best_by_luck(frame(spark, [], "sharpe double")).first()) == (0, 0.0)
+        x = {"a": rng.gamma(2, 1, 40) - 1.7, "flat": np.ones(40), "short": rng.normal(0, 1, 9)}
+        got = sharpe_tests(frame(spark, [(k, float(v)) for k, r in x.items() for v in r] + [("a", None)], "series string, r double"), luck).collect()
+        assert [r.series for r in got] == ["a"]
+        r = x["a"]
+        n, d, s = len(r), r - r.mean(), r.std(ddof=1)
+        g = (d**3).mean() / (d**2).mean() ** 1.5 * math.sqrt(n * (n - 1)) / (n - 2)
+        k = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ((d**4).mean() / (d**2).mean() ** 2 - 3) + 6) + 3
+        sr = r.mean() / s
+        wide = math.sqrt(1 - g * sr + (k - 1) / 4 * sr * sr)
+        assert got[0].sharpe_per_period == pytest.approx(sr) and got[0].trials == 100
+        assert got[0].probabilistic_sharpe == pytest.approx(normal.cdf(sr * math.sqrt(n - 1) / wide), abs=1e-7)
+        assert got[0].deflated_sharpe == pytest.approx(normal.cdf((sr - bar) * math.sqrt(n - 1) / wide), abs=1e-7)
+
+    @pytest.mark.parametrize("mean_block", [1.0, 3.7, 500.0])
+    def test_resampled_sums_equal_the_places_one_by_one(self, spark, mean_block):
+        from panelweave.operators.inference import block_draws, block_sums, bootstrap_indices, numbered
 
-        assert probabilistic_sharpe(0.0, 100, 0.0, 3.0) == pytest.approx(0.5)
-        assert expected_max_sharpe([0.1, -0.1, 0.05, 0.0], 100) > expected_max_sharpe([0.1, -0.1, 0.05, 0.0], 10) > 0
+        rng = np.random.default_rng(5)
+        values = rng.normal(0, 1, 37).tolist()
+        series = numbered(frame(spark, [(D(2024, 1, 1) + dt.timedelta(i), v) for i, v in enumerate(values)], "date date, r double"))
+        got = {r.rep: r for r in block_sums(series, block_draws(spark, 37, 60, mean_block, 3), 37, {"s": F.col("r"), "q": F.col("r") * F.col("r"), "n": F.lit(1.0)}).collect()}
+        places = {}
+        for r in bootstrap_indices(spark, 37, 60, mean_block, 3).collect():
+            places.setdefault(r.rep, {})[r.t] = r.idx
+        assert len(got) == len(places) == 60
+        for rep, own in places.items():
+            assert sorted(own) == list(range(37))
+            assert got[rep].n == pytest.approx(37) and got[rep].s == pytest.approx(sum(values[i] for i in own.values())) and got[rep].q == pytest.approx(sum(values[i] ** 2 for i in own.values()))
+
+    def test_bootstrap_of_lost_books(self, spark):
+        """A period that loses all or more leaves no growth."""
+        from panelweave.operators.inference import bootstrap_performance
+
+        rows = [(D(2024, 1, 1) + dt.timedelta(i), -1.0 if i % 4 == 0 else 0.1, 0.01) for i in range(40)]
+        got = {r.strategy: r for r in bootstrap_performance(frame(spark, rows, "date date, lost double, flat double"), ["lost", "flat"], 52.0, reps=50).collect()}
+        assert got["lost"].cagr_low == -1.0 and got["flat"].cagr_low == pytest.approx(1.01**52 - 1) and got["flat"].sharpe_low is None
 
     def test_normals(self, spark):
         from statistics import NormalDist
