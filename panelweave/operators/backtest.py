@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.frames import ratio
+from panelweave.functions.ordered import row_numbers
 from panelweave.functions.shared import settle
 from panelweave.operators.asof import asof
 from panelweave.operators.stats import information_coefficients
@@ -329,16 +330,51 @@ def rolling_ic(ic: DataFrame, rows: int = 12, least: int = 6) -> DataFrame:
     return ic.withColumn("rolling_ic", F.when(F.count("ic").over(by) >= least, F.avg("ic").over(by)))
 
 
-def pair_covariance(returns: DataFrame, last: int = 126) -> DataFrame:
-    """(a, b, cov) of tickers' returns over the last dates, missing ones as 0."""
-    days = returns.select("date").distinct().orderBy(F.desc("date")).limit(last)
+def pair_covariance(returns: DataFrame, last: int = 126, tile: int = 256, value: str = "return_1d") -> DataFrame:
+    """(a, b, cov), a <= b: covariances of tickers' returns over the last dates,
+    missing ones as 0.
+
+    Tickers lie in tiles; a tile is a dense matrix of dates by tickers in one row.
+    Pairs of tiles meet in a task as two matrices, whose product gives a block of
+    covariances, so no row is made for a pair of tickers on a date.
+    """
+    known = returns.filter(F.col(value).isNotNull())
+    days = known.select("date").distinct().orderBy(F.desc("date")).limit(last).withColumn("_day", F.row_number().over(Window.orderBy("date")) - 1)  # `last` rows
+    days = settle(days, "covariance-days")
     n = days.count()
-    rows = returns.join(F.broadcast(days), "date").filter("return_1d IS NOT NULL").select("date", "ticker", "return_1d")
-    mean = rows.groupBy("ticker").agg((F.sum("return_1d") / n).alias("m"))
-    other = rows.select("date", F.col("ticker").alias("b"), F.col("return_1d").alias("y"))
-    sums = rows.join(other, "date").filter(F.col("ticker") <= F.col("b")).groupBy(F.col("ticker").alias("a"), "b").agg(F.sum(F.col("return_1d") * F.col("y")).alias("xy"))
-    sums = sums.join(mean.select(F.col("ticker").alias("a"), F.col("m").alias("ma")), "a").join(mean.select(F.col("ticker").alias("b"), F.col("m").alias("mb")), "b")
-    return sums.select("a", "b", (F.col("xy") / n - F.col("ma") * F.col("mb")).alias("cov"))
+    rows = known.join(F.broadcast(days), "date").select("ticker", "_day", F.col(value).cast("double").alias("_x"))
+    names = row_numbers(rows.select("ticker").distinct(), ["ticker"], "_no", "covariance-names").withColumn("_no", F.col("_no") - 1)
+    cells = rows.join(names, "ticker").withColumns({"_tile": F.floor(F.col("_no") / tile).cast("int"), "_at": (F.col("_no") % tile).cast("int")})
+    tiles = cells.groupBy("_tile").agg(F.collect_list(F.struct("_at", "_day", "_x")).alias("cells"))  # tile * last cells at most
+    tickers = names.groupBy(F.floor(F.col("_no") / tile).cast("int").alias("_tile")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_no", "ticker"))), lambda x: x["ticker"]).alias("tickers"))
+    tiles = settle(tiles.join(tickers, "_tile"), "covariance-tiles")
+    most = tiles.agg(F.max("_tile")).first()[0]
+    kind = returns.schema["ticker"].dataType.simpleString()
+    if most is None:
+        return returns.sparkSession.createDataFrame([], f"a {kind}, b {kind}, cov double")
+    left = tiles.select("_tile", "cells", "tickers", F.explode(F.sequence(F.col("_tile"), F.lit(most))).alias("_other"))
+    right = tiles.select(F.col("_tile").alias("_other"), F.col("cells").alias("cells_b"), F.col("tickers").alias("tickers_b"))
+    pairs = left.join(right, "_other").select("_tile", "_other", "cells", "tickers", "cells_b", "tickers_b").repartition("_tile", "_other")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def dense(cell, width):
+            at, day, x = (cell.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            m = np.zeros((n, width))
+            m[day, at] = x
+            return m - m.mean(0)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = batch.column(0)[i].as_py() == batch.column(1)[i].as_py()
+                names_a, names_b = batch.column(3)[i].values, batch.column(5)[i].values
+                cov = dense(batch.column(2)[i].values, len(names_a)).T @ dense(batch.column(4)[i].values, len(names_b)) / n
+                a, b = np.nonzero(np.triu(np.ones(cov.shape, bool)) if same else np.ones(cov.shape, bool))
+                yield pa.RecordBatch.from_arrays([names_a.take(pa.array(a)), names_b.take(pa.array(b)), pa.array(cov[a, b])], ["a", "b", "cov"])
+
+    return pairs.mapInArrow(run, f"a {kind}, b {kind}, cov double")
 
 
 def neutral_weights(rows: DataFrame, exposures: Sequence[str], score: str = "probability", ic: float = 0.02, holding_days: int = 5, gross: float = 2.0) -> DataFrame:

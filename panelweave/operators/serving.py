@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.frames import ratio
+from panelweave.functions.shared import settle
 from panelweave.sources.store import read
 
 MOST = 50
-QUESTIONS = 10_000
 SUSPECT = 0.4
 SORTABLE = ("model_probability", "rank", "return_5d", "return_20d", "momentum_60d", "volatility_20d", "pe_ratio")
 SUMMARY = ("rank", "model_probability", "return_5d", "return_20d", "momentum_60d", "volatility_20d")
@@ -78,17 +78,36 @@ def resolve(scored: DataFrame, known: DataFrame, asked: DataFrame) -> DataFrame:
     return found.groupBy("asked").agg(F.max_by("ticker", F.when(F.col("ticker").isNotNull(), F.col("_s") == symbol)).alias("ticker"))
 
 
+def grams(text: Column, longest: int = 3) -> Column:
+    """All distinct runs of up to `longest` characters of a text."""
+    runs = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]  # noqa: B023
+    return F.array_distinct(F.concat(*runs))
+
+
+def containing(texts: DataFrame, key: str, columns: Sequence[str], asked: DataFrame, part: str = "_q", longest: int = 3) -> DataFrame:
+    """Rows of `asked` beside the `key` of every text of which `part` is a part.
+
+    An inverted table of short runs of characters answers by equality: a part is
+    looked up by the rarest of its runs, and what that gives is verified.
+    """
+    runs = texts.select(F.col(key), F.explode(F.array_distinct(F.concat(*[F.coalesce(grams(F.col(c), longest), F.array().cast("array<string>")) for c in columns]))).alias("_gram"))
+    index = settle(runs, "grams")
+    often = index.groupBy("_gram").agg(F.count("*").alias("_n"))
+    size = F.least(F.lit(longest), F.length(part))
+    own = asked.filter(F.length(part) > 0).select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(part) - size + 1), lambda i: F.substring(F.col(part), i, size)))).alias("_gram"))
+    names = asked.columns
+    counted = own.join(often, "_gram", "left").groupBy(*names).agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_gram"))
+    return counted.join(index, "_gram").drop("_gram").join(texts, key).filter(F.greatest(*[F.coalesce(F.contains(F.col(c), F.col(part)), F.lit(False)) for c in columns]))
+
+
 def suggestions(scored: DataFrame, known: DataFrame, asked: DataFrame, most: int = 5) -> DataFrame:
     """(asked, ticker, suggestions): what each asked symbol stands for and, where it
     stands for none, the companies whose ticker or name it is part of, best first."""
-    if asked.count() > QUESTIONS:
-        raise ValueError(f"at most {QUESTIONS} symbols at a time")
-    found = resolve(scored, known, asked)
-    q = F.upper(F.trim("asked"))
+    found = settle(resolve(scored, known, asked), "resolved")
     names = scored.select(F.col("ticker").alias("_t"), F.upper(F.col("ticker").cast("string")).alias("_u"), F.upper(label(scored)).alias("_n"), F.col("rank").alias("_r"))
-    lost = found.filter("ticker IS NULL AND trim(asked) <> ''").select("asked")  # QUESTIONS rows at most
-    hit = F.broadcast(lost).join(names, F.contains("_u", q) | F.contains("_n", q))
-    as_int = lambda c: c.cast("int")
+    lost = found.filter("ticker IS NULL AND trim(asked) <> ''").select("asked", F.upper(F.trim("asked")).alias("_q")).distinct()
+    hit, q = containing(names, "_t", ["_u", "_n"], lost), F.col("_q")
+    as_int = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     score = as_int(F.col("_u") == q) * 4 + as_int(F.startswith("_u", q)) * 2 + as_int(F.contains("_n", q)) * 3 + as_int(F.exists(F.split("_n", r"\s+"), lambda w: w.startswith(q)))
     best = hit.withColumn("_s", score).withColumn("_k", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("_s"), "_r"))).filter(F.col("_k") <= most)
     lists = best.groupBy("asked").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_t"))), lambda x: x["_t"]).alias("suggestions"))

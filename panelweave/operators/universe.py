@@ -169,8 +169,15 @@ def extreme_moves(prices: DataFrame, n: int = 5) -> DataFrame:
     return moves.select("ticker", "date", "move").orderBy(F.desc(F.abs("move")), "ticker", "date").limit(n)
 
 
-def data_quality(prices: DataFrame, companies: DataFrame, intervals: DataFrame | None = None, fundamentals: DataFrame | None = None, releases: DataFrame | None = None, macro: DataFrame | None = None) -> DataFrame:
-    """One row of coverage figures over the tables of a dataset."""
+def examples(rows: DataFrame, columns: list[str], n: int, to: str) -> DataFrame:
+    """One row: the first `n` rows by the columns as an array of structs."""
+    first = rows.select(*columns).distinct().orderBy(*columns).limit(n)
+    return first.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(to))
+
+
+def data_quality(prices: DataFrame, companies: DataFrame, intervals: DataFrame | None = None, fundamentals: DataFrame | None = None, releases: DataFrame | None = None, macro: DataFrame | None = None, requested: DataFrame | None = None, failures: DataFrame | None = None, delistings: DataFrame | None = None) -> DataFrame:
+    """One row of coverage figures over the tables of a dataset, with the first of the
+    names asked for that have no prices and of those whose filings failed."""
     priced = prices.select("ticker").distinct()
     out = priced.agg(F.count("*").alias("priced"))
     known = companies.join(priced, "ticker", "left_semi")
@@ -182,8 +189,20 @@ def data_quality(prices: DataFrame, companies: DataFrame, intervals: DataFrame |
     if fundamentals is not None:
         age = fundamentals.groupBy("ticker").agg(F.max("available_date").alias("d")).crossJoin(F.broadcast(prices.agg(F.max("date").alias("e"))))
         out = out.crossJoin(age.agg(F.count("*").alias("with_fundamentals"), F.median(F.datediff("e", "d")).alias("fundamentals_age_days")))
+        out = out.withColumn("fundamentals_share", F.round(F.try_divide("with_fundamentals", "priced"), 3))
     if releases is not None:
-        out = out.crossJoin(releases.agg(F.count_distinct("ticker").alias("with_releases")))
+        out = out.crossJoin(releases.agg(F.count_distinct("ticker").alias("with_releases"), F.count("*").alias("releases")))
+    if requested is not None:
+        asked = requested.select("ticker").distinct()
+        missing = asked.join(priced, "ticker", "left_anti")
+        out = out.crossJoin(asked.agg(F.count("*").alias("requested"))).crossJoin(missing.agg(F.count("*").alias("missing"))).crossJoin(examples(missing, ["ticker"], 15, "missing_examples"))
+    if failures is not None:
+        out = out.crossJoin(failures.agg(F.count_distinct("ticker").alias("failed"))).crossJoin(examples(failures, ["ticker", "reason"], 5, "failed_examples"))
+    if delistings is not None:
+        out = out.crossJoin(delistings.agg(F.count("*").alias("stocks_ending_early"), F.count_if(F.col("delisting_return") < 0).alias("assumed_performance_delistings")))
+    if "sic" in companies.columns:
+        without = F.count_if(F.col("sector").isNotNull() & F.col("sub_industry").isNull()) if "sub_industry" in companies.columns else F.lit(None).cast("long")
+        out = out.crossJoin(companies.agg(F.round(F.avg(F.col("sic").isNotNull().cast("int")), 3).alias("share_with_sic"), without.alias("former_members_with_sector")))
     if macro is not None:
         out = out.crossJoin(macro.agg(F.max("date").alias("macro_end")))
     return out

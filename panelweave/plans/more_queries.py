@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.frames import by_ticker, ratio
 from panelweave.operators import backtest as bt
 from panelweave.operators import labels, serving, universe, validation
-from panelweave.operators.asof import to_next_session
+from panelweave.operators.asof import asof, to_next_session
 from panelweave.operators.stats import information_coefficients
 from panelweave.plans.backtest_queries import BOOKS, CONFIG, predictions
 from panelweave.plans.event_queries import SUE, cte
@@ -133,3 +133,42 @@ def v2_ic_summary(spark, sf_dir):
     df = usable(features(spark, sf_dir)).withColumn("nx", ratio(F.lead("close", 1).over(by_ticker()), "close") - 1)
     found = validation.ic_summary(information_coefficients(df, "return_20d", "nx"), 5)
     return six(found.select("ic_mean", F.round("ic_tstat_nonoverlap", 5).alias("ic_tstat_nonoverlap"), "ic_positive_share", "ic_days"))
+
+
+@query(with_sql("macro") + ", e AS (SELECT event_id, CAST(ts AS DATE) AS d FROM events) SELECT event_id, m.date AS known, round(vix, 6) AS vix FROM e ASOF LEFT JOIN macro m ON e.d > m.date")
+def j6_events_as_of_macro(spark, sf_dir):
+    """What was known of the economy before each event: no key, so rows lie in ranges of time."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.to_date("ts").alias("d"))
+    return six(asof(events, view(spark, sf_dir, "macro").withColumnRenamed("date", "known"), "d", "known", ["vix"], strict=True).drop("d"))
+
+
+@query(
+    "WITH r AS (SELECT event_type, ts AS seen, max(event_id) AS before FROM events WHERE value > 50 GROUP BY 1, 2) "
+    "SELECT event_id, e.event_type, before, CAST(seen AS DATE) AS seen_on FROM events e ASOF LEFT JOIN r ON e.event_type = r.event_type AND e.ts > r.seen"
+)
+def j4_few_keys_as_of(spark, sf_dir):
+    """The large event of the same type before each event: a handful of keys hold all rows."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts", "value")
+    large = events.filter("value > 50").groupBy("event_type", F.col("ts").alias("seen")).agg(F.max("event_id").alias("before"))
+    found = asof(events, large, "ts", "seen", ["before"], ["event_type"], strict=True, spread=True)
+    return found.select("event_id", "event_type", "before", F.to_date("seen").alias("seen_on"))
+
+
+@query(
+    with_sql("panel", "companies", "membership") + """, k AS (SELECT DISTINCT ticker FROM panel), rq AS (SELECT ticker + CASE WHEN ticker % 9 = 0 THEN 100000 ELSE 0 END AS ticker FROM companies), ms AS (SELECT ticker FROM rq WHERE ticker NOT IN (SELECT ticker FROM k)),
+    ls AS (SELECT ticker, max(date) AS last_date FROM panel GROUP BY 1 HAVING max(date) < (SELECT max(date) FROM panel) - 10), en AS (SELECT ticker, max(end_date) AS left_on FROM membership GROUP BY 1),
+    dl AS (SELECT ls.ticker, ls.ticker % 2 = 0 AS bad FROM ls LEFT JOIN en USING (ticker) WHERE left_on IS NULL OR last_date < left_on + 38)
+    SELECT (SELECT count(*) FROM rq) AS requested, (SELECT count(*) FROM ms) AS missing, (SELECT string_agg(CAST(ticker AS VARCHAR), ',' ORDER BY ticker) FROM (SELECT * FROM ms ORDER BY ticker LIMIT 15)) AS missing_examples,
+      (SELECT count(*) FROM companies WHERE ticker % 13 = 0) AS failed, (SELECT string_agg(CAST(ticker AS VARCHAR), ',' ORDER BY ticker) FROM (SELECT ticker FROM companies WHERE ticker % 13 = 0 ORDER BY ticker LIMIT 5)) AS failed_examples,
+      (SELECT count(*) FROM dl) AS stocks_ending_early, (SELECT count(*) FILTER (bad) FROM dl) AS assumed_performance_delistings"""
+)
+def c12_requests_failures_and_delistings(spark, sf_dir):
+    """A ninth of the names asked for is unknown, a thirteenth of the filings failed, every second early end was a failure."""
+    prices, companies = view(spark, sf_dir, "panel"), view(spark, sf_dir, "companies")
+    asked = companies.select((F.col("ticker") + F.when(F.col("ticker") % 9 == 0, 100000).otherwise(0)).alias("ticker"))
+    failures = companies.filter("ticker % 13 = 0").select("ticker", F.lit("no facts").alias("reason"))
+    reasons = companies.select("ticker", F.when(F.col("ticker") % 2 == 0, "Chapter 11 filing").otherwise("merged").alias("reason"))
+    gone = universe.delisting_returns(universe.delistings(prices, reasons, view(spark, sf_dir, "membership")))
+    found = universe.data_quality(prices, companies, requested=asked, failures=failures, delistings=gone)
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x["ticker"].cast("string")), ",").alias(c)
+    return found.select("requested", "missing", listed("missing_examples"), "failed", listed("failed_examples"), "stocks_ending_early", "assumed_performance_delistings")

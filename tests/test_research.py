@@ -159,3 +159,54 @@ def test_landed_files_and_quarters(spark, tmp_path):
     ciks = spark.createDataFrame([(7, "AAA")], "cik long, ticker string")
     trades, failed = files.insider_quarters(spark, {"2024Q1": str(q), "2024Q2": str(tmp_path / "none")}, ciks)
     assert [tuple(r)[0] for r in trades.collect()] == ["AAA"] and len(failed) == 1 and failed[0].startswith("2024Q2")
+
+
+def test_search_by_runs_of_characters(spark):
+    """Against a scan of all names for every part."""
+    from panelweave.operators.serving import containing
+
+    rng = random.Random(9)
+    names = [(i, "".join(rng.choice("AB C") for _ in range(rng.randint(0, 14))) or None, f"T{i}") for i in range(120)] + [(500, None, None)]
+    parts = [("A",), ("AB",), ("ABC",), ("A C", ), ("BBAA",), ("T1",), ("ZZZ",), ("",), ("AB C AB",)]
+    got = containing(spark.createDataFrame(names, "k int, name string, t string"), "k", ["name", "t"], spark.createDataFrame(parts, "_q string"))
+    expected = {(q, k) for (q,) in parts if q for k, name, t in names if q in (name or "") or q in (t or "")}
+    found = [(r._q, r.k) for r in got.collect()]
+    assert len(found) == len(expected) and set(found) == expected
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("tile", [3, 256])
+def test_covariance_in_tiles_equals_numpy(spark, tile):
+    from panelweave.operators.backtest import pair_covariance
+
+    rng = np.random.default_rng(12)
+    days, names = 50, 8
+    x = rng.normal(0, 0.02, (days, names))
+    gap = rng.random((days, names)) < 0.2
+    rows = [(f"T{i}", dt.date(2024, 1, 1) + dt.timedelta(t), None if gap[t, i] else float(x[t, i])) for t in range(days) for i in range(names)]
+    got = {(r.a, r.b): r.cov for r in pair_covariance(spark.createDataFrame(rows, "ticker string, date date, return_1d double"), 30, tile).collect()}
+    y = np.where(gap, 0, x)[-30:]
+    cov = np.cov(y.T, bias=True)
+    assert len(got) == names * (names + 1) // 2
+    for (a, b), c in got.items():
+        assert a <= b and c == pytest.approx(cov[int(a[1:]), int(b[1:])], abs=1e-15)
+    assert pair_covariance(spark.createDataFrame([], "ticker string, date date, return_1d double")).count() == 0
+
+
+def test_importance_in_one_plan(spark):
+    from panelweave.operators import models
+
+    rng = random.Random(4)
+    rows = [(dt.date(2024, 1, 1), f"T{i}", x, rng.gauss(0, 1), 1.0, 0.5 + 0.1 * x + rng.gauss(0, 0.02), "AB"[i % 2]) for i in range(300) for x in [rng.gauss(0, 1)]]
+    df = spark.createDataFrame(rows, "date date, ticker string, x double, noise double, same double, target double, sector string")
+    jobs = []
+    for names in (["x", "noise"], ["x", "noise", "same"]):
+        model = models.fit("ridge", df, names, ["sector"], "rank")
+        spark.sparkContext.setJobGroup(f"importance-{len(names)}", "importance")
+        got = models.importance(model, df, repeats=3).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"importance-{len(names)}")))
+        assert [r.feature for r in got][0] == "x" and len(got) == len(names) and got[0].importance_mean > 0.5
+        assert all(abs(r.importance_mean) < 0.05 for r in got[1:])
+    spark.sparkContext.setJobGroup("", "")
+    assert abs(jobs[1] - jobs[0]) <= 2
