@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.shared import settle
@@ -13,7 +15,20 @@ from panelweave.functions.shared import settle
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-__all__ = ["SPACE", "WORD", "broadcast_if_small", "code_points", "components", "crc_remainder", "settle", "slices", "utf8", "word_count"]
+__all__ = ["SPACE", "WORD", "arrow_batches", "broadcast_if_small", "code_points", "components", "crc_remainder", "settle", "slices", "utf8", "word_count"]
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Plans that run inside pass at most so many rows at a time to Python: whole texts
+    make batches of the default size large, in the JVM's own memory too."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, most: int = 50_000) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.shared import drop
-from panelweave.llm.common import crc_remainder, settle, utf8
+from panelweave.llm.common import arrow_batches, crc_remainder, settle, utf8
 from panelweave.llm.wordhash import parts, token_values, words
 
 WORDS, MEMBERS, TAILS = 1024, 32, 63  # head words, words of a class, tail classes
@@ -49,7 +49,7 @@ GROUPS = WORDS // MEMBERS
 CLASSES = GROUPS + TAILS + 1  # the end is the last class
 END, START = WORDS + TAILS, WORDS + TAILS + 1
 SYMBOLS = START + 1
-SLICES, ROWS = 64, 1 << 14  # slices of the words before, rows of a hashed table
+SLICES, ROWS = 512, 1 << 14  # slices of the words before, rows of a hashed table
 FREQUENT = 1 << 17  # tokens whose counts are sent to all tasks
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 ROUNDS, STEPS, RIDGE, MOMENTUM = 4, 2, 1.0, 0.5
@@ -484,13 +484,15 @@ def _state(k: int, packed: bytes | None) -> dict[str, list[np.ndarray]]:
 
 def _local_steps(class_bias: np.ndarray, word_bias: np.ndarray, skip: np.ndarray, steps: int):
     """Each slice takes some steps on the rows that it owns, with the shared `skip`
-    table as it is; its observed and expected counts of `skip` go along."""
+    table as it is; a task's observed and expected counts of `skip` are a last row."""
 
     def run(batches):
+        names = ["slice", "k", "n", "state", "seen", "mean"]
+        kinds = [pa.int32(), *[pa.binary()] * 5]
+        seen, every = np.zeros(skip.shape, np.float32), np.zeros(skip.shape, np.float32)
         for batch in batches:
-            names = batch.schema.names
             for i in range(batch.num_rows):
-                raw = [batch.column(names.index(c))[i] for c in ("slice", "k", "n", "state")]
+                raw = [batch.column(batch.schema.names.index(c))[i] for c in names[:4]]
                 number, key, count = raw[0].as_py(), *(np.frombuffer(x.as_buffer(), np.int64) for x in raw[1:3])
                 state, owned = _state(number, raw[3].as_py()), _owned(number)
                 weights, observed = Weights(class_bias, word_bias), tables()
@@ -506,9 +508,11 @@ def _local_steps(class_bias: np.ndarray, word_bias: np.ndarray, skip: np.ndarray
                         o[:] = observed[t][at]
                         v[:] = MOMENTUM * v + slope(o, mean[t][at], w, TOGETHER[t])
                         w += v
-                packed = np.concatenate([x.ravel() for t in owned for x in state[t]])
-                columns = [packed.tobytes(), observed["skip"].tobytes(), mean["skip"].tobytes()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)).slice(i, 1) for c in ("slice", "k", "n")), *[pa.array([c], pa.binary()) for c in columns]], ["slice", "k", "n", "state", "seen", "mean"])
+                seen += observed["skip"]
+                every += mean["skip"]
+                packed = np.concatenate([x.ravel() for t in owned for x in state[t]]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, raw[1].as_py(), raw[2].as_py(), packed, None, None), kinds, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, seen.tobytes(), every.tobytes()), kinds, strict=True)], names)
 
     return run
 
@@ -538,13 +542,13 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
     speed = np.zeros(SHAPES["skip"])
     for _ in range(rounds):
         run = _local_steps(weights.class_bias, weights.word_bias, weights.tables["skip"], STEPS)
-        before, now = now, settle(now.select("slice", "k", "n", "state").mapInArrow(run, f"{columns}, state binary, seen binary, mean binary"), "slices")
+        before, now = now, settle(now.filter("slice IS NOT NULL").select("slice", "k", "n", "state").mapInArrow(run, f"{columns}, state binary, seen binary, mean binary"), "slices")
         drop(before)
-        parts = now.select("seen", "mean").coalesce(4).mapInArrow(_added, "seen binary, mean binary").collect()  # 4 tables
+        parts = now.filter("slice IS NULL").select("seen", "mean").coalesce(4).mapInArrow(_added, "seen binary, mean binary").collect()  # 4 tables
         seen, mean = (sum(np.frombuffer(p[c], np.float64) for p in parts).reshape(speed.shape) for c in (0, 1))
         speed = MOMENTUM * speed + slope(seen, mean, weights.tables["skip"], TOGETHER["skip"])
         weights.tables["skip"] = (weights.tables["skip"] + speed).astype(np.float32)
-    for r in now.select("slice", "state").toLocalIterator():  # a model in all
+    for r in now.filter("slice IS NOT NULL").select("slice", "state").collect():  # a model in all
         for t, at in _owned(r["slice"]).items():
             weights.tables[t][at] = _state(r["slice"], r["state"])[t][0]
     return weights
@@ -656,9 +660,10 @@ def score_documents(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     document, learned from those outside the held-out seventh."""
     held_out = crc_remainder(F.col("doc_id"), 7) == 2
     texts = documents.filter(~held_out)
-    counts = token_counts(texts)
-    vocab = vocabulary(counts)
-    scored = score(documents, counts, vocab, train(texts, vocab, rounds))
+    with arrow_batches(documents.sparkSession, 1000):
+        counts = token_counts(texts)
+        vocab = vocabulary(counts)
+        scored = score(documents, counts, vocab, train(texts, vocab, rounds))
     columns = {"held_out": held_out, "train_tokens": F.lit(vocab.total).cast("long")}
     if not vocab.total:  # every token is the one unknown, with chance 1
         columns["score"] = F.lit(0.0)
