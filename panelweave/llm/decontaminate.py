@@ -5,7 +5,10 @@ window's hash is unmoved by substitutions at ignored places. The masks' hashes
 of all benchmark windows are matched with those of every window of every
 document; each hit puts an item at one place over the document, where aligned
 words are compared one by one. The longest stretch in which the share of equal
-words is `identity` or more must reach `overlap` words, or all of a shorter item. Words are runs of ASCII letters and digits
+words is `identity` or more must reach `overlap` words, or all of a shorter item.
+An item and a row that share very many seeds, because few words repeat in both, are
+compared at every place instead, longest overlaps first, and give their longest
+stretch alone; all others give every place. Words are runs of ASCII letters and digits
 and non-ASCII characters, in lower case, so marks and layout play no part. Items
 shorter than a mask are looked up by all their words.
 
@@ -32,6 +35,8 @@ from panelweave.llm.common import broadcast_if_small, settle, utf8
 from panelweave.llm.wordhash import parts, words
 
 #: Windows of 7 to 10 words of which 5 are compared.
+#: Pairs of equal seeds for each word of an item and a row above which pairs are not listed.
+DENSE = 8
 MASKS = ("1101011", "11100101", "101100011", "1100010101")
 
 
@@ -55,7 +60,7 @@ class Items:
     ids: list
     flat: np.ndarray
     begin: np.ndarray
-    seeds: dict[str, tuple[np.ndarray, np.ndarray]]  # mask -> sorted hashes, places in flat
+    seeds: dict[str, tuple[np.ndarray, ...]]  # mask -> hashes in order, item, first of its places, their number; places in flat
 
     @staticmethod
     def of(rows: list[tuple[object, str]]) -> Items:
@@ -77,44 +82,80 @@ class Items:
         for mask, found in by_mask.items():
             hashes_of = np.concatenate([x for x, _ in found])
             places = np.concatenate([x for _, x in found])
-            order = np.argsort(hashes_of, kind="stable")
-            seeds[mask] = hashes_of[order], places[order]
+            order = np.argsort(hashes_of, kind="stable")  # places of an item stay in order
+            hashes_of, places = hashes_of[order], places[order]
+            item = np.searchsorted(begin, places, "right") - 1
+            first = np.flatnonzero(np.append(True, (hashes_of[1:] != hashes_of[:-1]) | (item[1:] != item[:-1]))[: len(places)])
+            seeds[mask] = hashes_of[first], item[first], first, np.diff(np.append(first, len(places))), places
         return Items(ids, np.concatenate([*hashes, np.zeros(0, np.uint64)]), begin, seeds)
 
-    def hits(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """(item, place of the item's first word in h, a hit word) of every seed hit,
-        each once a row: an item can lie across the end of a row."""
-        found = []
+    def hits(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place of the item's first word in h, row) of every seed hit, each
+        once, and (item, row) of those that share more than `DENSE` pairs of equal
+        seeds for each of their words, as texts of few words do: theirs are not listed."""
+        found, dense = [], [np.zeros((0, 2), np.int64)]
+        size, length = np.diff(self.begin), np.bincount(row)
         small = np.zeros(1 << 20, bool)
-        for mask, (seeds, places) in self.seeds.items():
+        for mask, (seeds, item, first, count, places) in self.seeds.items():
             windows = mask_hash(h, mask)
             same = row[: len(windows)] == row[len(mask) - 1 : len(mask) - 1 + len(windows)]
             small[:] = False
             small[seeds >> np.uint64(44)] = True
             at = np.flatnonzero(small[windows >> np.uint64(44)] & same)
-            low = np.searchsorted(seeds, windows[at], "left")
-            n = np.searchsorted(seeds, windows[at], "right") - low
-            at, low, n = at[n > 0], low[n > 0], n[n > 0]
-            place = places[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            item = np.searchsorted(self.begin, place, "right") - 1
-            found.append(np.stack([item, np.repeat(at, n) - (place - self.begin[item]), np.repeat(at, n)], 1))
-        if not found:
-            return np.zeros((0, 3), np.int64)
-        every = np.concatenate(found)
-        _, first = np.unique(np.stack([every[:, 0], row[every[:, 2]], every[:, 1]], 1), axis=0, return_index=True)
-        return every[first]
+            at = at[np.lexsort((at, windows[at], row[at]))]
+            of, where = windows[at], row[at]
+            group = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (where[1:] != where[:-1]))[: len(at)])
+            many = np.diff(np.append(group, len(at)))  # places of a hash in a row
+            low = np.searchsorted(seeds, of[group], "left")
+            n = np.searchsorted(seeds, of[group], "right") - low
+            g = np.repeat(np.arange(len(group)), n)
+            s = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(g))  # items with that hash
+            pairs = many[g] * count[s]
+            key, pair = np.unique(item[s] * (len(length) + 1) + where[group[g]], return_inverse=True)
+            own, of_row = np.divmod(key, len(length) + 1)
+            over = np.bincount(pair, pairs, len(key)) > DENSE * (size[own] + length[of_row]) if len(key) else np.zeros(0, bool)
+            dense.append(np.stack([own[over], of_row[over]], 1))
+            g, s, pairs = (x[~over[pair]] for x in (g, s, pairs))
+            which = np.repeat(np.arange(len(g)), pairs)
+            k = np.arange(len(which)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+            a, b = np.divmod(k, count[s[which]])
+            here, there = at[group[g[which]] + a], places[first[s[which]] + b]
+            found.append(np.stack([item[s[which]], here - (there - self.begin[item[s[which]]]), row[here]], 1))
+        every = np.unique(np.concatenate([*found, np.zeros((0, 3), np.int64)]), axis=0)
+        return every, np.unique(np.concatenate(dense), axis=0)
 
     def overlaps(self, h: np.ndarray, row: np.ndarray, overlap: int, identity: float):
-        """(row, item id, first word in the row, words, equal words) of verified places."""
-        for item, start, inside in self.hits(h, row).tolist():
+        """(row, item id, first word in the row, words, equal words) of verified places;
+        of an item and a row with many equal seeds the longest alone."""
+        hits, dense = self.hits(h, row)
+        listed = {tuple(d) for d in dense.tolist()}
+
+        def at(item, start, r):
             mine = self.flat[self.begin[item] : self.begin[item + 1]]
-            a, b = np.searchsorted(row, row[inside], "left"), np.searchsorted(row, row[inside], "right")
+            a, b = np.searchsorted(row, r, "left"), np.searchsorted(row, r, "right")
             low, high = max(start, a), min(start + len(mine), b)
             equal = h[low:high] == mine[low - start : high - start]
             x, y = longest_stretch(equal, identity)
             n, same = y - x, int(equal[x:y].sum())
-            if n >= min(overlap, len(mine)):
-                yield int(row[inside]), self.ids[item], int(low + x - a), n, same
+            return (int(r), self.ids[item], int(low + x - a), n, same) if n >= min(overlap, len(mine)) else None
+
+        for item, start, r in hits.tolist():
+            if (item, r) not in listed and (found := at(item, start, r)):
+                yield found
+        for item, r in dense.tolist():
+            a, b = int(np.searchsorted(row, r, "left")), int(np.searchsorted(row, r, "right"))
+            size = int(self.begin[item + 1] - self.begin[item])
+            starts = np.arange(a - size + 1, b)
+            reach = np.minimum(starts + size, b) - np.maximum(starts, a)  # words side by side
+            best = None
+            for k in np.argsort(-reach, kind="stable").tolist():
+                if best and reach[k] <= best[3]:
+                    break
+                found = at(item, int(starts[k]), r)
+                if found and (best is None or found[3] > best[3]):
+                    best = found
+            if best:
+                yield best
 
 
 def longest_stretch(equal: np.ndarray, identity: float) -> tuple[int, int]:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -36,11 +37,13 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-RAW = {"script", "style", "title", "textarea", "iframe", "noframes", "noscript", "template", "svg", "math", "select", "object"}
+RAW = {"script", "style", "title", "textarea", "iframe", "noframes", "noscript", "template", "svg", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q",
-    "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img", "nobr",
+    "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img", "nobr", "object",
+    "math", "semantics", "annotation", "mi", "mo", "mn", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "mpadded", "mphantom",
+    "msub", "msup", "msubsup", "mover", "munder", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd",
 }
 #: An opening tag ends these open elements, up to the nearest element of the second set.
 ENDS = {
@@ -112,6 +115,7 @@ def blocks(html: str) -> list[Block]:
     found: list[Block] = []
     node = Node("html", "", None, 0)
     number, links, at = 1, 0, 0
+    open_tags: Counter[str] = Counter()  # of the elements above and at `node`, but the root
     parts: list[str] = []
     linked = 0
 
@@ -142,8 +146,14 @@ def blocks(html: str) -> list[Block]:
             continue
         ending, tag = name[0] == "/", name.lstrip("/")
         if tag in RAW and not ending:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            if tag == "svg" and (m["attrs"] or "").rstrip().endswith("/"):
+                continue
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
+            if end is None:  # it goes as far as what it stands in
+                stop = re.compile(rf"</{re.escape(node.tag)}\b", re.I).search(html, at)
+                at = stop.start() if stop else len(html)
+            else:
+                at = end.end()
             continue
         if tag in INLINE:
             if tag == "a":
@@ -154,21 +164,27 @@ def blocks(html: str) -> list[Block]:
         close()
         links = 0
         if ending:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if open_tags[tag]:  # else nothing is open that it could end
+                while True:
+                    last, node = node, node.parent
+                    open_tags[last.tag] -= 1
+                    if last.tag == tag:
+                        break
         elif tag in VOID:
             continue
         else:
             closes, within = ENDS.get(tag, ({"p"}, {"td", "th", "li", "div", "article", "section", "body"}))
             top = up = node
-            while up is not None and up.tag not in within:
-                if up.tag in closes and up.parent is not None:
-                    top = up.parent
-                up = up.parent
+            if any(open_tags[c] for c in closes):
+                while up is not None and up.tag not in within:
+                    if up.tag in closes and up.parent is not None:
+                        top = up.parent
+                    up = up.parent
+            while node is not top:
+                open_tags[node.tag] -= 1
+                node = node.parent
             node = Node(tag, m["attrs"] or "", top, number)
+            open_tags[tag] += 1
             number += 1
     close()
     return found

@@ -739,6 +739,59 @@ class TestDecontamination:
         assert [(d, n >= 20) for d, _, n in got] == [(1, True), (2, True)] and got[1][1] == 0
         assert decontaminate.clean(docs, bench).count() == 0
 
+    @pytest.mark.parametrize("period", [1, 2, 7])
+    def test_repeated_words_make_no_product(self, period):
+        import resource
+        import time
+
+        import pyarrow as pa
+
+        from panelweave.llm.common import utf8
+        from panelweave.llm.decontaminate import Items
+        from panelweave.llm.wordhash import words as hashed_words
+
+        word = [f"w{k}" for k in range(period)]
+        item, text = " ".join(word[k % period] for k in range(5000)), " ".join(word[k % period] for k in range(20_000))
+        h, _, row = hashed_words(*utf8(pa.array(["some other words", text])))
+        before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+        found = list(Items.of([(1, item), (2, "quite another text of more than ten words that is not there")]).overlaps(h, row, 12, 0.8))
+        assert time.perf_counter() - began < 5 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+        assert [(r, key, n, same) for r, key, _, n, same in found] == [(1, 1, 5000, 5000)]
+
+    def test_dense_pairs_give_what_all_places_give(self):
+        import random
+
+        import pyarrow as pa
+
+        from panelweave.llm import decontaminate
+        from panelweave.llm.common import utf8
+        from panelweave.llm.wordhash import words as hashed_words
+
+        seen = 0
+        for seed in range(20):
+            rng = random.Random(seed)
+            make = lambda n: " ".join("a" if rng.random() < 0.93 else rng.choice("bcdef") for _ in range(n))  # noqa: B023, E731
+            items, texts = [(k, make(40)) for k in range(3)], [make(120) for _ in range(3)]
+            h, _, row = hashed_words(*utf8(pa.array(texts)))
+            best = {}
+            for key, text in items:
+                mine, *_ = hashed_words(*utf8(pa.array([text])))
+                for r in range(3):
+                    own = h[row == r]
+                    for start in range(-39, 120):
+                        low, high = max(start, 0), min(start + 40, 120)
+                        x, y = decontaminate.longest_stretch(own[low:high] == mine[low - start : high - start], 0.8)
+                        if y - x >= 12:
+                            best[r, key] = max(best.get((r, key), 0), y - x)
+            got = {}
+            for r, key, _, n, _ in decontaminate.Items.of(items).overlaps(h, row, 12, 0.8):
+                got[r, key] = max(got.get((r, key), 0), n)
+            assert set(got) <= set(best) and all(got[k] <= best[k] for k in got)
+            _, dense = decontaminate.Items.of(items).hits(h, row)
+            assert all(got.get((r, items[i][0])) == best.get((r, items[i][0])) for i, r in dense.tolist())
+            seen += len(dense)
+        assert seen > 20
+
     @given(st.lists(st.booleans(), max_size=40))
     @settings(max_examples=200, deadline=None)
     def test_longest_stretch(self, flags):
@@ -749,6 +802,42 @@ class TestDecontamination:
         assert b - a == best and sum(flags[a:b]) * 10 >= 8 * (b - a)
 
 
+class TestLostText:
+    """Elements whose end is missing, or that hold words, cost no text around them."""
+
+    LONG = "It stands in the article with quite enough of its own words to be kept there."
+
+    @pytest.mark.parametrize("inside", ["<svg/>", "<svg viewBox='0 0 1 1' />", "<svg><text>label</text></svg>", "<object data=x>", "<object data='x'></object>", "<iframe src=x></iframe>", "<select><option>a</select>", "<math></math>"])
+    def test_paragraphs_around(self, inside):
+        from panelweave.llm.html import main_text
+
+        page = f"<html><body><article><p>{self.LONG}</p>{inside}<p>{self.LONG} Again.</p></article></body></html>"
+        assert main_text(page) == f"{self.LONG}\n{self.LONG} Again."
+
+    @pytest.mark.parametrize("tag", ["svg", "select", "iframe", "noscript"])
+    def test_without_an_end_they_stop_with_their_parent(self, tag):
+        from panelweave.llm.html import main_text
+
+        page = f"<body><article><p>{self.LONG}</p><div><{tag}>gone</div><p>{self.LONG} Again.</p></article></body>"
+        assert main_text(page) == f"{self.LONG}\n{self.LONG} Again."
+
+    def test_words_of_formulas_and_fallbacks_stay(self):
+        from panelweave.llm.html import main_text
+
+        page = f"<article><p>{self.LONG} So <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> holds.</p><object data=f><p>{self.LONG} As a fallback.</p></object></article>"
+        assert main_text(page) == f"{self.LONG} So x = 2 holds.\n{self.LONG} As a fallback."
+
+    def test_deep_nesting_takes_linear_time(self):
+        import time
+
+        from panelweave.llm.html import main_text
+
+        for opened, closed in (("".join(f"<x{i % 7}>" for i in range(50_000)), ""), ("<div>" * 50_000, "</section>" * 50_000), ("<li>" * 50_000, "")):
+            began = time.perf_counter()
+            assert main_text(f"<article>{opened}<p>{self.LONG}</p>{closed}</article>") == self.LONG
+            assert time.perf_counter() - began < 2
+
+
 def test_columns_of_any_name_pass_through(docs, spark):
     from panelweave.llm import decontaminate, linededup, mixing, sharding, simhash
 
