@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_once: dict[tuple[str, ...], DataFrame] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +40,16 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_once(spark: SparkSession, make: Callable[[], DataFrame], *key: str) -> DataFrame:
+    """The settled table of `make`, made once for each key (such as a name and the
+    folder it is made from) in a session, for what many queries begin with."""
+    known = (spark.sparkContext.applicationId, str(spark._jsparkSession.hashCode()), *key)
+    if known not in _once:
+        _once[known] = settle(make(), key[0])
+        _written.pop()  # it stays until `drop_settled` is told to take it too
+    return _once[known]
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing reads any more."""
     spark = df.sparkSession
@@ -46,11 +58,16 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop_settled(spark: SparkSession) -> int:
+def drop_settled(spark: SparkSession, once: bool = True) -> int:
     """Delete the tables that this process has settled, once results that read them
-    are written; how many there were."""
+    are written; how many there were. `once=False` leaves those of `settle_once`."""
     n = len(_written)
     while _written:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    while once and _once:
+        key, table = _once.popitem()
+        if key[0] == spark.sparkContext.applicationId:
+            drop(table)
+            n += 1
     return n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelweave.functions.frames import ppf_sql
-from panelweave.functions.shared import settle
+from panelweave.functions.shared import settle_once
 from panelweave.operators import backtest as bt
 from panelweave.operators.labels import forward_returns
 from panelweave.operators.stats import newey_west
@@ -21,10 +21,11 @@ def predictions(spark, sf_dir, *extra):
     signals that are not named in `extra` are not computed."""
     from panelweave.operators.crosssection import percentile_ranks
 
-    df = usable(forward_returns(features(spark, sf_dir), horizons=(5,)))
-    df = percentile_ranks(df, ["return_20d"])
-    df = df.select("date", "ticker", F.round("return_20d_xs_rank", 9).alias("probability"), F.col("tradable_return_5d").alias("tradable_return"), *extra)
-    return settle(df, "predictions")
+    def make():
+        df = percentile_ranks(usable(forward_returns(features(spark, sf_dir), horizons=(5,))), ["return_20d"])
+        return df.select("date", "ticker", F.round("return_20d_xs_rank", 9).alias("probability"), F.col("tradable_return_5d").alias("tradable_return"), *extra)
+
+    return settle_once(spark, make, "predictions", sf_dir, *extra)
 
 
 PREDICTIONS = (

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.frames import avg_rank, group_count, ppf_sql
+from panelweave.functions.shared import settle_once
 from panelweave.operators import crosssection, labels, prices
 from panelweave.operators.calendar import on_calendar, session_calendar
 from panelweave.operators.stats import information_coefficients
@@ -72,7 +73,8 @@ FEATURES = [
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prices.price_features(on_calendar(view(spark, sf_dir, "panel")))
+    """The weekly panel with its price features, computed once a session and folder."""
+    return settle_once(spark, lambda: prices.price_features(on_calendar(view(spark, sf_dir, "panel"))), "features", sf_dir)
 
 
 def usable(df: DataFrame) -> DataFrame:

@@ -14,6 +14,20 @@ def test_tables_are_read_back_and_dropped(spark):
     assert df.count() == 7 and shared.drop_settled(spark) == 1 and shared.drop_settled(spark) == 0
 
 
+def test_tables_made_once(spark):
+    from panelweave.functions import shared
+
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    shared.drop_settled(spark)
+    one, again, other = (shared.settle_once(spark, make, "t", k) for k in ("a", "a", "b"))
+    assert one is again and other is not one and len(made) == 2
+    assert shared.drop_settled(spark, once=False) == 0 and one.count() == 3
+    assert shared.drop_settled(spark) == 2
+    assert shared.settle_once(spark, make, "t", "a").count() == 3 and len(made) == 3
+    shared.drop_settled(spark)
+
+
 def test_a_cluster_without_a_shared_folder_is_an_error():
     from panelweave.functions import shared
 
