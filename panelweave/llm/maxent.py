@@ -484,7 +484,8 @@ def _state(k: int, packed: bytes | None) -> dict[str, list[np.ndarray]]:
 
 def _local_steps(class_bias: np.ndarray, word_bias: np.ndarray, skip: np.ndarray, steps: int):
     """Each slice takes some steps on the rows that it owns, with the shared `skip`
-    table as it is; a task's observed and expected counts of `skip` are a last row."""
+    table as it is. A task's observed and expected counts of `skip` are a last row,
+    with the numbers of the table's rows that it used as state."""
 
     def run(batches):
         names = ["slice", "k", "n", "state", "seen", "mean"]
@@ -512,18 +513,22 @@ def _local_steps(class_bias: np.ndarray, word_bias: np.ndarray, skip: np.ndarray
                 every += mean["skip"]
                 packed = np.concatenate([x.ravel() for t in owned for x in state[t]]).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, raw[1].as_py(), raw[2].as_py(), packed, None, None), kinds, strict=True)], names)
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, seen.tobytes(), every.tobytes()), kinds, strict=True)], names)
+        used = np.flatnonzero(seen.any(1) | every.any(1))
+        last = (None, None, None, used.tobytes(), seen[used].tobytes(), every[used].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, kinds, strict=True)], names)
 
     return run
 
 
 def _added(batches):
-    """Sums of the observed and of the expected counts of `skip` over a task."""
+    """Sums of the observed and of the expected counts of `skip` over a task; the
+    rows that a slice's task used come as numbers and values."""
     seen, mean = np.zeros((2, *SHAPES["skip"]))
     for batch in batches:
         for i in range(batch.num_rows):
-            for total, c in ((seen, 0), (mean, 1)):
-                total += np.frombuffer(batch.column(c)[i].as_buffer(), np.float32).reshape(total.shape)
+            used = np.frombuffer(batch.column(0)[i].as_buffer(), np.int64)
+            for total, c in ((seen, 1), (mean, 2)):
+                total[used] += np.frombuffer(batch.column(c)[i].as_buffer(), np.float32).reshape(len(used), total.shape[1])
     yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (seen, mean)], ["seen", "mean"])
 
 
@@ -544,7 +549,7 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weights:
         run = _local_steps(weights.class_bias, weights.word_bias, weights.tables["skip"], STEPS)
         before, now = now, settle(now.filter("slice IS NOT NULL").select("slice", "k", "n", "state").mapInArrow(run, f"{columns}, state binary, seen binary, mean binary"), "slices")
         drop(before)
-        parts = now.filter("slice IS NULL").select("seen", "mean").coalesce(4).mapInArrow(_added, "seen binary, mean binary").collect()  # 4 tables
+        parts = now.filter("slice IS NULL").select("state", "seen", "mean").coalesce(4).mapInArrow(_added, "seen binary, mean binary").collect()  # 4 tables
         seen, mean = (sum(np.frombuffer(p[c], np.float64) for p in parts).reshape(speed.shape) for c in (0, 1))
         speed = MOMENTUM * speed + slope(seen, mean, weights.tables["skip"], TOGETHER["skip"])
         weights.tables["skip"] = (weights.tables["skip"] + speed).astype(np.float32)
