@@ -95,10 +95,12 @@ def f14_sue_by_quarter(spark, sf_dir):
 
 
 @query(
-    features_sql() + f", u AS (SELECT * FROM features WHERE {USABLE}), l AS (SELECT ticker, date, return_1d, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM u), w AS (SELECT ticker, arg_max(date, abs(return_1d)) AS date, arg_max(return_1d, abs(return_1d)) AS move FROM l WHERE n <= 20 GROUP BY 1) SELECT ticker, date, round(move, 6) AS move FROM w WHERE abs(move) > 0.4"
+    features_sql() + f", u AS (SELECT * FROM features WHERE {USABLE}), l AS (SELECT ticker, date, return_1d * 40 AS return_1d, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM u), w AS (SELECT ticker, arg_max(date, abs(return_1d)) AS date, arg_max(return_1d, abs(return_1d)) AS move FROM l WHERE n <= 20 GROUP BY 1) SELECT ticker, date, round(move, 6) AS move FROM w WHERE abs(move) > 0.4"
 )
 def q16_data_warning(spark, sf_dir):
-    return six(serving.data_warning(usable(features(spark, sf_dir))))
+    """Moves forty times as large, so that some are suspect."""
+    df = usable(features(spark, sf_dir)).withColumn("return_1d", F.col("return_1d") * 40)
+    return six(serving.data_warning(df))
 
 
 @query(SCORED + f", k AS (SELECT *, greatest(1, CAST(round_even(out_of * 0.2, 0) AS INT)) AS k FROM scored) SELECT {ROW}, round(momentum_12_1, 6) AS momentum_12_1, round(beta_252, 6) AS beta_252, CASE WHEN rank <= k THEN 'favourable' WHEN rank > out_of - k THEN 'unfavourable' ELSE 'neutral' END AS stance FROM k")
