@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelweave.functions.frames import by_ticker, ratio
+from panelweave.functions.shared import shared_dir
 from panelweave.operators import backtest as bt
 from panelweave.operators import labels, serving, universe, validation
 from panelweave.operators.asof import asof, to_next_session
@@ -15,6 +18,8 @@ from panelweave.plans.panel_queries import RANKED, USABLE, features, features_sq
 from panelweave.plans.proxies import view, with_sql
 from panelweave.plans.registry import query
 from panelweave.plans.serving_queries import ROW, SCORED, scored, six
+from panelweave.sources import files
+from panelweave.sources.store import Dataset, read, record_ranking, save_artifact
 
 
 @query(
@@ -174,3 +179,38 @@ def c12_requests_failures_and_delistings(spark, sf_dir):
     found = universe.data_quality(prices, companies, requested=asked, failures=failures, delistings=gone)
     listed = lambda c: F.array_join(F.transform(c, lambda x: x["ticker"].cast("string")), ",").alias(c)
     return found.select("requested", "missing", listed("missing_examples"), "failed", listed("failed_examples"), "stocks_ending_early", "assumed_performance_delistings")
+
+
+def scratch(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(with_sql("panel", "companies", "macro") + " SELECT ticker, date, round(close, 6) AS close, sector, round(vix, 6) AS vix FROM panel LEFT JOIN companies USING (ticker) LEFT JOIN macro USING (date)")
+def k1_s21_dataset_round_trip(spark, sf_dir):
+    """The dataset saved to a folder and loaded again; tables that are None stay so."""
+    path = scratch(spark, "dataset")
+    Dataset(view(spark, sf_dir, "panel"), companies=view(spark, sf_dir, "companies"), macro=view(spark, sf_dir, "macro")).save(path)
+    again = Dataset.load(spark, path)
+    if again.news is not None or again.eps is not None:
+        raise ValueError("tables that were not saved came back")
+    found = again.prices.join(again.companies.select("ticker", "sector"), "ticker", "left").join(again.macro.select("date", "vix"), "date", "left")
+    return six(found.select("ticker", "date", "close", "sector", "vix"))
+
+
+@query(with_sql("panel") + " SELECT CAST(ticker AS VARCHAR) AS ticker, date, round(close, 6) AS close, CAST(volume AS DOUBLE) AS volume FROM panel")
+def s1_prices_from_csv(spark, sf_dir):
+    """Prices landed as comma-separated files under other names of columns."""
+    path = scratch(spark, "prices")
+    named = view(spark, sf_dir, "panel").select(F.col("ticker").alias("Symbol"), F.col("date").alias("Date"), F.col("close").alias("Adj Close"), F.col("volume").alias("Volume"))
+    save_artifact(named, path, "csv")
+    return six(files.price_folder(spark, [path]).select("ticker", "date", "close", F.col("volume").cast("double").alias("volume")))
+
+
+@query(SCORED + " SELECT ticker, date, rank, round(model_probability, 6) AS model_probability FROM scored")
+def k5_rankings_recorded(spark, sf_dir):
+    """A ranking recorded twice for one date is there once."""
+    path = scratch(spark, "rankings")
+    rows = scored(spark, sf_dir).select("ticker", "date", "rank", "model_probability")
+    for shown in (rows.limit(3), rows):
+        record_ranking(shown, path)
+    return six(read(spark, path).select("ticker", "date", "rank", "model_probability"))
