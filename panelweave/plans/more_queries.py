@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from panelweave.functions.frames import by_ticker, ratio
 from panelweave.functions.shared import shared_dir
 from panelweave.operators import backtest as bt
-from panelweave.operators import labels, serving, universe, validation
+from panelweave.operators import appending, labels, serving, universe, validation
 from panelweave.operators.asof import asof, to_next_session
 from panelweave.operators.stats import information_coefficients
 from panelweave.plans.backtest_queries import BOOKS, CONFIG, predictions
 from panelweave.plans.event_queries import SUE, cte
-from panelweave.plans.panel_queries import RANKED, USABLE, features, features_sql, rank_sql, usable
+from panelweave.plans.panel_queries import FEATURES, RANKED, USABLE, features, features_sql, rank_sql, rounded, shown, usable
 from panelweave.plans.proxies import view, with_sql
 from panelweave.plans.registry import query
 from panelweave.plans.serving_queries import ROW, SCORED, scored, six
@@ -214,3 +214,13 @@ def k5_rankings_recorded(spark, sf_dir):
     for shown in (rows.limit(3), rows):
         record_ranking(shown, path)
     return six(read(spark, path).select("ticker", "date", "rank", "model_probability"))
+
+
+@query(features_sql() + f" SELECT ticker, date, {shown(FEATURES)} FROM features WHERE {USABLE}")
+def t20_panel_in_two_appends(spark, sf_dir):
+    """The price features of the weeks to 1995, then those after from the saved state."""
+    path, weeks = scratch(spark, "panel-state"), view(spark, sf_dir, "panel")
+    first, state = appending.append(None, weeks.filter("date < DATE '1996-01-01'"))
+    state.save(path)
+    later, _ = appending.append(appending.State.load(spark, path), weeks.filter("date >= DATE '1996-01-01'"))
+    return rounded(usable(first.unionByName(later)), ["ticker", "date"], FEATURES)
