@@ -210,3 +210,19 @@ def test_importance_in_one_plan(spark):
         assert all(abs(r.importance_mean) < 0.05 for r in got[1:])
     spark.sparkContext.setJobGroup("", "")
     assert abs(jobs[1] - jobs[0]) <= 2
+
+
+def test_covariance_in_strips_of_tiles(spark):
+    """Tiles lie in a bounded number of strips, so a tile is sent as often however many there are."""
+    from panelweave.operators.backtest import pair_covariance
+
+    rng = np.random.default_rng(5)
+    days, names = 12, 21
+    x = rng.normal(0, 0.02, (days, names))
+    rows = [(f"T{i:02}", dt.date(2024, 1, 1) + dt.timedelta(t), float(x[t, i])) for t in range(days) for i in range(names)]
+    df = spark.createDataFrame(rows, "ticker string, date date, return_1d double")
+    for strips in (1, 3, 32):
+        got = pair_covariance(df, 12, 2, strips=strips).collect()
+        assert len(got) == len({(r.a, r.b) for r in got}) == names * (names + 1) // 2
+        cov = np.cov(x.T, bias=True)
+        assert all(r.a <= r.b and r.cov == pytest.approx(cov[int(r.a[1:]), int(r.b[1:])], abs=1e-15) for r in got)
