@@ -226,3 +226,27 @@ def test_covariance_in_strips_of_tiles(spark):
         assert len(got) == len({(r.a, r.b) for r in got}) == names * (names + 1) // 2
         cov = np.cov(x.T, bias=True)
         assert all(r.a <= r.b and r.cov == pytest.approx(cov[int(r.a[1:]), int(r.b[1:])], abs=1e-15) for r in got)
+
+
+def test_buffered_books_of_many_names(spark, monkeypatch):
+    """Held names are looked up in a set, and a row of the fold takes a bounded number of names."""
+    from panelweave.operators import backtest as bt
+
+    rng = random.Random(9)
+    rows = []
+    for period in range(7):
+        order = rng.sample(range(40), 40)
+        rows += [(0, 1, period, name, place + 1, 8, 16) for place, name in enumerate(order)]
+    ranked = spark.createDataFrame(rows, "run int, side int, period int, ticker long, _rank int, _k int, _exit int")
+    held, expected = [], set()
+    for period in range(7):
+        names = [r[3] for r in rows if r[2] == period]
+        stay = [n for n in names[:16] if n in held][:8]
+        held = stay + [n for n in names if n not in stay][: 8 - len(stay)]
+        expected |= {(period, n) for n in held}
+    monkeypatch.setattr(bt, "MOST_NAMES", 60)
+    folded = []
+    monkeypatch.setattr(bt, "settle", lambda df, label, real=bt.settle: folded.append(label) or real(df, label))
+    found = bt.buffered(ranked, ["run", "side"])
+    assert {(r.period, r.ticker) for r in found.collect()} == expected
+    assert folded.count("held-names") == 4  # two periods of 24 names at a time
