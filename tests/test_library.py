@@ -533,3 +533,17 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert "flagship_momentum_ic" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_equal_tickers_have_equal_prices(spark, tmp_path):
+    """Whatever the order of the rows: a sum of doubles differs in the last bit, and ranks break the tie."""
+    from panelweave.plans.proxies import view
+
+    rng = random.Random(3)
+    prices = [rng.randint(90_000, 10_500_000) / 100 for _ in range(6000)]
+    orders = [sorted(prices), sorted(prices, reverse=True), *[rng.sample(prices, 6000) for _ in range(6)]]
+    rows = [(ticker, dt.datetime(2024, 1, 1), 3.0, p) for ticker, order in enumerate(orders) for p in order]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    closes = [r.close for r in view(spark, str(tmp_path), "panel").collect()]
+    assert len(closes) == 8 and len(set(closes)) == 1
+    assert closes[0] == pytest.approx(100 + 10 * math.log(math.fsum(prices) / 18_000), abs=1e-12)
