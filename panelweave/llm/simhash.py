@@ -176,7 +176,10 @@ def candidate_links(nodes: DataFrame, n: int, similarity: float, recall: float)
         held = [F.col(f).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for f, m in zip(PRINT, masks, strict=True) if m]
         keys.append(F.xxhash64(F.lit(t), *held))
     rows = nodes.select(F.explode(F.array(*keys)).alias("key"), "f0", "f1", "th")
-    return rows.repartition("key").sortWithinPartitions("key", "th").mapInArrow(_candidates(radius), "a long, b long")
+    links = rows.repartition("key").sortWithinPartitions("key", "th").mapInArrow(_candidates(radius), "a long, b long")
+    # a text has a link for each key at most; its links become one, and those of its other ends to the same end
+    ends = links.groupBy("a").agg(F.collect_set("b").alias("ends")).withColumn("b", F.array_min("ends"))
+    return ends.select(F.explode(F.concat(F.array("a"), "ends")).alias("a"), "b").filter("a <> b").distinct()
 
 
 def _alike(width: int, similarity: float):

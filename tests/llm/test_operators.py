@@ -1,5 +1,6 @@
 """Every operator against a plain version of itself, and on awkward rows."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -848,3 +849,20 @@ def test_columns_of_any_name_pass_through(docs, spark):
         assert [c for c in out.columns if c not in ("shard", "slot")] == [c for c in df.columns if c not in ("shard", "slot")]
         for r in out.filter("doc_id IS NOT NULL").collect():
             assert all(r[n] == f"{n}{r.doc_id}" for n in names) and r["size"] == "clash"
+
+
+def test_near_copies_link_in_proportion(spark):
+    """A large group of near copies gives some links for each text, not one for each key that two of them share."""
+    from panelweave.llm import simhash
+    from panelweave.llm.common import components
+
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in simhash.PRINT]
+    flip = lambda word: word ^ sum({1 << rng.randrange(64) for _ in range(4)})
+    signed = lambda word: word - (1 << 64) if word >> 63 else word
+    rows = [tuple(signed(flip(w)) for w in base) + (th,) for th in range(400)]
+    nodes = spark.createDataFrame(rows, ", ".join(f"{f} long" for f in simhash.PRINT) + ", th long")
+    links = simhash.candidate_links(nodes, 100_000, 0.8, 0.99)
+    found = links.distinct().collect()
+    assert {r.root for r in components(links, "t").collect()} == {0} and len({x for r in found for x in r}) == 400
+    assert len(found) < 2 * 400
