@@ -57,3 +57,17 @@ def test_nothing_new(spark, prices):
     rows, again = append(state, few.limit(5))
     assert rows.count() == 0 and again.upto == state.upto and again.busiest == state.busiest
     assert State.load(spark, "/nowhere/at/all") is None
+
+
+def test_no_wide_row_is_shuffled_for_the_market(spark):
+    from panelweave.operators.calendar import on_calendar
+    from panelweave.operators.prices import price_features
+
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(40)]
+    rows = [(f"T{t}", d, 50.0 + t + (i * (t + 3)) % 7) for t in range(4) for i, d in enumerate(days)]
+    df = price_features(on_calendar(spark.createDataFrame(rows, "ticker string, date date, close double")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(date" not in plan
+    got = {(r.ticker, r.date): r for r in df.collect()}
+    own = [got[f"T{t}", days[9]].return_1d for t in range(4)]
+    assert abs(got["T0", days[9]].market_return_1d - sum(own) / 4) < 1e-15
