@@ -6,6 +6,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from panelweave.functions.frames import avg_rank, group_count, places
 from panelweave.operators import crosssection, serving
 
 
@@ -25,3 +26,28 @@ def test_snapshot_ranks_only_late_rows(spark):
     member = df.withColumn("in_index", F.col("date") < "2020-02-17")  # no newest row of a member but ticker 5's
     assert {r.date for r in serving.late_rows(member).select("date").collect()} > {date(2020, 2, 3)}
     assert [r.ticker for r in serving.score_snapshot(ranked(member), "return_20d_xs_rank").collect()] == [5]
+
+
+def test_places_of_all_columns_in_one_exchange(spark):
+    rows = [(d, t, [None, float("nan"), 0.0, -0.0, 1.5, 2.0, -3.0, float("inf")][(t * 5 + d) % 8], None if d == 2 else float(t % 4), t % 3 > 0) for d in range(4) for t in range(30)]
+    df = spark.createDataFrame(rows, "d int, t int, a double, b double, m boolean")
+    plain = lambda c, m: (avg_rank(c, ["d"], m), group_count(c, ["d"], m))
+    for m in (None, F.col("m")):
+        got = places(df, ["a", "b"], ["d"], m)
+        exp = df.select("d", "t", *[e.alias(n) for c in "ab" for e, n in zip(plain(c, m), (f"_place_{c}", f"_known_{c}"), strict=True)])
+        show = lambda x: sorted(map(str, x.select("d", "t", "_place_a", "_known_a", "_place_b", "_known_b").collect()))
+        assert show(got) == show(exp)
+    assert places(df.limit(0), ["a"], ["d"]).count() == 0
+    found = crosssection.gaussian_ranks(crosssection.percentile_ranks(df.withColumn("date", F.col("d")), ["a", "b"]).drop("a_xs_rank", "b_xs_rank"), ["a", "b"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Window" not in plan  # the group is sorted by its date alone
+
+
+def test_only_what_is_needed_goes_to_the_tickers_windows(spark, sf_dir="/root/testdata/sf0.001"):
+    from panelweave.operators import labels
+    from panelweave.plans.panel_queries import features, usable, with_next_week
+
+    got = with_next_week(spark, sf_dir, "momentum_12_1")
+    assert got.columns == ["ticker", "date", "close", "momentum_12_1", "future_return_5d", "tradable_return_5d", "target_up_5d"]
+    exp = usable(labels.forward_returns(features(spark, sf_dir), horizons=(5,))).select(*got.columns)
+    assert got.exceptAll(exp).count() == 0 and exp.count() == got.count() > 0
