@@ -607,6 +607,37 @@ class TestLines:
             root = [root[j] if r == root[i] else r for r in root]
         assert all(any(root[k] == root[i] and k not in gone for k in range(len(texts))) for i in gone)
 
+    def test_no_link_is_left_out(self, spark):
+        """Lines with characters changed, left out and put in all over, which move most
+        words and many bits of a SimHash, against all pairs."""
+        import random
+
+        from panelweave.llm import linededup
+
+        rng = random.Random(16)
+        texts = []
+        for i in range(80):
+            line = prose(rng, (6, 12, 25, 60)[i % 4])
+            texts.append(line)
+            for share in (0.05, 0.1, 0.16, 0.21):
+                near = list(line)
+                for _ in range(int(share * len(near))):
+                    k = rng.randrange(len(near))
+                    near[k : k + 1] = rng.choice(([], [rng.choice("xyzéß漢")], [near[k], rng.choice("uvw")]))
+                texts.append("".join(near))
+        texts = [t for t in map(linededup.normal, texts) if t.count(" ") >= 4]  # shorter ones always stay
+        rng.shuffle(texts)
+        root = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                if linededup.alike(texts[i], texts[j], 0.8) and root[i] != root[j]:
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        for options in ({}, {"tile": 40}):
+            gone = {r.doc_id for r in linededup.verdicts(df, **options).filter(F.size("removed") > 0).collect()}
+            assert gone == {i for i, r in enumerate(root) if r != i} and len(gone) > 200
+
     def test_one_large_cluster_in_tiles(self, spark):
         import random
 
