@@ -638,6 +638,30 @@ class TestLines:
             gone = {r.doc_id for r in linededup.verdicts(df, **options).filter(F.size("removed") > 0).collect()}
             assert gone == {i for i, r in enumerate(root) if r != i} and len(gone) > 200
 
+    def test_tiles_meet_without_a_shuffle(self, spark):
+        """Rows shuffled grow as the lines, not as lines times the tiles that they meet."""
+        import random
+
+        from panelweave.llm.editjoin import similar
+        from panelweave.llm.linededup import alike
+
+        def shuffled():
+            jvm, sc = spark._jvm, spark.sparkContext
+            none = jvm.java.util.ArrayList()
+            stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(jvm.double, 0), none)
+            return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+        rng = random.Random(17)
+        texts = [prose(rng, 12) for _ in range(400)]
+        texts += [t.replace("the", "thx") for t in texts[:5]]
+        lines = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "h long, root long, text string")
+        before = shuffled()
+        found = {frozenset(r) for r in similar(lines, 0.8, alike, tile=40).collect()}
+        assert shuffled() - before < 4 * len(texts)
+        due = [(i, j) for i in range(len(texts)) for j in range(i) if alike(texts[i], texts[j], 0.8)]
+        assert found == {frozenset(p) for p in due} and len(found) >= 4
+        assert similar(lines.limit(0), 0.8, alike).count() == 0
+
     def test_one_large_cluster_in_tiles(self, spark):
         import random
 
