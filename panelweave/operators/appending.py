@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.shared import settle
-from panelweave.operators.calendar import on_calendar, session_calendar
+from panelweave.operators.calendar import day_counts, on_calendar, sessions
 from panelweave.operators.prices import price_features
 from panelweave.sources.store import read, write
 
@@ -55,18 +55,21 @@ def append(state: State | None, prices: DataFrame, depth: int = DEPTH) -> tuple[
     Rows equal those of the whole history up to rounding; split factors are carried
     over gaps of up to `depth` sessions."""
     if state is None:
-        rows, known, busiest = prices, prices.select("ticker", F.col("date").alias("first")), 0
+        rows = settle(prices, "recent-prices")  # read by each step below
+        known, busiest = rows.select("ticker", F.col("date").alias("first")), 0
     else:
         new = prices.filter(F.col("date") > F.lit(state.upto)) if state.upto is not None else prices
         rows = settle(state.recent.unionByName(new, allowMissingColumns=True), "recent-prices")
-        known, busiest = state.known.unionByName(new.select("ticker", F.col("date").alias("first"))), state.busiest
+        known, busiest = state.known.unionByName(rows.select("ticker", F.col("date").alias("first"))), state.busiest
     known = settle(known.groupBy("ticker").agg(F.min("first").alias("first")), "known-tickers")
-    features = price_features(on_calendar(rows, known=known, busiest=busiest))
-    days = [r.date for r in session_calendar(rows, busiest=busiest).orderBy("date").collect()]  # a row a date, `depth` and the new ones
-    most = rows.groupBy("date").agg(F.count_distinct("ticker").alias("n")).agg(F.max("n")).first()[0] or 0
+    counts = settle(day_counts(rows), "day-counts")
+    calendar = sessions(counts, busiest=busiest)
+    features = price_features(on_calendar(rows, known=known, days=calendar))
+    days = [r.date for r in calendar.orderBy("date").collect()]  # a row a date, `depth` and the new ones
+    most = counts.agg(F.max("n")).first()[0] or 0
     if not days:
         return features, State(rows, known, None if state is None else state.upto, max(busiest, most))
     if state is not None and state.upto is not None:
         features = features.filter(F.col("date") > F.lit(state.upto))
-    kept = settle(rows.filter(F.col("date") >= F.lit(days[max(0, len(days) - depth)])), "recent-prices")
+    kept = rows.filter(F.col("date") >= F.lit(days[max(0, len(days) - depth)]))
     return features, State(kept, known, days[-1], max(busiest, most))

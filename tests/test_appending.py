@@ -49,6 +49,28 @@ def test_two_appends_equal_all_at_once(spark, prices, tmp_path):
     assert expected["residual_momentum"].notna().sum() > 500
 
 
+def test_new_prices_are_read_once(spark, prices, tmp_path):
+    """Calendar, spans, features and state come from one reading of what is appended."""
+    from panelweave.operators.appending import State, append
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    few = prices.filter(F.col("date") < F.lit(DAYS[60])).localCheckpoint()
+    watched = few.mapInArrow(counted, few.schema)
+    parts, state, path = [watched.filter(F.col("date") < F.lit(DAYS[30])), watched.filter(F.col("date") >= F.lit(DAYS[30]))], None, str(tmp_path / "state")
+    for part in parts:
+        rows, state = append(state, part)
+        state.save(path)
+        state = State.load(spark, path)
+        rows.count()
+    assert read.value == 2 * few.count()
+
+
 def test_nothing_new(spark, prices):
     from panelweave.operators.appending import State, append
 
