@@ -18,3 +18,37 @@ def test_neutral_weights_keep_the_sign_of_0_as_their_sql_does(spark, monkeypatch
     sql = f"WITH predictions(date, ticker, probability, tradable_return, beta_252, volatility_20d) AS (VALUES {values})" + ORACLE_SQL["b21_neutral_weights"].removeprefix(plans.PREDICTIONS)
     want = {t: repr(w) for _, t, w in duckdb.sql(sql).fetchall()}
     assert got == want and want[2] == "-0.0"
+
+
+def test_importance_reads_every_row(spark):
+    from types import SimpleNamespace
+
+    from panelweave.operators import models
+
+    n, seen = 24_000, []
+
+    def score(df):
+        seen.append(df.count())
+        return df.withColumn("probability", F.col("x"))
+
+    df = spark.range(n).select(F.lit(dt.date(2024, 1, 5)).alias("date"), F.col("id").alias("ticker"), (F.col("id") % 7919).cast("double").alias("x"), F.rand(3).alias("noise"), (F.col("id") % 7919).cast("double").alias("target"))
+    got = {r.feature: r for r in models.importance(SimpleNamespace(numeric=["x", "noise"], categorical=[], score=score), df, repeats=2, block=5_000).collect()}
+    assert max(seen) >= n * (1 + 2 * 2)
+    assert abs(got["x"].importance_mean - 1) < 0.03 and abs(got["noise"].importance_mean) < 1e-12
+
+
+def test_rank_correlation_of_buckets_is_that_of_all_rows(spark):
+    import numpy as np
+
+    from panelweave.functions.ordered import mean_places
+    from panelweave.operators.stats import information_coefficients, rank_correlations
+
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 40, 900).astype(float)
+    rows = [(k, float(s), float(t)) for k in (0, 1, 2) for s, t in zip(np.round(y / 9 + rng.normal(0, 2, 900), 1) if k < 2 else np.ones(900), y, strict=True)]
+    df = spark.createDataFrame(rows, "key int, s double, y double")
+    want = {r.key: r.ic for r in information_coefficients(df, "s", "y", ["key"]).collect()}
+    placed = mean_places(df.filter("key = 0"), "y").select("y", "_place").distinct()
+    for cuts in ([], [1.0], [-1.0, 0.5, 0.5, 2.0, 3.3]):
+        got = {r.key: r.ic for r in rank_correlations(df.join(placed, "y"), "s", "_place", "key", cuts).collect()}
+        assert set(got) == set(want) == {0, 1} and all(abs(got[k] - want[k]) < 1e-12 for k in want)
