@@ -18,17 +18,26 @@ FLOWS = ["revenue_ttm", "net_income_ttm", "revenue_growth_yoy", "equity", "liabi
 EXTRA = ["gross_profit_ttm", "operating_cash_flow_ttm", "assets"]
 
 
+def filed(df: DataFrame, pit: DataFrame, max_age: int = MAX_AGE) -> DataFrame:
+    """`df` with what was filed before each date (strictly), at most `max_age` days old."""
+    kept = [*FLOWS, *[c for c in EXTRA if c in pit.columns]]
+    rows = asof(df, pit, "date", "available_date", kept, ["ticker"], strict=True, order=["period_end"] if "period_end" in pit.columns else [])
+    fresh = F.datediff("date", "available_date") <= max_age
+    return rows.withColumns({c: F.when(fresh, F.col(c)) for c in ["available_date", *kept]})
+
+
 def fundamentals(df: DataFrame, pit: DataFrame, max_age: int = MAX_AGE) -> DataFrame:
-    """Ratios from what was filed before each date (strictly), at most `max_age` days old.
+    """Ratios from what was filed before each date."""
+    return filed_ratios(filed(df, pit, max_age))
+
+
+def filed_ratios(rows: DataFrame) -> DataFrame:
+    """The ratios of the columns of `filed`.
 
     A price-to-book outside a plausible range drops the market cap; one that is
     unknown (no positive equity) does not.
     """
-    extra = [c for c in EXTRA if c in pit.columns]
-    kept = [*FLOWS, *extra]
-    rows = asof(df, pit, "date", "available_date", kept, ["ticker"], strict=True, order=["period_end"] if "period_end" in pit.columns else [])
-    fresh = F.datediff("date", "available_date") <= max_age
-    rows = rows.withColumns({c: F.when(fresh, F.col(c)) for c in ["available_date", *kept]})
+    df, extra = rows, [c for c in EXTRA if c in rows.columns]
     price = F.col("raw_close") if "raw_close" in df.columns else F.col("close")
     over = lambda top, under: F.when(under != 0, top / under)
     rows = rows.withColumns({"_equity": F.when(F.col("equity") > 0, F.col("equity")), "_cap": price * F.col("shares_outstanding")})
@@ -89,29 +98,50 @@ def earnings(df: DataFrame, eps: DataFrame | None, releases: DataFrame | None) -
     """`sue`, live for 120 days, and `ear`, the three-session abnormal return
     around a release, carried from the session after it."""
     if eps is not None:
-        known = surprises(eps, releases)
-        df = asof(df, known, "date", "available", ["sue"], ["ticker"], order=["period_end"])
-        df = df.withColumn("sue", F.when(F.datediff("date", "available") <= SUE_AGE, F.col("sue"))).drop("available")
+        df = surprised(df, eps, releases)
     if releases is not None and "market_return_1d" in df.columns:
-        sessions = to_next_session(releases.select("ticker", "date"), df).select("ticker", F.col("session").alias("date"), F.lit(1).alias("_event")).distinct()
-        df = df.join(sessions, ["ticker", "date"], "left").withColumn("_ab", F.col("return_1d") - F.col("market_return_1d"))
-        after = F.lag("_event").over(by_ticker()) == 1
-        df = df.withColumn("_known", F.when(after, roll("sum", "_ab", 3, 3)))
-        carried = F.last("_known", ignorenulls=True).over(by_ticker().rowsBetween(-EAR_SESSIONS, 0))
-        df = df.withColumn("ear", carried).drop("_event", "_ab", "_known")
+        df = after_releases(df.join(release_sessions(releases, df), ["ticker", "date"], "left"))
     return df
 
 
+def surprised(df: DataFrame, eps: DataFrame, releases: DataFrame | None) -> DataFrame:
+    """`df` with `sue`."""
+    df = asof(df, surprises(eps, releases), "date", "available", ["sue"], ["ticker"], order=["period_end"])
+    return df.withColumn("sue", F.when(F.datediff("date", "available") <= SUE_AGE, F.col("sue"))).drop("available")
+
+
+def release_sessions(releases: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(ticker, date, _event): sessions on or after a release."""
+    return to_next_session(releases.select("ticker", "date"), sessions).select("ticker", F.col("session").alias("date"), F.lit(1).alias("_event")).distinct()
+
+
+def after_releases(df: DataFrame) -> DataFrame:
+    """`ear` from the mark `_event` of release sessions."""
+    df = df.withColumn("_ab", F.col("return_1d") - F.col("market_return_1d"))
+    after = F.lag("_event").over(by_ticker()) == 1
+    df = df.withColumn("_known", F.when(after, roll("sum", "_ab", 3, 3)))
+    carried = F.last("_known", ignorenulls=True).over(by_ticker().rowsBetween(-EAR_SESSIONS, 0))
+    return df.withColumn("ear", carried).drop("_event", "_ab", "_known")
+
+
 def insiders(df: DataFrame, trades: DataFrame) -> DataFrame:
     """Open-market purchases and net buying over 63 sessions; usable from the
     session after filing. Purchases are distinct filings of a session, summed."""
+    return insider_windows(df.join(insider_days(trades, df), ["ticker", "date"], "left"))
+
+
+def insider_days(trades: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(ticker, date, _n, _buy, _sell): purchases and values by session."""
     events = trades.withColumn("date", F.date_add("filed", 1))
-    aligned = to_next_session(events, df)
+    aligned = to_next_session(events, sessions)
     bought = F.col("code") == "P"
-    daily = aligned.groupBy("ticker", F.col("session").alias("date")).agg(
+    return aligned.groupBy("ticker", F.col("session").alias("date")).agg(
         F.count_distinct(F.when(bought, F.col("accession"))).alias("_n"), F.sum(F.when(bought, F.col("value")).otherwise(0.0)).alias("_buy"), F.sum(F.when(~bought, F.col("value")).otherwise(0.0)).alias("_sell")
     )
-    df = df.join(daily, ["ticker", "date"], "left").fillna(0, ["_n", "_buy", "_sell"])
+
+
+def insider_windows(df: DataFrame) -> DataFrame:
+    df = df.fillna(0, ["_n", "_buy", "_sell"])
     df = rolling(df, {"insider_purchases_90d": ("sum", "_n", INSIDER_SESSIONS, 1), "_bought": ("sum", "_buy", INSIDER_SESSIONS, 1), "_sold": ("sum", "_sell", INSIDER_SESSIONS, 1)})
     df = df.withColumn("insider_net_90d", F.col("_bought") - F.col("_sold"))
     if "market_cap" in df.columns:
@@ -128,9 +158,10 @@ def macro_conditions(macro: DataFrame) -> DataFrame:
     return filled.withColumns({"vix_change_20d": ratio("vix", F.lag("vix", 20).over(by)) - 1, "vix_regime": ratio(F.col("vix") - F.col("_mean"), "_std")}).drop("_mean", "_std")
 
 
-def macro(df: DataFrame, table: DataFrame) -> DataFrame:
-    """Conditions known before each date: as-of on the dates alone, then an equi-join."""
+def macro(df: DataFrame, table: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Conditions known before each date: as-of on the dates alone (`days`, where they
+    are at hand in a smaller table), then an equi-join."""
     known = macro_conditions(table).withColumnRenamed("date", "macro_date")
     columns = [c for c in known.columns if c != "macro_date"]
-    by_date = asof(df.select("date").distinct(), known, "date", "macro_date", columns, strict=True)
+    by_date = asof((df if days is None else days).select("date").distinct(), known, "date", "macro_date", columns, strict=True)
     return df.join(F.broadcast(by_date.drop("macro_date")), "date", "left")  # a row a date

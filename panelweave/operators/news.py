@@ -106,6 +106,10 @@ def align(daily: DataFrame, prices: DataFrame) -> DataFrame:
 
 def news_features(df: DataFrame, aligned: DataFrame) -> DataFrame:
     """Count and mean sentiment of the last 20 sessions; unknown without news."""
-    df = df.join(aligned, ["ticker", "date"], "left").fillna(0, ["news_count", "sentiment_sum"])
+    return news_windows(df.join(aligned, ["ticker", "date"], "left"))
+
+
+def news_windows(df: DataFrame) -> DataFrame:
+    df = df.fillna(0, ["news_count", "sentiment_sum"])
     df = df.withColumns({"news_count_20d": roll("sum", "news_count", 20, 1), "_s": roll("sum", "sentiment_sum", 20, 1)})
     return df.withColumn("sentiment_20d", F.when(F.col("news_count_20d") > 0, F.col("_s") / F.col("news_count_20d"))).drop("_s")

@@ -52,3 +52,30 @@ def test_rank_correlation_of_buckets_is_that_of_all_rows(spark):
     for cuts in ([], [1.0], [-1.0, 0.5, 0.5, 2.0, 3.3]):
         got = {r.key: r.ic for r in rank_correlations(df.join(placed, "y"), "s", "_place", "key", cuts).collect()}
         assert set(got) == set(want) == {0, 1} and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_events_go_to_tickers_and_dates_before_the_features(spark):
+    """The panel has one exchange by ticker and one by date after its prices are settled;
+    `only` gives the same columns as the whole panel."""
+    import random
+
+    from panelweave.operators.assembly import research_features
+    from panelweave.sources.store import Dataset
+
+    rng, days = random.Random(8), [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(90)]
+    prices = spark.createDataFrame([(t, d, 50 + rng.random(), 51 + rng.random(), 49 + rng.random(), 100.0) for t in range(8) for d in days if rng.random() < 0.97], "ticker long, date date, close double, high double, low double, volume double")
+    news = spark.createDataFrame([(t, d, "x", rng.choice(["positive", "negative"])) for t in range(8) for d in days[::7]], "ticker long, date date, title string, sentiment string")
+    pit = spark.createDataFrame([(t, days[k], days[k - 5], *[rng.random() + 1 for _ in range(6)]) for t in range(8) for k in (10, 50)], "ticker long, available_date date, period_end date, revenue_ttm double, net_income_ttm double, equity double, liabilities double, shares_outstanding double, revenue_growth_yoy double")
+    eps = spark.createDataFrame([(t, days[0] - dt.timedelta(91 * k - 60), rng.random(), days[0] - dt.timedelta(91 * k - 70)) for t in range(8) for k in range(16)], "ticker long, period_end date, eps double, filed date")
+    releases = spark.createDataFrame([(t, days[k]) for t in range(8) for k in (31, 62)], "ticker long, date date")
+    insiders = spark.createDataFrame([(t, days[k], k, rng.choice("PS"), 5.0) for t in range(8) for k in (20, 21, 40)], "ticker long, filed date, accession long, code string, value double")
+    panel = research_features(Dataset(prices, news=news, fundamentals=pit, eps=eps, earnings_dates=releases, insiders=insiders), horizons=(5,))
+    plan = panel._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    some = ["ticker", "date", "sue", "ear", "news_count_20d", "insider_purchases_90d", "book_to_market", "sue_xs_rank", "return_5d_z", "target_rank_market_5d"]
+    found = research_features(Dataset(prices, news=news, fundamentals=pit, eps=eps, earnings_dates=releases, insiders=insiders), horizons=(5,), only=some)
+    want = {(r.ticker, r.date): r for r in panel.select(some).collect()}
+    got = {(r.ticker, r.date): r for r in found.collect()}
+    assert found.columns == some and len(got) > 400 and set(got) == set(want)
+    assert all(got[k][c] == want[k][c] or abs(got[k][c] - want[k][c]) < 1e-12 for k in got for c in some[2:])
+    assert sum(r.sue is not None for r in got.values()) > 50 and sum(r.ear is not None for r in got.values()) > 50
