@@ -79,3 +79,14 @@ def test_events_go_to_tickers_and_dates_before_the_features(spark):
     assert found.columns == some and len(got) > 400 and set(got) == set(want)
     assert all(got[k][c] == want[k][c] or abs(got[k][c] - want[k][c]) < 1e-12 for k in got for c in some[2:])
     assert sum(r.sue is not None for r in got.values()) > 50 and sum(r.ear is not None for r in got.values()) > 50
+
+
+def test_the_index_of_runs_is_not_broadcast(spark):
+    from panelweave.operators.serving import containing
+
+    texts = spark.range(300).select("id", F.col("id").cast("string").alias("u"), F.format_string("NAME%05d", "id").alias("n"))
+    asked = spark.createDataFrame([("E0001",), ("299",), ("nothing",)], "_q string")
+    found = containing(texts, "id", ["u", "n"], asked)
+    assert sorted((r._q, r.id) for r in found.collect()) == sorted([("E0001", i) for i in range(10, 20)] + [("299", 299)])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_gram" in plan
