@@ -90,3 +90,25 @@ def test_the_index_of_runs_is_not_broadcast(spark):
     assert sorted((r._q, r.id) for r in found.collect()) == sorted([("E0001", i) for i in range(10, 20)] + [("299", 299)])
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [_gram" in plan
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    import glob
+    import random
+
+    from panelweave.functions import shared
+    from panelweave.operators import models
+    from panelweave.operators.labels import Target
+
+    there = lambda label: glob.glob(f"{shared.shared_dir(spark).removeprefix('file:')}/{label}-*/")
+    shared.drop_settled(spark)
+    table = shared.settle_once(spark, lambda: shared.settle(spark.range(5), "on-the-way").withColumn("x", F.lit(1)), "kept", "k")
+    assert table.count() == 5 and there("kept") and not there("on-the-way")
+    rng, days = random.Random(6), [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(60)]
+    rows = [(d, f"T{t}", x, 1.0, rng.random(), float(x > 0), x * 0.01, x * 0.01) for d in days for t in range(12) for x in [rng.gauss(0, 1)]]
+    df = spark.createDataFrame(rows, "date date, ticker string, x double, unread double, target_rank_market_5d double, target_beat_median_5d double, future_return_5d double, tradable_return_5d double")
+    found = models.walk_forward(df, "ridge", ["x"], Target(5, "market", "rank"), n_splits=2)
+    other = models.walk_forward(df, "logistic_regression", ["x"], Target(5, "market", "binary"), n_splits=2, categorical=())
+    assert not there("labelled") and len(there("predictions")) == 2
+    assert found.predictions.count() == other.predictions.count() > 300 and found.metrics.count() == 2 and other.metrics.count() == 2
+    shared.drop_settled(spark)
